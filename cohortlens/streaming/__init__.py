@@ -1,0 +1 @@
+"""Reserved. The engine's inputs are finished cohorts: no operator is a stream, so none is defined here."""
