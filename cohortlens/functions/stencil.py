@@ -50,21 +50,20 @@ def pack_lines(vox: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> D
 
 
 def _beside(df: DataFrame, within: Sequence[str], axis: str, names: Sequence[str]) -> DataFrame:
-    """Add the named columns of the previous (``<name>-``) and next (``<name>+``) row if they are adjacent."""
+    """Add the named columns of the adjacent rows: ``<name>_<axis>0`` before and ``<name>_<axis>2`` after."""
     w = Window.partitionBy(*within).orderBy(axis)
     pack = F.struct(F.col(axis).alias("at"), *names)
     both = df.withColumn("_before", F.lag(pack).over(w)).withColumn("_after", F.lead(pack).over(w))
-    for side, step, mark in (("_before", -1, "-"), ("_after", 1, "+")):
+    for side, step, mark in (("_before", -1, "0"), ("_after", 1, "2")):
         near = F.col(f"{side}.at") == F.col(axis) + step
-        for n in names:
-            both = both.withColumn(f"{n}{mark}", F.when(near, F.col(f"{side}.`{n}`")))
+        both = both.withColumns({f"{n}_{axis}{mark}": F.when(near, F.col(f"{side}.{n}")) for n in names})
     return both.drop("_before", "_after")
 
 
 def neighbour_lines(
     vox: DataFrame, column: str, keys: Sequence[str], carry: Sequence[str] = (), depth: int = SLAB
 ) -> DataFrame:
-    """Packed lines with their neighbours: ``l``, ``l-``, ``l+`` along y, each again with ``-``/``+`` along z.
+    """Packed lines with their neighbours: ``l``, ``l_y0``, ``l_y2`` along y, each again with ``_z0``/``_z2``.
 
     ``carry`` columns come along for the centre line. One row per line makes this the cheap form to persist.
     """
@@ -75,7 +74,7 @@ def neighbour_lines(
         *keys, "z", "y", F.struct("lo", F.col(column).alias("v")).alias("l"), *carry, F.explode(homes).alias("_slab")
     ).repartition(*keys, "_slab")
     held = _beside(held, [*keys, "_slab", "z"], "y", ["l"])
-    held = _beside(held, [*keys, "_slab", "y"], "z", ["l", "l-", "l+"])
+    held = _beside(held, [*keys, "_slab", "y"], "z", ["l", "l_y0", "l_y2"])
     return held.filter(F.col("_slab") == F.floor(z / depth)).drop("_slab")
 
 
@@ -93,12 +92,12 @@ def unpack_neighbours(
 
     Index (dz+1)*9 + (dy+1)*3 + dx+1; null where there is no row or value.
     """
-    names = ["l-", "l", "l+"]
+    names = ["l_y0", "l", "l_y2"]
     if not planar:
-        names = [f"{n}{mark}" for mark in ("-", "", "+") for n in names]
+        names = [f"{n}{mark}" for mark in ("_z0", "", "_z2") for n in names]
     cells = lines.select("*", F.posexplode("l.v").alias("_pos", column)).filter(F.col(column).isNotNull())
     x = F.col("l.lo") + F.col("_pos")
-    around = [F.get(F.col(f"`{n}`.v"), x - F.col(f"`{n}`.lo") + dx) for n in names for dx in (-1, 0, 1)]
+    around = [F.get(F.col(f"{n}.v"), x - F.col(f"{n}.lo") + dx) for n in names for dx in (-1, 0, 1)]
     return cells.select(
         *keys,
         "z",
