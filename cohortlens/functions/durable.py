@@ -28,3 +28,14 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint of ``df``."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+ROWS_PER_TASK = 20_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Training table for iterative learners: checkpointed, so that every pass plans and ships a short lineage, and
+    cached in as many partitions as its rows justify, so that small tables do not pay for empty tasks on each pass."""
+    held = durable(df)
+    parts = max(1, -(-held.count() // ROWS_PER_TASK))
+    return held.coalesce(parts).persist()

@@ -27,7 +27,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable
+from ..functions.durable import durable, settled
 from ..functions.gram import covariance, local_gram
 from .evaluation import auc
 from .frame import stratified_folds
@@ -69,7 +69,7 @@ def grid_search(estimator, grid: list, df: DataFrame, n_splits: int = 10, n_repe
     folds = stratified_folds(df, n_splits, n_repeats, seed)
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     total = np.zeros(len(grid))
-    data = df.join(folds.drop("label"), "case_id").persist()
+    data = settled(df.join(folds.drop("label"), "case_id"))
     try:
         for rep in range(n_repeats):
             cv = CrossValidator(
@@ -114,7 +114,7 @@ def svm_linear(train: DataFrame, c_values: Sequence[float] = tuple(SVM_C), n_spl
                seed: int = 42) -> Scorer:
     """Linear support vector machine with calibrated probabilities."""
     n = train.count()
-    est = LinearSVC(standardization=False, maxIter=100)
+    est = LinearSVC(standardization=False, maxIter=100, tol=1e-4)
     grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in c_values]).build()
     return _platt(_searched(est, grid, train, n_splits, n_repeats, seed), train)
 
@@ -427,7 +427,7 @@ def _unit(seed: int, trial: int, name: str) -> float:
 def random_search(train: DataFrame, valid: DataFrame, n_trials: int = 300, seed: int = 42):
     """Random search of logistic settings by validation area. Returns (trial table, scorer of the best trial)."""
     n = train.count()
-    train, valid = train.persist(), valid.persist()
+    train, valid = settled(train), settled(valid)
     rows, best = [], None
     for t in range(n_trials):
         c = 10 ** (-2 + 2 * _unit(seed, t, "C"))

@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import settled
 from ..functions.gram import covariance, gram, local_gram
 from ..functions.keys import hash_chunk, hash_order, k_from
 from ..functions.ordered import running_totals
@@ -225,7 +226,7 @@ def _cv_accuracy(data: DataFrame, columns: Sequence[int], estimator, folds: int)
 
 def _folded_vectors(feat: DataFrame, folds: int, seed: int) -> DataFrame:
     assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
-    return to_vectors(feat, "all").join(assigned, "case_id").persist()
+    return settled(to_vectors(feat, "all").join(assigned, "case_id"))
 
 
 def rfe_cv(feat: DataFrame, step: int = 1, folds: int = 5, seed: int = 42, max_iter: int = 20) -> DataFrame:
@@ -235,7 +236,7 @@ def rfe_cv(feat: DataFrame, step: int = 1, folds: int = 5, seed: int = 42, max_i
     """
     names = feature_names(feat)
     data = _folded_vectors(feat, folds, seed)
-    svm = LinearSVC(maxIter=max_iter, regParam=0.01, standardization=False)
+    svm = LinearSVC(maxIter=max_iter, tol=1e-4, regParam=0.01, standardization=False)
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
 
     def eliminate(train: DataFrame, test: DataFrame | None, stop: int):
@@ -318,7 +319,7 @@ def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) ->
 
         return knn
     models = {
-        "svm": lambda: LinearSVC(maxIter=20, regParam=0.01, standardization=False),
+        "svm": lambda: LinearSVC(maxIter=20, tol=1e-4, regParam=0.01, standardization=False),
         "random_forest": lambda: RandomForestClassifier(numTrees=20, seed=0),
     }
     if estimator not in models:
@@ -358,8 +359,10 @@ def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, tre
             "case_id", "label", F.concat(F.lit("shadow_"), "feature").alias("feature"), (F.col("ord") + 1_000_000).alias("ord"), "value"
         )
         both = to_vectors(feat.select("case_id", "label", "feature", "ord", "value").unionByName(shadow))
+        both = settled(with_class_weights(both))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=5, seed=seed + r, weightCol="weight")
-        gain = forest.fit(with_class_weights(both)).featureImportances.toArray()
+        gain = forest.fit(both).featureImportances.toArray()
+        both.unpersist()
         hits += gain[:p] > gain[p:].max()
     keep = [_binomial_tail(int(h), max_iter) < alpha / p for h in hits]
     return _support(feat, names, hits, keep)

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import settled
 from ..operators import evaluation, extract, filters, frame, models, prepare, scoring, selection, shape, texture
 from ..operators.first_order import first_order
 from ..session import tune
@@ -302,13 +303,13 @@ def preprocess(spark, d):
 
 def _split_features(spark, d, method: int | None = 0):
     """Train and test long features: a 30 % stratified split, variance filter and scaling fitted on train."""
-    split = frame.stratified_split(fx.cohort(spark, d), 0.3)
+    split = frame.stratified_split(fx.cohort(spark, d), 0.3).persist()
     feat = _feat(spark, d).join(split.select("case_id", "split"), "case_id")
     train, test = (feat.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     if method is None:
         return train, test
     stats = frame.fit_scaler(train).filter("std * std > 0.01")
-    return frame.apply_scaler(train, stats, method), frame.apply_scaler(test, stats, method)
+    return tuple(frame.apply_scaler(part, stats, method).persist() for part in (train, test))
 
 
 @query
@@ -491,7 +492,7 @@ def boruta_select(spark, d):
 
 
 def _vectors(spark, d, k: int = 6):
-    return tuple(frame.to_vectors(part).persist() for part in _narrow(spark, d, k))
+    return tuple(settled(frame.to_vectors(part)) for part in _narrow(spark, d, k))
 
 
 def _prob(df: DataFrame) -> DataFrame:
