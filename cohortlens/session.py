@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive plans choose broadcasts by measured size, split skewed join partitions and merge small ones. Methods above
-# the JIT limit of the JVM run interpreted, so plans that would generate one fall back to expression evaluation.
+# Adaptive plans choose broadcasts by measured size, split skewed join partitions and merge small ones.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

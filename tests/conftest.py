@@ -13,6 +13,9 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "tests", "4g")
+    # Tiny inputs: compiling a stage costs more than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
