@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.tables import table
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of linked texts of every document."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes."""
     placed = kd_shards(table(spark, sf_dir, "documents"))
@@ -29,6 +35,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op7_kd_sharding": op7_kd_sharding,
     "op10_line_frequency": op10_line_frequency,
 }
