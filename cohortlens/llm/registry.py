@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
+from cohortlens.llm.suffix_dedup import suffix_dedup
 from cohortlens.llm.tables import table
 
 
@@ -25,6 +26,19 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 200 bytes take from every document, and the hash of what stays."""
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, removed lines and verdict of every document."""
     rules = quality_rules(table(spark, sf_dir, "documents"))
@@ -37,5 +51,6 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op7_kd_sharding": op7_kd_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_frequency": op10_line_frequency,
 }
