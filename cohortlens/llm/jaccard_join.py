@@ -10,8 +10,9 @@ b link at threshold t when they share at least ``need(a, b)`` windows.
   must occur in another set. The others order their windows by document frequency, rarest first, and only the lists of
   that prefix are scanned. A long list is not paired with itself: pivots (1 of each salt) are compared with the members
   that are not yet connected to them, links are contracted to components, a list whose members are all connected is
-  dropped, and the number of salts grows until no list is left. Every pair that shares a listed window is thus compared
-  or already connected; no link between components is lost.
+  dropped, and the number of salts grows until no list is left. A pair is passed over in a list whose rank leaves too few
+  windows for a link. Every pair is thus compared in the first list that it shares, or already connected; no link between
+  components is lost.
 * **The boundary** is the size that makes enumerated subsets plus scanned list entries least, over the measured sizes.
 
 Defined cases: a null or empty text has no windows and is linked with nothing; fewer words than the window count as one
@@ -209,16 +210,20 @@ def light_links(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:
-    """Inverted lists (token, cls, n) over the rarest windows of each set, without windows of one set only."""
+    """Inverted lists (token, cls, n, left) over the rarest windows of each set, without windows of one set only.
+
+    ``left`` counts the set's windows from this one on in the order of rarity. If two sets meet first in this list, they
+    share at most the lesser ``left``.
+    """
     tokens = sets.select("cls", "n", F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(often, "token").groupBy("cls", "n").agg(F.collect_list(F.struct("df", "token")).alias("own"))
     alone = F.col("n") - F.size("own")
     least = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}") + 1
     rare = shared.withColumn("take", (least - alone).cast("int")).filter("take > 0")
-    return rare.select("cls", "n", F.explode(F.slice(F.array_sort("own"), 1, F.col("take"))).alias("x")).select(
-        F.col("x.token").alias("token"), "cls", "n"
-    )
+    ordered = F.slice(F.array_sort("own"), 1, F.col("take"))
+    listed = rare.select("cls", "n", F.size("own").alias("common"), F.posexplode(ordered).alias("at", "x"))
+    return listed.select(F.col("x.token").alias("token"), "cls", "n", (F.col("common") - F.col("at")).alias("left"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,23 +243,23 @@ def heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFra
     salts = 4
     while not lists.isEmpty():
         salt = F.pmod(F.xxhash64("cls", F.lit(salts)), F.lit(salts))
-        pivots = lists.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("p"))
+        pivots = lists.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("cls", "n", "left", "comp")).alias("p"))
         pivots = durable(pivots.select("token", "p.*"))
         pivot = pivots.select(*[F.col(c).alias(f"p_{c}") for c in pivots.columns])
         met = lists.join(pivot, lists["token"] == pivot["p_token"]).filter(
             (F.col("comp") != F.col("p_comp"))
             & (F.greatest("n", "p_n") > boundary)
-            & (DEN * F.least("n", "p_n") >= NUM * F.greatest("n", "p_n"))
+            & ((NUM + DEN) * F.least("left", "p_left") >= NUM * (F.col("n") + F.col("p_n")))
         )
         pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
         links = durable(links.union(_verified(pairs, sets)))
         roots = components(links)
         rest = lists.join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").drop("comp")
         rest = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rest = durable(rest.select("token", "cls", "n", F.coalesce("root", "cls").alias("comp")))
+        rest = durable(rest.select("token", "cls", "n", "left", F.coalesce("root", "cls").alias("comp")))
         apart = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
         lists = durable(rest.join(apart.select("token"), "token", "left_semi"))
-        salts *= 4
+        salts *= 8
     return links
 
 
