@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.llm.context_tree import context_tree_scores
 from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
@@ -26,6 +27,11 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree score of every document."""
+    return context_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated strings of 200 bytes take from every document, and the hash of what stays."""
     found = suffix_dedup(table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op7_kd_sharding": op7_kd_sharding,
+    "op8_context_tree": op8_context_tree,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_frequency": op10_line_frequency,
 }

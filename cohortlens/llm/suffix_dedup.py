@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.hashing import mix, prefix_hash, span_hash
-from cohortlens.llm.tables import text_of, written
+from cohortlens.llm.tables import numbered, text_of, written
 
 LENGTH = 200
 PIECE = 32
@@ -201,16 +201,6 @@ def _finish(batches):
         )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, rid: the id itself where it is a unique integer, else a number of the row."""
-    kind = docs.schema["doc_id"].dataType.typeName()
-    if kind in ("long", "integer", "short", "byte"):
-        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
-        if odd.isEmpty():
-            return docs.withColumn("rid", F.col("doc_id").cast("bigint"))
-    return written(docs.withColumn("rid", F.monotonically_increasing_id()), "suffix-rows")
-
-
 def repeated_spans(
     docs: DataFrame, bucket_segments: int = BUCKET_SEGMENTS, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
@@ -253,7 +243,7 @@ def repeated_spans(
 
 def suffix_dedup(docs: DataFrame, **limits: int) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal, as byte ranges), kept (the other bytes): one row per document."""
-    docs = _numbered(docs.select("doc_id", text_of(docs).alias("text")))
+    docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
     spans = repeated_spans(docs, **limits)
     found = spans.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("found"))
     kind = docs.schema["doc_id"].dataType.simpleString()

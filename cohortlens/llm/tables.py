@@ -41,3 +41,13 @@ def ascii_lower(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, rid: the id itself where it is a unique integer, else a number of the row."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    if kind in ("long", "integer", "short", "byte"):
+        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+        if odd.isEmpty():
+            return docs.withColumn("rid", F.col("doc_id").cast("bigint"))
+    return written(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
