@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.context_tree import context_tree_scores
+from cohortlens.llm.decontamination import contaminated
 from cohortlens.llm.jaccard_join import jaccard_components
+from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.suffix_dedup import suffix_dedup
 from cohortlens.llm.tables import table
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every document."""
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of linked texts of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that they cover."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes."""
     placed = kd_shards(table(spark, sf_dir, "documents"))
@@ -55,7 +67,9 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_rules": op2_license_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_string_tiling": op4_string_tiling,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_context_tree": op8_context_tree,
     "op9_suffix_dedup": op9_suffix_dedup,
