@@ -7,22 +7,36 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.functions.durable import durable
 
 
+#: Rows for one task: a round over few edges shall not write a file per shuffle partition in every exchange.
+ROWS_PER_TASK = 20_000
+
+
+def tasks_for(rows: int) -> int:
+    """Partitions for a table of so many small rows."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of the component.
 
     Star contraction: each round links larger neighbours of a node to its smallest one, then smaller ones; the number of
     rounds grows with the logarithm of the diameter. A round is checkpointed, and ends the loop when the table no longer
     changes (count and hash sum). Hot nodes are aggregated on the map side; joins on them are split by adaptive execution.
+    The number of tasks follows the number of edges.
     """
     table = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(table)
     while mark[0]:
-        both = table.union(table.select(F.col("b"), F.col("a")))
+        tasks = tasks_for(mark[0])
+        table = table.coalesce(tasks)
+        both = table.union(table.select(F.col("b"), F.col("a"))).coalesce(tasks)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        table = durable(small.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        small = small.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").coalesce(tasks)
+        table = durable(small.distinct().coalesce(tasks))
         before, mark = mark, _mark(table)
         if before == mark:
             break

@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions.durable import durable
-from cohortlens.llm.components import components
+from cohortlens.llm.components import components, tasks_for
 from cohortlens.llm.hashing import mix, shingle_sets
-from cohortlens.llm.tables import shuffle_parts, text_of, written
+from cohortlens.llm.tables import text_of, written
 
 WINDOW = 5
 NUM, DEN = 80, 100
@@ -41,6 +41,8 @@ NUM, DEN = 80, 100
 MAX_LIGHT = 24
 #: List entries that one task of the first scan compares.
 BLOCK_ENTRIES = 2_000_000
+#: Pivots of a list in the first round; each round takes that many times more.
+FIRST_SALTS = 16
 COUNTED = np.uint32(1 << 31)
 
 
@@ -240,26 +242,29 @@ def heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFra
     """Links among the sets of each list that, with ``known``, connect all that belong together."""
     links = durable(known.select("a", "b"))
     lists = durable(lists.withColumn("comp", F.col("cls")))
-    salts = 4
-    while not lists.isEmpty():
+    salts = FIRST_SALTS
+    while rows := lists.count():
+        tasks = tasks_for(rows)
+        lists = lists.coalesce(tasks)
         salt = F.pmod(F.xxhash64("cls", F.lit(salts)), F.lit(salts))
         pivots = lists.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("cls", "n", "left", "comp")).alias("p"))
-        pivots = durable(pivots.select("token", "p.*"))
+        pivots = durable(pivots.select("token", "p.*").coalesce(tasks))
         pivot = pivots.select(*[F.col(c).alias(f"p_{c}") for c in pivots.columns])
         met = lists.join(pivot, lists["token"] == pivot["p_token"]).filter(
             (F.col("comp") != F.col("p_comp"))
             & (F.greatest("n", "p_n") > boundary)
             & ((NUM + DEN) * F.least("left", "p_left") >= NUM * (F.col("n") + F.col("p_n")))
         )
-        pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
-        links = durable(links.union(_verified(pairs, sets)))
-        roots = components(links)
-        rest = lists.join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").drop("comp")
-        rest = rest.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rest = durable(rest.select("token", "cls", "n", "left", F.coalesce("root", "cls").alias("comp")))
+        pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"))
+        pairs = pairs.coalesce(tasks).distinct().coalesce(tasks)
+        links = durable(links.union(_verified(pairs, sets).coalesce(tasks)))
+        roots = components(links).withColumnRenamed("node", "cls")
+        rest = lists.join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").drop("comp").coalesce(tasks)
+        rest = rest.join(roots, "cls", "left").select("token", "cls", "n", "left", F.coalesce("root", "cls").alias("comp"))
+        rest = durable(rest.coalesce(tasks))
         apart = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-        lists = durable(rest.join(apart.select("token"), "token", "left_semi"))
-        salts *= 8
+        lists = durable(rest.join(apart.select("token"), "token", "left_semi").coalesce(tasks))
+        salts *= FIRST_SALTS
     return links
 
 

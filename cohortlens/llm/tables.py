@@ -39,10 +39,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text, rid: the id itself where it is a unique integer, else a number of the row."""
     kind = docs.schema["doc_id"].dataType.typeName()
