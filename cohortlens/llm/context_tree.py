@@ -32,7 +32,7 @@ from cohortlens.llm.tables import numbered, text_of, written
 DEPTH = 5
 END = 255
 #: Most entries of a broadcast table: 16 bytes each.
-HOT = 1 << 20
+HOT = 1 << 19
 BUCKET_WINDOWS = 200_000
 FOLDS, HELD_FOLD = 7, 2
 #: Key of the end token among word hashes.
@@ -195,8 +195,8 @@ def _hot(table: DataFrame, by: str, limit: int) -> int:
 
 
 def _sorted(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    data = frame.toPandas()
-    keys, values = data.iloc[:, 0].to_numpy(np.int64).view(np.uint64), data.iloc[:, 1].to_numpy(float)
+    data = frame.toArrow()
+    keys, values = data.column(0).to_numpy().view(np.uint64), data.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -259,7 +259,7 @@ def context_tree_scores(docs: DataFrame, hot: int = HOT, bucket_windows: int = B
     dealt = grams.withColumn("bucket", F.pmod(F.xxhash64(head), F.lit(buckets)))
     roots = dealt.groupBy("bucket").applyInArrow(_subtree_roots, "byte int, decision int, zeros double, ones double, mixed double")
     roots = roots.groupBy("byte", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "mixed")])
-    top = _top(roots.collect())  # at most 256 * 255 rows
+    top = _top(roots.toArrow().to_pylist())  # at most 256 * 255 rows
     values = dealt.groupBy("bucket").applyInArrow(lambda g: _values(g, top), "key bigint, value double, total bigint")
     values = written(values, "tree-values")
     logs = words.select("key", F.log10(F.col("train") + 1.0).alias("value"), "train")
