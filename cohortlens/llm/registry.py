@@ -10,6 +10,7 @@ from cohortlens.llm.context_tree import context_tree_scores
 from cohortlens.llm.decontamination import contaminated
 from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.license_scan import license_scan
+from cohortlens.llm.mixing import mix_to_targets, quality_domains
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.suffix_dedup import suffix_dedup
@@ -31,6 +32,16 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Target shares of tokens by domain.
+TARGETS = {"high": 0.8, "low": 0.12, "toxic": 0.08}
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document."""
+    domains = quality_domains(table(spark, sf_dir, "labels"))
+    return mix_to_targets(table(spark, sf_dir, "documents"), domains, TARGETS)
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes."""
     placed = kd_shards(table(spark, sf_dir, "documents"))
@@ -70,6 +81,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_rules": op2_license_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_string_tiling": op4_string_tiling,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_context_tree": op8_context_tree,
     "op9_suffix_dedup": op9_suffix_dedup,
