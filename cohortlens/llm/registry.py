@@ -15,6 +15,7 @@ from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.suffix_dedup import suffix_dedup
 from cohortlens.llm.tables import table
+from cohortlens.llm.wrapper_induction import extract_pages
 
 
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_blocks", "n_template")
+
+
 #: Target shares of tokens by domain.
 TARGETS = {"high": 0.8, "low": 0.12, "toxic": 0.08}
 
@@ -81,6 +88,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_rules": op2_license_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_string_tiling": op4_string_tiling,
+    "op5_wrapper_induction": op5_wrapper_induction,
     "op6_soft_mixing": op6_soft_mixing,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_context_tree": op8_context_tree,

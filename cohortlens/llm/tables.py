@@ -39,11 +39,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, rid: the id itself where it is a unique integer, else a number of the row."""
-    kind = docs.schema["doc_id"].dataType.typeName()
-    if kind in ("long", "integer", "short", "byte"):
-        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` with rid: the key itself where it is a unique integer, else a number of the row (the table is written then)."""
+    if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        odd = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
         if odd.isEmpty():
-            return docs.withColumn("rid", F.col("doc_id").cast("bigint"))
-    return written(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
+            return df.withColumn("rid", F.col(key).cast("bigint"))
+    return written(df.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
