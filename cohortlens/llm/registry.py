@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.context_tree import context_tree_scores
+from cohortlens.llm.cotraining import cotrained_scores
 from cohortlens.llm.decontamination import contaminated
 from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.license_scan import license_scan
@@ -18,6 +19,11 @@ from cohortlens.llm.tables import table
 from cohortlens.llm.wrapper_induction import extract_pages
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by both views and together."""
+    return cotrained_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases, labels and score of every document."""
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
@@ -85,6 +91,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op2_license_rules": op2_license_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_string_tiling": op4_string_tiling,
