@@ -4,7 +4,7 @@ A node that stands for k shards is split in floor(k/2) : ceil(k/2) of its bytes,
 (range of the scaled code). The split point is the weighted quantile of a 62-bit key (20-bit dimension code, then a hash
 of text and document that breaks ties, so equal texts stand side by side and one hot value can still be divided). It is
 found digit by digit: each pass sums bytes per (node, digit), partial sums first, and only one row per node reaches the
-driver. Leaves therefore differ by about one document per level.
+driver; it ends once each node's split falls on a single row. Leaves therefore differ by about one document per level.
 
 Built-in functions only. Defined cases: null text counts as empty, null metadata has code 0, repeated rows have equal keys
 and stay together, fewer documents than shards leave shards empty, an empty table gives an empty result.
@@ -22,8 +22,8 @@ SHARDS = 40
 ROW_BYTES = 16
 CODE_BITS = 20
 TIE_BITS = 21
-#: Bits below each digit of the key, first digit first.
-DIGITS = ((CODE_BITS, 2 * TIE_BITS), (TIE_BITS, TIE_BITS), (TIE_BITS, 0))
+#: (bits, bits below) of each digit of the key, first digit first. A node has at most 2048 values of a digit.
+DIGITS = ((10, 52), (10, 42), (11, 31), (10, 21), (11, 10), (10, 0))
 #: Rows numbered by one task when slots are dealt.
 SLOT_ROWS = 20_000
 DIMENSIONS = ("lang", "source", "n_chars")
@@ -38,6 +38,7 @@ class Split:
     dim: int
     rest: int
     prefix: int = 0
+    below: int = 0
     inclusive: bool = False
 
     @property
@@ -69,11 +70,13 @@ def _key(splits: list[Split], shards: int, n_dims: int) -> Column:
     return F.shiftleft(F.get(codes, dim), 2 * TIE_BITS) + F.col("tie")
 
 
-def _descend(rows: DataFrame, splits: list[Split], digit: tuple[int, int]) -> None:
-    """Extend each split's prefix by the digit in which its share of bytes ends."""
+def _descend(rows: DataFrame, splits: list[Split], digit: tuple[int, int]) -> bool:
+    """Extend each split's prefix by the digit in which its share of bytes ends; True if each ends in a single row."""
     bits, below = digit
     found = rows.filter(F.shiftright("key", bits + below) == F.col("prefix"))
-    found = found.groupBy("node", F.shiftright("key", below).alias("head")).agg(F.sum("size").alias("size"))
+    found = found.groupBy("node", F.shiftright("key", below).alias("head")).agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+    )
     order = W.partitionBy("node").orderBy("head").rowsBetween(W.unboundedPreceding, 0)
     ends = found.withColumn("upto", F.sum("size").over(order))
     rest = _per_node({s.first: s.rest for s in splits}, max(s.first for s in splits) + 1)
@@ -82,7 +85,8 @@ def _descend(rows: DataFrame, splits: list[Split], digit: tuple[int, int]) -> No
     for s in splits:
         r = by_node[s.first]
         s.prefix, s.rest = r["head"], s.rest - (r["upto"] - r["size"])
-        s.inclusive = 2 * s.rest > r["size"]
+        s.below, s.inclusive = below, 2 * s.rest > r["size"]
+    return all(r["n"] == 1 for r in by_node.values())
 
 
 def kd_leaves(rows: DataFrame, n_dims: int, shards: int = SHARDS) -> DataFrame:
@@ -102,8 +106,11 @@ def kd_leaves(rows: DataFrame, n_dims: int, shards: int = SHARDS) -> DataFrame:
         chosen = rows.filter(F.col("node").isin([s.first for s in splits])).withColumn("key", _key(splits, shards, n_dims))
         for digit in DIGITS:
             prefix = _per_node({s.first: s.prefix for s in splits}, shards)
-            _descend(chosen.withColumn("prefix", prefix), splits, digit)
-        last = _per_node({s.first: s.prefix if s.inclusive else s.prefix - 1 for s in splits}, shards, 1 << 62)
+            if _descend(chosen.withColumn("prefix", prefix), splits, digit):
+                break
+        # The last key that stays left: all keys of the prefix, or none of them.
+        ends = {s.first: ((s.prefix + s.inclusive) << s.below) - 1 for s in splits}
+        last = _per_node(ends, shards, (1 << 63) - 1)
         step = _per_node({s.first: s.left for s in splits}, shards)
         rows = rows.withColumn("key", _key(splits, shards, n_dims))
         rows = rows.withColumn("node", F.when(F.col("key") <= last, F.col("node")).otherwise(F.col("node") + step).cast("int"))
