@@ -91,7 +91,8 @@ def feature_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     one = labels.groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string"))
-    rows = rows.join(one, rows["doc_id"] == one["of"], "left").drop("of")
+    # Always by shuffle: the label table grows with the corpus, so its broadcast would only help small inputs.
+    rows = rows.join(one.hint("merge"), rows["doc_id"] == one["of"], "left").drop("of")
     return written(rows.withColumn("order", order).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int")), "cotraining")
 
 
