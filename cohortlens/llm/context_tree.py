@@ -9,7 +9,7 @@ A text ends with an end symbol, and stands behind ``DEPTH`` of them. Texts are l
 Distribution: tasks count byte windows (context and symbol) of their texts; the counts are summed by a shuffle. Windows are
 dealt to buckets by their two most recent bytes: a bucket holds whole subtrees from depth two on. Depths zero and one have at
 most 256 * 255 nodes, are summed from the buckets and shipped as constants. The result is one value per window that occurs
-anywhere. To score, the windows and words above a frequency threshold, at most ``HOT`` of each, are broadcast; all the
+anywhere. To score, the windows and words above a frequency threshold, at most ``HOT_WINDOWS`` and ``HOT_WORDS``, are broadcast; all the
 others of a document are joined by shuffle, so the model has no size limit.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is empty (one token, the end); a null id counts as the
@@ -31,13 +31,15 @@ from cohortlens.llm.tables import numbered, text_of, written
 
 DEPTH = 5
 END = 255
-#: Most entries of a broadcast table: 16 bytes each.
-HOT = 1 << 19
+#: Most entries of the two broadcast tables: 16 bytes each.
+HOT_WINDOWS, HOT_WORDS = 1 << 20, 1 << 19
 BUCKET_WINDOWS = 200_000
 FOLDS, HELD_FOLD = 7, 2
 #: Key of the end token among word hashes.
 END_WORD = np.uint64(0)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Keys of new chunks that are kept before they are merged into the running counts.
+MERGE_KEYS = 600_000
 
 
 def window_codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -67,28 +69,36 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode().lower() for t in batch.column("text").to_pylist()]
 
 
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every word, and of the end of every text."""
+    words, bounds = word_hashes(texts)
+    own = np.arange(len(texts))
+    return np.append(words, np.full(len(texts), END_WORD)), np.append(np.repeat(own, np.diff(bounds)), own)
+
+
 def _count(batches):
-    """Counts per batch: kind 0 windows, kind 1 words; training occurrences and all occurrences."""
+    """Counts per batch: kind 0 windows, kind 1 words; training occurrences and all occurrences.
+
+    Chunks are merged into running counts, so a task holds the distinct keys of a batch and the arrays of one chunk.
+    """
     for batch in batches:
-        texts, held = _texts(batch), np.array(batch.column("held_out").to_pylist(), bool)
-        found: dict[int, list] = {0: [], 1: []}
+        held = np.array(batch.column("held_out").to_pylist(), bool)
+        texts = _texts(batch)
+        running = {kind: [(np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))] for kind in (0, 1)}
         for a, b in chunks(texts, CHUNK):
-            own, train = texts[a:b], ~held[a:b]
-            codes, of = window_codes(own)
-            words, bounds = word_hashes(own)
-            words = np.append(words, np.full(b - a, END_WORD))
-            word_of = np.append(np.repeat(np.arange(b - a), np.diff(bounds)), np.arange(b - a))
-            for kind, keys, owner in ((0, codes, of), (1, words, word_of)):
+            train = ~held[a:b]
+            for kind, read in ((0, window_codes), (1, _tokens)):
+                keys, owner = read(texts[a:b])
+                parts = running[kind]
                 for flag in (True, False):
-                    keys_of, n = np.unique(keys[train[owner] == flag], return_counts=True)
-                    found[kind].append((keys_of, np.stack([n * flag, n], 1)))
-        for kind, parts in found.items():
-            if parts:
-                keys, n = _sum_by_key(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                columns = [
-                    pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1]),
-                ]
-                yield pa.record_batch(columns, ["kind", "key", "train", "total"])
+                    unique, n = np.unique(keys[train[owner] == flag], return_counts=True)
+                    parts.append((unique, np.stack([n * flag, n], 1)))
+                if sum(len(p[0]) for p in parts[1:]) > max(MERGE_KEYS, len(parts[0][0])):
+                    running[kind] = [_sum_by_key(*(np.concatenate(x) for x in zip(*parts)))]
+        for kind, parts in running.items():
+            keys, n = _sum_by_key(*(np.concatenate(x) for x in zip(*parts)))
+            columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])]
+            yield pa.record_batch(columns, ["kind", "key", "train", "total"])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -183,65 +193,127 @@ def _top(rows: list) -> dict[str, np.ndarray]:
 
 
 def _hot(table: DataFrame, by: str, limit: int) -> int:
-    """Least count such that at most ``limit`` rows reach it (a power of two)."""
-    bins = table.groupBy(F.floor(F.log2(F.greatest(by, F.lit(1)))).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    """Least count such that at most ``limit`` rows reach it; counts are looked at in two binary digits."""
+    count = F.greatest(F.col(by), F.lit(1))
+    low = F.greatest(F.floor(F.log2(count)) - 1, F.lit(0)).cast("int")
+    head = F.call_function("shiftleft", F.call_function("shiftright", count, low), low)
+    bins = table.groupBy(head.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     total, least = 0, 1 << 62
-    for r in sorted(bins.collect(), key=lambda r: -r["b"]):  # one row per power of two
+    for r in sorted(bins.collect(), key=lambda r: -r["b"]):  # two rows per power of two
         total += r["n"]
         if total > limit:
-            break
-        least = 1 << r["b"]
-    return 1 if total <= limit else least
+            return least
+        least = r["b"]
+    return 0
 
 
-def _sorted(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     data = frame.toArrow()
-    keys, values = data.column(0).to_numpy().view(np.uint64), data.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return table[0][at] == keys, table[1][at]
+    return data.column(0).to_numpy().view(np.uint64), data.column(1).to_numpy()
+
+
+class Lookup:
+    """Values by 64-bit key. Level after level, each half as large, a key takes the slot of its hash if it is the first to
+    ask; the few that find no slot at all are searched in order. Looking up is a few array reads per key."""
+
+    LEVELS = 8
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.levels = []
+        bits = max(4, int(len(keys) - 1).bit_length() + 1) if len(keys) else 4
+        for level in range(self.LEVELS):
+            shift = np.uint64(64 - max(4, bits - level))
+            slot = self._slot(keys, level, shift)
+            taken, first = np.unique(slot, return_index=True)
+            own, value = np.zeros(1 << int(64 - shift), np.uint64), np.full(1 << int(64 - shift), np.nan)
+            own[taken], value[taken] = keys[first], values[first]
+            self.levels.append((shift, own, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, level: int, shift: np.uint64) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * level & (1 << 64) - 1)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, NaN where there is none."""
+        out = np.full(len(keys), np.nan)
+        at = np.arange(len(keys))
+        for level, (shift, own, value) in enumerate(self.levels):
+            slot = self._slot(keys, level, shift)
+            hit = (own[slot] == keys) & ~np.isnan(value[slot])
+            out[at[hit]] = value[slot[hit]]
+            keys, at = keys[~hit], at[~hit]
+        if len(self.keys) and len(keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[place] == keys
+            out[at[hit]] = self.values[place[hit]]
+        return out
+
+
+def _lookup(broadcast) -> Lookup:
+    """The broadcast table of this worker, built once."""
+    if _TABLES.get(broadcast.id) is None:
+        _TABLES[broadcast.id] = Lookup(*broadcast.value)
+    return _TABLES[broadcast.id]
+
+
+class _Broadcast:
+    """A broadcast and the name of its table in a worker."""
+
+    def __init__(self, spark, table: tuple[np.ndarray, np.ndarray]) -> None:
+        import uuid
+
+        self.id, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(table)
+
+    @property
+    def value(self):
+        return self.held.value
+
+
+_TABLES: dict[str, Lookup] = {}
+
+
+def _late(keys: np.ndarray, owner: np.ndarray, texts: int) -> list[pa.Array]:
+    """Keys to join and how often they stand, as one list per text."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys)))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=texts)))).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys[first].view(np.int64), times.astype(np.int64))]
 
 
 def _score(batches, windows, words):
-    """Per document: sums over broadcast entries, and what is left to join (kind, key, times)."""
+    """Per document: sums over broadcast entries, and the keys that are left to join."""
+    names = ["n_tokens", "windows", "known", "words", "late_windows", "window_times", "late_words", "word_times"]
     for batch in batches:
         texts = _texts(batch)
-        columns: list[list] = [[], [], [], [], []]
         for a, b in chunks(texts, CHUNK):
-            own = texts[a:b]
-            codes, of = window_codes(own)
-            hashes, bounds = word_hashes(own)
-            hashes = np.append(hashes, np.full(b - a, END_WORD))
-            word_of = np.append(np.repeat(np.arange(b - a), np.diff(bounds)), np.arange(b - a))
-            columns[0].extend(np.bincount(word_of, minlength=b - a))
-            rest: list[list] = [[] for _ in own]
-            for kind, keys, owner, table in ((0, codes, of, windows.value), (1, hashes, word_of, words.value)):
-                unique, which = np.unique(keys, return_inverse=True)
-                hit, value = _look_up(unique, table)
-                columns[1 + 2 * kind].extend(np.bincount(owner, (np.where(hit, value, 0.0))[which], b - a))
-                if kind:
-                    columns[2].extend(np.bincount(owner, (hit & (value > 0))[which], b - a).astype(np.int64))
-                miss = ~hit[which]
-                pair, times = np.unique(np.stack([owner[miss], which[miss]], 1), axis=0, return_counts=True)
-                for (o, w), t in zip(pair.tolist(), times.tolist()):
-                    rest[o].append({"kind": kind, "key": int(unique[w].astype(np.int64)), "times": t})
-            columns[4].extend(rest)
-        kind = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("times", pa.int64())]))
-        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), kind)
-        names = ["n_tokens", "windows", "known", "words", "rest"]
-        yield pa.record_batch(
-            [batch.column(c) for c in ("rid", "doc_id", "held_out")] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-            ["rid", "doc_id", "held_out", *names],
-        )
-
-
-def context_tree_scores(docs: DataFrame, hot: int = HOT, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+            sums, late = [], []
+            for read, table in ((window_codes, _lookup(windows)), (_tokens, _lookup(words))):
+                keys, owner = read(texts[a:b])
+                value = table(keys)
+                miss = np.isnan(value)
+                sums.append(np.bincount(owner, np.where(miss, 0.0, value), b - a))
+                late += _late(keys[miss], owner[miss], b - a)
+            # The last pass of the loop was over words: what they share with the table is known.
+            known = np.bincount(owner, ~miss, b - a).astype(np.int64)
+            count = np.bincount(owner, minlength=b - a)
+            columns = [pa.array(x) for x in (count, sums[0], known, sums[1])] + late
+            yield pa.record_batch(
+                [batch.column(c).slice(a, b - a) for c in ("rid", "doc_id", "held_out")] + columns,
+                ["rid", "doc_id", "held_out", *names],
+            )
+
+
+def context_tree_scores(docs: DataFrame, hot: tuple[int, int] = (HOT_WINDOWS, HOT_WORDS), bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
     spark = docs.sparkSession
     docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
@@ -263,33 +335,35 @@ def context_tree_scores(docs: DataFrame, hot: int = HOT, bucket_windows: int = B
     values = dealt.groupBy("bucket").applyInArrow(lambda g: _values(g, top), "key bigint, value double, total bigint")
     values = written(values, "tree-values")
     logs = words.select("key", F.log10(F.col("train") + 1.0).alias("value"), "train")
-    least_window, least_word = _hot(values, "total", hot), _hot(logs, "train", hot)
-    window_table = spark.sparkContext.broadcast(_sorted(values.filter(F.col("total") >= least_window).select("key", "value")))
-    word_table = spark.sparkContext.broadcast(_sorted(logs.filter(F.col("train") >= least_word).select("key", "value")))
+    least_window, least_word = _hot(values, "total", hot[0]), _hot(logs, "train", hot[1])
+    window_table = _Broadcast(spark, _arrays(values.filter(F.col("total") >= least_window).select("key", "value")))
+    word_table = _Broadcast(spark, _arrays(logs.filter(F.col("train") >= least_word).select("key", "value")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("rid", "doc_id", "held_out", "text").mapInArrow(
         lambda b: _score(b, window_table, word_table),
         f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, windows double, known bigint, words double,"
-        " rest array<struct<kind:byte,key:bigint,times:bigint>>",
+        " late_windows array<bigint>, window_times array<bigint>, late_words array<bigint>, word_times array<bigint>",
     )
     scored = written(scored, "tree-scores")
-    rest = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.*")
-    model = values.filter(F.col("total") < least_window).select(F.lit(0).cast("byte").alias("kind"), "key", "value")
-    model = model.union(logs.filter(F.col("train") < least_word).select(F.lit(1).cast("byte"), "key", "value"))
-    joined = rest.join(model, ["kind", "key"])
-    late = joined.groupBy("rid").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("times") * F.col("value"))).alias("late_windows"),
-        F.sum(F.when(F.col("kind") == 1, F.col("times") * F.col("value"))).alias("late_words"),
-        F.sum(F.when(F.col("kind") == 1, F.col("times"))).alias("late_known"),
-    )
-    out = scored.drop("rest").join(late, "rid", "left")
+
+    def joined(keys: str, times: str, model: DataFrame) -> DataFrame:
+        rows = scored.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("r"))
+        rows = rows.select("rid", "r.key", "r.times").join(model, "key")
+        total = F.sum(F.col("times") * F.col("value")).alias(f"{keys}_sum")
+        return rows.groupBy("rid").agg(total, F.sum("times").alias(f"{keys}_known"))
+
+    out = scored.select("rid", "doc_id", "held_out", "n_tokens", "windows", "known", "words")
+    rare = values.filter(F.col("total") < least_window).select("key", "value")
+    out = out.join(joined("late_windows", "window_times", rare), "rid", "left")
+    rare = logs.filter(F.col("train") < least_word).select("key", "value")
+    out = out.join(joined("late_words", "word_times", rare), "rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + zero("late_known")).cast("bigint").alias("n_known"),
+        (F.col("known") + zero("late_words_known")).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("words") + zero("late_words") - F.col("n_tokens") * log10(n + v + 1)).alias("base_score"),
-        (F.col("windows") + zero("late_windows")).alias("score"),
+        (F.col("words") + zero("late_words_sum") - F.col("n_tokens") * log10(n + v + 1)).alias("base_score"),
+        (F.col("windows") + zero("late_windows_sum")).alias("score"),
     )
