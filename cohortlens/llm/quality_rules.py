@@ -1,6 +1,6 @@
 """Quality rules: repetition inside a document, and lines that many documents of one host repeat.
 
-Built-in functions only. A line is normalised (lower case, digits to 0, white space to one space) and hashed. Per host it
+Built-in functions only. A line is normalised (A-Z to lower case, digits to 0, white space to one space) and hashed. Per host it
 is boilerplate when at least ``max_docs`` distinct texts hold it *and* these texts are otherwise different: they are told
 apart by the hash of their longest line, and at least half of them must differ in it. So exact copies count once and near
 copies of one text do not turn their shared body into boilerplate. Boilerplate lines are removed; a document that keeps
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.llm.tables import BLANK, text_of, words_of, written
+from cohortlens.llm.tables import BLANK, ascii_lower, text_of, words_of, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -65,9 +65,9 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Hash of the normalised line."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), BLANK + "+", " ")
-    return F.xxhash64(F.trim(plain))
+    """The first 60 bits of the MD5 of the normalised line."""
+    plain = F.regexp_replace(F.regexp_replace(ascii_lower(line), "[0-9]+", "0"), BLANK + "+", " ")
+    return F.conv(F.substring(F.md5(F.trim(plain)), 1, 15), 16, 10).cast("bigint")
 
 
 def lines_of(text: Column) -> Column:

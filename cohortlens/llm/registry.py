@@ -31,7 +31,7 @@ def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of linked texts of every document."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
