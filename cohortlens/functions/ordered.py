@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 CHUNKS = 1024
 
 
@@ -20,6 +22,15 @@ def value_chunk(value: Column, lo: Column, hi: Column, chunks: int = CHUNKS) ->
     return F.when(hi > lo, F.least(scaled, F.lit(chunks - 1))).otherwise(F.lit(0)).cast("int")
 
 
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str = "_chunk") -> DataFrame:
+    """Add chunk numbers that follow ``order`` inside ``keys`` and hold about equally many rows, however the values lie.
+
+    The bounds come from Spark's range partitioner; the table is checkpointed, so every later use sees the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(parts, *keys, *order).withColumn(chunk, F.spark_partition_id()))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import CHUNKS, running_totals
+from ..functions.ordered import range_chunks, running_totals
 
 # Report metrics in their printed order.
 METRIC_NAMES = [
@@ -41,10 +41,8 @@ def score_counts(pred: DataFrame) -> DataFrame:
 def _cumulated(pred: DataFrame) -> DataFrame:
     """Score table with true/false positives at ``prob`` or above, and the totals P and N."""
     keys = group_keys(pred)
-    counts = score_counts(pred)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    clamped = F.least(F.greatest(F.col("prob"), F.lit(0.0)), F.lit(1.0))
-    chunked = counts.withColumn("_chunk", F.floor(clamped * CHUNKS).cast("int"))
+    chunked = range_chunks(score_counts(pred), keys, ["prob"])
+    totals = chunked.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     run = running_totals(
         chunked, keys, ["prob"], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True
     )

@@ -431,7 +431,7 @@ def random_search(train: DataFrame, valid: DataFrame, n_trials: int = 300, seed:
     rows, best = [], None
     for t in range(n_trials):
         c = 10 ** (-2 + 2 * _unit(seed, t, "C"))
-        tol = 10 ** (-6 + 4 * _unit(seed, t, "tol"))
+        tol = 1e-6 + (1e-3 - 1e-6) * _unit(seed, t, "tol")
         intercept = _unit(seed, t, "intercept") < 0.5
         est = LogisticRegression(
             standardization=False, regParam=1.0 / (c * n), tol=tol, fitIntercept=intercept, maxIter=100

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import settled
-from ..functions.gram import covariance, gram, local_gram
+from ..functions.gram import Columns, column_stats, covariance, gram, local_gram, stacked
 from ..functions.keys import hash_chunk, hash_order, k_from
 from ..functions.ordered import running_totals
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
@@ -75,29 +75,35 @@ def relief_select(feat: DataFrame, n_anchors: int = 100, seed: int = 42, **k) ->
 def mrmr_ranking(feat: DataFrame, k: int, floor: float = 0.001) -> DataFrame:
     """Greedy relevance over redundancy: (rank, feature, score).
 
-    One pass gives the cross-product matrix. F of a two-class label and every correlation follow from it, so the k
-    greedy steps touch p numbers each and no data.
+    One pass gives the correlations of all columns; they stay a table of one row per column, and each greedy step fetches
+    the row of its pick, p numbers. A feature is constant only if its own values are all equal, whatever the others' scale.
     """
     names = feature_names(feat)
-    n, _, cross = covariance(local_gram(to_arrays(feat))["all"])
-    scale = np.sqrt(np.diag(cross))
-    flat = scale <= 1e-12 * max(scale.max(), 1.0)
-    scale[flat] = np.inf
-    corr = cross / scale[:, None] / scale[None, :]
-    relevance = corr[:-1, -1] ** 2 * (n - 2) / np.maximum(1 - corr[:-1, -1] ** 2, 1e-300)
-    usable = ~flat[:-1]
+    rows = to_arrays(feat).persist()
+    columns = column_stats(rows)
+    n = rows.count()
+    table = gram(rows, columns=columns).persist()
+
+    def correlations(i: int) -> np.ndarray:
+        return np.array(table.filter(F.col("i") == i + 1).first()["row"][1:]) / max(n - 1, 1)
+
+    usable = columns.spread[:-1] > 0
+    to_label = correlations(len(names))[:-1]
+    relevance = to_label**2 * (n - 2) / np.maximum(1 - to_label**2, 1e-300)
     chosen: list[int] = []
     redundancy = np.zeros(len(names))
-    rows = []
+    out = []
     for rank in range(min(k, int(usable.sum()))):
         score = relevance if not chosen else relevance / np.maximum(redundancy / len(chosen), floor)
         score = np.where(usable, score, -np.inf)
         pick = int(np.argmax(score))
-        rows.append((rank + 1, names[pick], float(score[pick])))
+        out.append((rank + 1, names[pick], float(score[pick])))
         chosen.append(pick)
         usable[pick] = False
-        redundancy += np.maximum(np.abs(corr[:-1, pick]), floor)
-    return feat.sparkSession.createDataFrame(rows, "rank int, feature string, score double")
+        redundancy += np.maximum(np.abs(correlations(pick)[:-1]), floor)
+    table.unpersist()
+    rows.unpersist()
+    return feat.sparkSession.createDataFrame(out, "rank int, feature string, score double")
 
 
 def mrmr_select(feat: DataFrame, **k) -> DataFrame:
@@ -109,15 +115,26 @@ def mrmr_select(feat: DataFrame, **k) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- lasso
 
 
-def _lasso_path(m: np.ndarray, alphas: Sequence[float], tol: float = 1e-7, sweeps: int = 1000) -> tuple[np.ndarray, float]:
-    """Coefficients for falling penalties, by coordinate descent on the cross products, and the mean response."""
+def _raw_gram(m: np.ndarray, columns: Columns) -> np.ndarray:
+    """The matrix in the units of the columns, still centred on their means."""
+    scale = np.append(1.0, np.where(columns.spread > 0, columns.spread, 1.0))
+    return m * scale[:, None] * scale
+
+
+def _lasso_path(
+    m: np.ndarray, alphas: Sequence[float], spread: np.ndarray, tol: float = 1e-7, sweeps: int = 1000
+) -> tuple[np.ndarray, float]:
+    """Coefficients for falling penalties, by coordinate descent on the cross products, and the mean response.
+
+    ``spread`` is each column's own; a column stays out if it hardly varies against that, so no scale hides another.
+    """
     n, mean, cross = covariance(m)
     g, c = cross[:-1, :-1] / n, cross[:-1, -1] / n
     diag = np.diag(g).copy()
     b = np.zeros(len(c))
     fit = np.zeros(len(c))
     path = []
-    usable = np.flatnonzero(diag > 1e-12 * max(diag.max(), 1e-300))
+    usable = np.flatnonzero((spread[:-1] > 0) & (diag > 1e-12 * spread[:-1] ** 2))
     for alpha in alphas:
         active = usable
         for sweep in range(sweeps):
@@ -150,17 +167,18 @@ def lasso_tables(feat: DataFrame, folds: int = 10, n_alphas: int = 100, eps: flo
     names = feature_names(feat)
     assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
     rows = to_arrays(feat).join(assigned, "case_id")
-    by_fold = gram(rows, "fold").persist()
-    every = by_fold.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()
-    total = np.array([r["row"] for r in sorted(every, key=lambda r: r["i"])])
+    columns = column_stats(rows)
+    by_fold = gram(rows, "fold", columns=columns).persist()
+    every = by_fold.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+    total = _raw_gram(stacked(every), columns)
     n, _, cross = covariance(total)
     top = float(np.max(np.abs(cross[:-1, -1]))) / n
     alphas = [top * eps ** (i / (n_alphas - 1)) for i in range(n_alphas)]
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        test = np.stack(part.sort_values("i")["row"].to_numpy())
+        test = _raw_gram(np.stack(part.sort_values("i")["row"].to_numpy()), columns)
         train = total - test
-        path, mean = _lasso_path(train, alphas)
+        path, mean = _lasso_path(train, alphas, columns.spread)
         # Squared error on the held-out fold, from its own cross products: v'Mv with v = (intercept, b, -1).
         out = []
         for i, b in enumerate(path):
@@ -172,7 +190,7 @@ def lasso_tables(feat: DataFrame, folds: int = 10, n_alphas: int = 100, eps: flo
     errors = scored.groupBy("step", "alpha").agg(
         F.avg("mse").alias("mean"), F.min("mse").alias("min"), F.max("mse").alias("max")
     )
-    path, _ = _lasso_path(total, alphas)
+    path, _ = _lasso_path(total, alphas, columns.spread)
     cells = [(i, alphas[i], names[j], float(b)) for i, row in enumerate(path) for j, b in enumerate(row)]
     coefs = feat.sparkSession.createDataFrame(cells, "step int, alpha double, feature string, coef double")
     return errors, coefs
@@ -285,18 +303,21 @@ def sequential_select(
 def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) -> Callable[[Sequence[int]], float]:
     if estimator == "lasso":
         assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
-        grams = local_gram(to_arrays(feat).join(assigned, "case_id"), "fold")
+        rows = to_arrays(feat).join(assigned, "case_id")
+        stats = column_stats(rows)
+        grams = {g: _raw_gram(m, stats) for g, m in local_gram(rows, "fold", columns=stats).items()}
         total = sum(grams.values())
 
         def lasso(columns: Sequence[int]) -> float:
             at = np.array([0, *[c + 1 for c in columns], len(total) - 1])
+            spread = stats.spread[[*columns, -1]]
             cut = np.ix_(at, at)
             n, _, cross = covariance(total[cut])
             top = float(np.max(np.abs(cross[:-1, -1]))) / n
             alphas = [top * 10 ** (-3 * i / 9) for i in range(10)]
             r2 = []
             for test in grams.values():
-                path, mean = _lasso_path((total - test)[cut], alphas, 1e-5)
+                path, mean = _lasso_path((total - test)[cut], alphas, spread, 1e-5)
                 held = test[cut]
                 var = held[-1, -1] / held[0, 0] - (held[0, -1] / held[0, 0]) ** 2
                 vs = [np.concatenate([[mean[-1] - b @ mean[:-1]], b, [-1.0]]) for b in path]
@@ -413,21 +434,22 @@ def survivors(support: DataFrame) -> DataFrame:
     return support.groupBy("step", "method").agg(F.sum(F.col("keep").cast("long")).alias("n_kept"))
 
 
-def correlation_matrix(feat: DataFrame, max_features: int = 100) -> DataFrame:
-    """Pearson correlations (f1, f2, r) of up to ``max_features`` features; null beside a constant one.
+def correlation_matrix(feat: DataFrame) -> DataFrame:
+    """Pearson correlations (f1, f2, r) of all features; null beside a constant one.
 
-    The cross products are summed in one pass; pairs of cases or of rows are never formed.
+    The cross products of the centred, scaled columns are summed in one pass and stay a table of one row per column;
+    pairs of cases or of rows are never formed, and the matrix does not reach the driver.
     """
     names = feature_names(feat)
-    if len(names) > max_features:
-        raise ValueError(f"{len(names)} features exceed {max_features}: select features first")
     rows = to_arrays(feat)
-    n, _, cross = covariance(local_gram(rows)["all"])
-    cross = cross[:-1, :-1]
-    scale = np.sqrt(np.diag(cross))
-    cells = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            flat = min(scale[i], scale[j]) <= 1e-12 * math.sqrt(n)
-            cells.append((a, b, None if flat else float(cross[i, j] / scale[i] / scale[j])))
-    return feat.sparkSession.createDataFrame(cells, "f1 string, f2 string, r double")
+    columns = column_stats(rows)
+    flat = F.array(*[F.lit(bool(s == 0)) for s in columns.spread[:-1]])
+    label = F.array(*[F.lit(n) for n in names])
+    lines = gram(rows, columns=columns).filter((F.col("i") >= 1) & (F.col("i") <= len(names)))
+    cells = lines.select(F.col("i"), F.col("row")[0].alias("_0"), F.posexplode(F.slice("row", 2, len(names))).alias("j", "xy"))
+    count = F.lit(float(max(rows.count() - 1, 1)))
+    constant = F.get(flat, F.col("i") - 1) | F.get(flat, F.col("j"))
+    return cells.select(
+        F.get(label, F.col("i") - 1).alias("f1"), F.get(label, F.col("j")).alias("f2"),
+        F.when(~constant, F.col("xy") / count).alias("r"),
+    )

@@ -608,6 +608,8 @@ FROM mm JOIN nl USING (label) JOIN psi pl ON pl.n = nl JOIN psi pm ON pm.n = m J
         "cr AS (SELECT a.feature AS f1, b.feature AS f2, abs(corr(a.value, b.value)) AS c FROM feat a JOIN feat b USING (case_id) WHERE a.ord < 64 AND b.ord < 64 GROUP BY ALL)",
         *picks,
     ) + " UNION ALL ".join(f"SELECT CAST(rank AS INTEGER) AS rank, feature, {r('score')} AS score FROM p{t}" for t in range(1, 6))
+    # The scaled features have the same correlations and F scores.
+    out["mrmr_mixed_scale"] = out["mrmr_select"]
     relief = """rg AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM feat GROUP BY feature),
 un AS (SELECT case_id, label, feature, ord, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END AS u FROM feat JOIN rg USING (feature)),
 an AS (SELECT case_id FROM (SELECT case_id, row_number() OVER (ORDER BY md5(case_id || '|42'), case_id) AS k FROM cohort) WHERE k <= 20),
@@ -647,6 +649,9 @@ cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PA
     area = """tz AS (SELECT method, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM rc WINDOW w AS (PARTITION BY method ORDER BY fpr, tpr)),
 au AS (SELECT method, sum(a) AS auc FROM tz GROUP BY method)"""
     out["roc_curve"] = with_(PRED, curve, roc) + f"SELECT method, {r('threshold')} AS threshold, {r('fpr')} AS fpr, {r('tpr')} AS tpr FROM rc"
+    out["auc_rare_event"] = with_(PRED.replace("pred AS", "pred0 AS", 1), "pred AS (SELECT label, method, prob * 0.0009 AS prob FROM pred0)", curve, roc, area) + (
+        f"SELECT method, {r('auc')} AS auc FROM au"
+    )
     out["auc"] = with_(PRED, curve, roc, area) + f"SELECT method, {r('auc')} AS auc FROM au"
     out["rank_methods"] = with_(PRED, curve, roc, area) + (
         f"SELECT method, {r('auc')} AS auc, CAST(row_number() OVER (ORDER BY auc DESC, method) AS INTEGER) AS rank, row_number() OVER (ORDER BY auc DESC, method) <= 3 AS top FROM au"

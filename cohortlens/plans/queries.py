@@ -406,6 +406,13 @@ def mrmr_select(spark, d):
     return rounded(selection.mrmr_ranking(_feat(spark, d), 5), "score")
 
 
+@query
+def mrmr_mixed_scale(spark, d):
+    """Features of very different size: the ranking must not depend on it."""
+    feat = _feat(spark, d).withColumn("value", F.col("value") * F.pow(F.lit(10.0), F.col("ord") % 19 - 9))
+    return rounded(selection.mrmr_ranking(feat, 5), "score")
+
+
 @query
 def relief_weights(spark, d):
     return rounded(scoring.relief_weights(_feat(spark, d), 20).select("feature", "score"), "score")
@@ -485,7 +492,7 @@ def sequential_select_backward(spark, d):
 
 @query
 def boruta_select(spark, d):
-    return selection.boruta_select(_narrow(spark, d)[0], max_iter=5, trees=10).select("feature", "score", "keep")
+    return selection.boruta_select(_narrow(spark, d)[0], max_iter=8, trees=10).select("feature", "score", "keep")
 
 
 # ------------------------------------------------------------------------------------------- classifiers
@@ -634,6 +641,13 @@ def auc(spark, d):
     return rounded(evaluation.auc(fx.predictions(spark, d)), "auc")
 
 
+@query
+def auc_rare_event(spark, d):
+    """All scores below 0.001, as a rare-event classifier gives them."""
+    pred = fx.predictions(spark, d).withColumn("prob", F.col("prob") * 0.0009)
+    return rounded(evaluation.auc(pred), "auc")
+
+
 @query
 def rank_methods(spark, d):
     return rounded(evaluation.rank_methods(fx.predictions(spark, d)), "auc")
