@@ -1,8 +1,8 @@
 """Quality classifier by co-training: a view of the text and a view of the metadata teach each other.
 
-* Content view: distinct hashed words (lower case) and word endings of the whole text. Metadata view: language, source and
-  octave of the length, and their pairs. Both are naive Bayes over feature presence, so a round of training is one pass that
-  counts documents by feature and class.
+* Content view: distinct hashed words (lower case), their stems and endings, over the whole text. Metadata view: language, source and
+  octave of the length, and their pairs. Both are naive Bayes over the presence of features that tell the classes apart
+  significantly, so a round of training is one pass that counts documents by feature and class.
 * Each round, every document without a label is scored by both views. Where one view is confident, its pseudo-label trains
   the *other* view in the next round, beside the true labels; pseudo-labels are drawn anew each round, so an early mistake
   does not stay.
@@ -32,25 +32,30 @@ from cohortlens.llm.hashing import SPACE, chunks, mix, prefix_hash, span_hash
 from cohortlens.llm.tables import text_of, written
 
 BUCKETS = 1 << 16
+#: First bytes of a word that are a feature of their own.
+STEM = 4
 META_BUCKETS = 1 << 12
 ROUNDS = 3
-#: Calibrated probability from which a view teaches the other one.
-CONFIDENT = 0.95
+#: Odds by which a view must move the prior, and the least probability of its verdict, to teach the other view.
+EVIDENCE, CONFIDENT = 19.0, 0.9
 FOLDS = 5
 CALIBRATION_ROWS = 20_000
-#: Pseudo-counts of a feature, per target: toxic words are few among many rare ones.
-SMOOTHING = np.array([50.0, 20.0])
+#: Pseudo-counts of a feature; its rates in the two classes count if they lie so many standard deviations and such a factor
+#: apart. The factor keeps out common words, whose presence tells little but the length, and that in many correlated copies.
+SMOOTHING = 5.0
+SIGNIFICANT, FACTOR = 4.0, {"content": 4.0, "metadata": 1.1}
 TARGETS = ("quality", "toxic")
 VIEWS = {"content": BUCKETS, "metadata": META_BUCKETS}
 
 
 @dataclass
 class Model:
-    """Per view: feature weights and offset of each target, and the calibration (slope, offset)."""
+    """Per view: feature weights and offset of each target, and the calibration (slope, offset); log odds of the targets."""
 
     weights: dict[str, np.ndarray]
     offset: dict[str, np.ndarray]
     scale: dict[str, np.ndarray]
+    prior: np.ndarray
 
 
 def _content(texts: list[bytes]) -> list[np.ndarray]:
@@ -63,9 +68,10 @@ def _content(texts: list[bytes]) -> list[np.ndarray]:
         bounds = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts[a:b]]]))
         words = span_hash(prefix_hash(lower), start, end)
         endings = span_hash(prefix_hash(data), np.maximum(end - 2, start), end) ^ np.uint64(1)
+        stems = span_hash(prefix_hash(lower), start, np.minimum(start + STEM, end)) ^ np.uint64(2)
         for i in range(b - a):
             s = slice(bounds[i], bounds[i + 1])
-            out.append(np.unique(mix(np.concatenate([words[s], endings[s]])) % np.uint64(BUCKETS)).astype(np.int32))
+            out.append(np.unique(mix(np.concatenate([words[s], endings[s], stems[s]])) % np.uint64(BUCKETS)).astype(np.int32))
     return out
 
 
@@ -123,8 +129,10 @@ def _count(batches, model: Model | None):
         if model is not None:
             raw = _raw(batch, model)
             for own, other in (("content", "metadata"), ("metadata", "content")):
-                p = 1 / (1 + np.exp(-np.clip(raw[other] * model.scale[other][0] + model.scale[other][1], -60, 60)))
-                pseudo = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+                odds = raw[other] * model.scale[other][0] + model.scale[other][1]
+                sure, moved = np.log(CONFIDENT / (1 - CONFIDENT)), odds - model.prior
+                yes, no = (odds >= sure) & (moved >= np.log(EVIDENCE)), (odds <= -sure) & (moved <= -np.log(EVIDENCE))
+                pseudo = np.where(yes, 1, np.where(no, 0, -1))
                 teach[own] = np.where(true < 0, pseudo, teach[own])
         for view in VIEWS:
             column = batch.column(view)
@@ -159,11 +167,17 @@ def train(rows: DataFrame, model: Model | None) -> Model:
         table[feature[own]] = flat[own].reshape(-1, len(TARGETS), 2)
         docs = table[-1]
         # Pseudo-counts in proportion to the classes draw rare features to no evidence, whichever class is larger.
-        rate = table[:-1] / np.maximum(docs, 1) + (SMOOTHING / np.maximum(docs.sum(1), 1))[:, None]
+        some = np.maximum(docs, 1)
+        rate = table[:-1] / some + (SMOOTHING / some.sum(1))[:, None]
+        overall = table[:-1].sum(2) / some.sum(1)
+        deviation = np.sqrt(overall * (1 - overall) * (1 / some).sum(1)) + 1e-12
+        clear = np.abs(table[:-1, :, 1] / some[:, 1] - table[:-1, :, 0] / some[:, 0]) >= SIGNIFICANT * deviation
         usable = (docs > 0).all(1)
-        weights[v] = np.where(usable, np.log(rate[:, :, 1]) - np.log(rate[:, :, 0]), 0.0)
+        weight = np.log(rate[:, :, 1]) - np.log(rate[:, :, 0])
+        weights[v] = np.where(usable & clear & (np.abs(weight) >= np.log(FACTOR[v])), weight, 0.0)
         offset[v] = np.where(usable, np.log(docs[:, 1] + 0.5) - np.log(docs[:, 0] + 0.5), 0.0)
-    return Model(weights, offset, {v: np.array([[1.0] * len(TARGETS), [0.0] * len(TARGETS)]) for v in VIEWS})
+    scale = {v: np.array([[1.0] * len(TARGETS), [0.0] * len(TARGETS)]) for v in VIEWS}
+    return Model(weights, offset, scale, np.zeros(len(TARGETS)))
 
 
 def _score_rows(batches, model: Model):
@@ -202,17 +216,18 @@ def calibrate(rows: DataFrame, model: Model) -> tuple[Model, dict[str, np.ndarra
     kinds = ", ".join([f"{t} {rows.schema[t].dataType.simpleString()}" for t in TARGETS] + [f"{n} double" for n in names])
     found = held.mapInArrow(lambda b: _score_rows(b, model), kinds).toArrow()
     scale = {v: np.zeros((2, len(TARGETS))) for v in VIEWS}
-    combination = {}
+    combination, prior = {}, np.zeros(len(TARGETS))
     for t, target in enumerate(TARGETS):
         y = found.column(target).fill_null(-1).to_numpy()
         own = y >= 0
+        prior[t] = np.log((np.sum(y[own] == 1) + 0.5) / (np.sum(y[own] == 0) + 0.5))
         views = []
         for v in VIEWS:
             x = found.column(f"{v}_{target}").to_numpy()[own]
             scale[v][:, t] = logistic(x[:, None], y[own])
             views.append(x * scale[v][0, t] + scale[v][1, t])
         combination[target] = logistic(np.stack(views, 1), y[own])
-    return Model(model.weights, model.offset, scale), combination
+    return Model(model.weights, model.offset, scale, prior), combination
 
 
 def _final(batches, model: Model, combination: dict[str, np.ndarray]):

@@ -146,7 +146,7 @@ def test_pseudo_labels_come_from_the_other_view():
     weights["content"][1, 0] = 9.0
     flat = {v: np.zeros(2) for v in cotraining.VIEWS}
     scale = {v: np.array([[1.0, 1.0], [0.0, 0.0]]) for v in cotraining.VIEWS}
-    out = [b.to_pylist() for b in cotraining._count([rows], cotraining.Model(weights, flat, scale))]
+    out = [b.to_pylist() for b in cotraining._count([rows], cotraining.Model(weights, flat, scale, np.zeros(2)))]
     assert [(r["view"], r["feature"], r["c1"]) for part in out for r in part] == [("metadata", 3, 1), ("metadata", -1, 1)]
 
 
