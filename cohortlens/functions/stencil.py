@@ -1,7 +1,7 @@
 """Neighbourhood gathering on dense voxel tables.
 
 Voxels are packed to one row per image line, so what is shuffled and ordered are lines, not voxels. Volumes are cut
-along z into slabs of fixed depth and the two slices next to a cut go to both sides. Inside a slab, lag/lead over y and
+along z into slabs and along y into bands of fixed size, and the lines next to a cut go to both sides. Inside a slab, lag/lead over y and
 over z bring the eight neighbouring lines next to every line; unpacking then reads all 27 values of a voxel by position.
 Neither a volume nor a self-join ever has to meet in one task. Lines must be present for the whole box that is passed
 in, as image arrays are; gaps inside a line are filled with null.
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLAB = 16
+#: Lines of a slice that one task holds beside the rims.
+BAND = 256
 CENTRE = 13
 
 # The 13 forward directions (dz, dy, dx): those that are lexicographically positive.
@@ -61,21 +63,26 @@ def _beside(df: DataFrame, within: Sequence[str], axis: str, names: Sequence[str
 
 
 def neighbour_lines(
-    vox: DataFrame, column: str, keys: Sequence[str], carry: Sequence[str] = (), depth: int = SLAB
+    vox: DataFrame, column: str, keys: Sequence[str], carry: Sequence[str] = (), depth: int = SLAB, rows: int = BAND
 ) -> DataFrame:
     """Packed lines with their neighbours: ``l``, ``l_y0``, ``l_y2`` along y, each again with ``_z0``/``_z2``.
 
     ``carry`` columns come along for the centre line. One row per line makes this the cheap form to persist.
     """
     lines = pack_lines(vox, [column, *carry], keys)
-    z = F.col("z")
-    homes = F.array_distinct(F.array(*[F.floor(c / depth) for c in (z, F.greatest(z - 1, F.lit(0)), z + 1)]))
+
+    def homes(at: Column, size: int) -> Column:
+        return F.array_distinct(F.array(*[F.floor(c / size) for c in (at, F.greatest(at - 1, F.lit(0)), at + 1)]))
+
+    z, y = F.col("z"), F.col("y")
     held = lines.select(
-        *keys, "z", "y", F.struct("lo", F.col(column).alias("v")).alias("l"), *carry, F.explode(homes).alias("_slab")
-    ).repartition(*keys, "_slab")
-    held = _beside(held, [*keys, "_slab", "z"], "y", ["l"])
-    held = _beside(held, [*keys, "_slab", "y"], "z", ["l", "l_y0", "l_y2"])
-    return held.filter(F.col("_slab") == F.floor(z / depth)).drop("_slab")
+        *keys, "z", "y", F.struct("lo", F.col(column).alias("v")).alias("l"), *carry, F.explode(homes(z, depth)).alias("_slab")
+    )
+    held = held.withColumn("_band", F.explode(homes(y, rows))).repartition(*keys, "_slab", "_band")
+    held = _beside(held, [*keys, "_slab", "_band", "z"], "y", ["l"])
+    held = _beside(held, [*keys, "_slab", "_band", "y"], "z", ["l", "l_y0", "l_y2"])
+    own = (F.col("_slab") == F.floor(z / depth)) & (F.col("_band") == F.floor(y / rows))
+    return held.filter(own).drop("_slab", "_band")
 
 
 def neighbour_lines_in_slice(vox: DataFrame, column: str, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:

@@ -313,6 +313,8 @@ def mlp(train: DataFrame, hidden: Sequence[int] = (16,), max_iter: int = 100, se
 
 # ---------------------------------------------------------------------------------------------- neighbours
 
+#: Test rows whose distances to a train block are held at once.
+VISIT_ROWS = 32
 BLOCK_ROWS = 2048
 MAX_COPIES = 64
 
@@ -353,16 +355,22 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, exclude_self:
                 ids, votes = np.asarray(row.r_ids, dtype=object), np.asarray(row.r_labels)
                 order = np.argsort(ids, kind="stable")
                 b, ids, votes = b[order], ids[order], votes[order]
-                found = []
-                for case, label, point in zip(row.l_ids, row.l_labels, a):
-                    gap = b - point
-                    d = np.sqrt((gap * gap).sum(axis=1))
+                for at in range(0, len(a), VISIT_ROWS):
+                    part, own = a[at : at + VISIT_ROWS], np.asarray(row.l_ids[at : at + VISIT_ROWS], dtype=object)
+                    d = np.sqrt(((part[:, None, :] - b) ** 2).sum(axis=2))
                     if exclude_self:
-                        d = np.where(ids == case, np.inf, d)
-                    for at in np.argsort(d, kind="stable")[:k]:
-                        if np.isfinite(d[at]):
-                            found.append((case, label, ids[at], int(votes[at]), float(d[at])))
-                yield pd.DataFrame(found, columns=["case_id", "label", "neighbour", "vote", "d"])
+                        d = np.where(own[:, None] == ids, np.inf, d)
+                    reach = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    i, j = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
+                    # Ties at the reach are settled by id, the order of j.
+                    order = np.lexsort((j, d[i, j], i))
+                    i, j = i[order], j[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[rank < k], j[rank < k]
+                    labels = np.asarray(row.l_labels[at : at + VISIT_ROWS])
+                    yield pd.DataFrame(
+                        {"case_id": own[i], "label": labels[i], "neighbour": ids[j], "vote": votes[j].astype(int), "d": d[i, j]}
+                    )
 
     schema = "case_id string, label int, neighbour string, vote int, d double"
     near = left.join(right, ["r_block", "_copy"]).mapInPandas(visit, schema)

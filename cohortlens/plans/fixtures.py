@@ -121,3 +121,11 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("v1"),
         (F.col("value") * F.col("value")).alias("v2"),
     )
+
+
+def corner_voxels(spark: SparkSession, sf_dir: str, odd_only: bool = False) -> DataFrame:
+    """``voxels`` whose region is confined to one corner of the cube: for all cases, or for those of odd number."""
+    corner = (F.col("z") >= 1) & (F.col("y") <= 2) & (F.col("x") >= 2)
+    if odd_only:
+        corner = corner | (F.col("case_id").cast("int") % 2 == 0)
+    return voxels(spark, sf_dir).withColumn("mask", F.when(corner, F.col("mask")).otherwise(0))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from ..operators.filters import COIF1_HIGH, COIF1_LOW, WAVELET_BANDS
 from ..operators.models import rff_matrix
-from ..functions.stencil import DIRECTIONS
+
+# The 13 half-space neighbour steps (dz, dy, dx), the coif1 filters and the names of the sub-bands.
+DIRECTIONS = [
+    (0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (1, -1, -1), (1, -1, 0), (1, -1, 1), (1, 0, -1), (1, 0, 0), (1, 0, 1),
+    (1, 1, -1), (1, 1, 0), (1, 1, 1),
+]
+COIF1_LOW = [-0.01565572813546454, -0.0727326195128539, 0.38486484686420286, 0.8525720202122554, 0.3378976624578092, -0.0727326195128539]
+COIF1_HIGH = [0.0727326195128539, 0.3378976624578092, -0.8525720202122554, 0.38486484686420286, 0.0727326195128539, -0.01565572813546454]
+WAVELET_BANDS = ["LLH", "LHL", "LHH", "HLL", "HLH", "HHL", "HHH", "LLL"]
 
 # ------------------------------------------------------------------------------------------- input views
 
@@ -14,6 +21,12 @@ VOX = """vox AS (
          CAST(CASE WHEN m.modality = 'A' THEN e.embedding[p.i + 1] ELSE e.embedding[64 - p.i] END AS DOUBLE) AS value,
          CASE WHEN CAST(e.embedding[p.i + 1] AS DOUBLE) > CAST(-0.05 AS DOUBLE) THEN 1 ELSE 0 END AS mask
   FROM embeddings e CROSS JOIN range(64) p(i) CROSS JOIN (VALUES ('A'), ('B')) m(modality))"""
+# The ROI confined to one corner, for every case in CORNER and for odd cases only in MIXED.
+_PART = "CASE WHEN {where}(z >= 1 AND y <= 2 AND x >= 2) THEN mask ELSE 0 END AS mask"
+CORNER = VOX.replace("vox AS", "vox0 AS", 1) + ", vox AS (SELECT case_id, modality, z, y, x, value, " + _PART.format(where="") + " FROM vox0)"
+MIXED = VOX.replace("vox AS", "vox0 AS", 1) + ", vox AS (SELECT case_id, modality, z, y, x, value, " + (
+    _PART.format(where="CAST(case_id AS INTEGER) % 2 = 0 OR ") + " FROM vox0)"
+)
 VOL = """vol AS (
   SELECT CAST(vec_id AS VARCHAR) AS case_id, m.modality, CAST(2.0 AS DOUBLE) AS sz,
          CAST(0.5 + 0.25 * (vec_id % 2) AS DOUBLE) AS sy, CAST(0.5 + 0.25 * (vec_id % 2) AS DOUBLE) AS sx
@@ -292,6 +305,7 @@ def _features() -> dict[str, str]:
     out["shape3d"] = with_(VOX, VOL, ctes) + unpack(values, KEYS, "sh")
     out["glcm_matrix"] = with_(VOX, lv, pairs(KEYS)) + f"SELECT {KEYS}, CAST(dir AS INTEGER) AS dir, i, j, {big('n')} AS n FROM glcm"
     ctes, values = glcm_parts(KEYS)
+    out["glcm_cut"] = out["glcm_matrix"]
     out["glcm_features"] = with_(VOX, lv, ctes) + grouped(values, KEYS, "gf")
     out["glrlm_matrix"] = with_(VOX, lv, glrlm_cte(KEYS)) + (
         f"SELECT {KEYS}, CAST(dir AS INTEGER) AS dir, level, CAST(len AS INTEGER) AS len, {big('n')} AS n FROM glrlm"
@@ -308,6 +322,7 @@ def _features() -> dict[str, str]:
     out["glszm_matrix"] = with_(VOX, lv, steps("ring", AROUND), glszm_cte(KEYS), recursive=True) + (
         f"SELECT {KEYS}, level, {big('size')} AS size, {big('n')} AS n FROM glszm"
     )
+    out["glszm_cut"] = out["glszm_matrix"]
     ctes, values = size_parts("zn", "glszm", KEYS, "size", ZONE_LABELS, True)
     out["glszm_features"] = with_(VOX, lv, steps("ring", AROUND), glszm_cte(KEYS), ctes, recursive=True) + unpack(values, KEYS, "zn_f")
     out["shape2d"] = with_(
@@ -376,6 +391,7 @@ FROM events LEFT JOIN customer ON user_id = c_custkey"""
   max(z) FILTER (mask = 1) + 1 AS mask_z, max(y) FILTER (mask = 1) + 1 AS mask_y, max(x) FILTER (mask = 1) + 1 AS mask_x,
   coalesce(max(z) = max(z) FILTER (mask = 1) AND max(y) = max(y) FILTER (mask = 1) AND max(x) = max(x) FILTER (mask = 1), false) AS ok
 FROM vox GROUP BY ALL"""
+    out["geometry_check_mixed"] = out["geometry_check"].replace(VOX, MIXED)
     out["feature_count_check"] = with_(FEAT) + """SELECT case_id, count(DISTINCT feature) AS n_features FROM feat WHERE value > 0
 GROUP BY ALL HAVING count(DISTINCT feature) <> 33"""
     out["binarize_mask"] = with_(VOX) + f"SELECT {V}, CASE WHEN mask + CASE WHEN value > 0 THEN 1 ELSE 0 END > 1 THEN 1 ELSE 0 END AS mask FROM vox"
@@ -388,6 +404,7 @@ GROUP BY ALL HAVING count(DISTINCT feature) <> 33"""
     out["crop_to_roi"] = with_(VOX, """bb AS (SELECT case_id, modality, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM vox WHERE mask = 1 GROUP BY ALL)""") + (
         f"SELECT {V}, value FROM vox JOIN bb USING (case_id, modality) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1"
     )
+    out["crop_to_roi_corner"] = out["crop_to_roi"].replace(VOX, CORNER)
     out["normalize_image"] = with_(VOX) + (
         f"SELECT {V}, {r('(value - avg(value) OVER w) / stddev_pop(value) OVER w')} AS value FROM vox WINDOW w AS (PARTITION BY case_id, modality)"
     )

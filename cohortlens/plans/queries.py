@@ -70,6 +70,13 @@ def geometry_check(spark, d):
     return checks.geometry_check(checks.image_dims(vox), checks.image_dims(vox.filter("mask = 1")))
 
 
+@query
+def geometry_check_mixed(spark, d):
+    """Masks of odd cases fill a corner only: both answers occur."""
+    vox = fx.corner_voxels(spark, d, odd_only=True)
+    return checks.geometry_check(checks.image_dims(vox), checks.image_dims(vox.filter("mask = 1")))
+
+
 @query
 def feature_count_check(spark, d):
     """Features above zero per case, against an expected number."""
@@ -102,6 +109,12 @@ def crop_to_roi(spark, d):
     return prepare.crop_to_roi(fx.voxels(spark, d)).select(*VOXEL, "value")
 
 
+@query
+def crop_to_roi_corner(spark, d):
+    """A region in one corner: most voxels are cut off."""
+    return prepare.crop_to_roi(fx.corner_voxels(spark, d)).select(*VOXEL, "value")
+
+
 @query
 def normalize_image(spark, d):
     return rounded(prepare.normalize_image(fx.voxels(spark, d)).select(*VOXEL, "value"), "value")
@@ -207,6 +220,13 @@ def glcm_matrix(spark, d):
     return texture.glcm_matrix(texture.level_neighbours(_levels(spark, d)))
 
 
+@query
+def glcm_cut(spark, d):
+    """Slabs of two slices and bands of two lines: pairs cross the cuts."""
+    levels = _levels(spark, d)
+    return texture.glcm_matrix(texture.level_neighbours(levels, texture.level_lines(levels, depth=2, rows=2)))
+
+
 @query
 def glcm_features(spark, d):
     matrix = texture.glcm_matrix(texture.level_neighbours(_levels(spark, d)))
@@ -236,6 +256,12 @@ def glszm_matrix(spark, d):
     return texture.glszm_matrix(_levels(spark, d))
 
 
+@query
+def glszm_cut(spark, d):
+    """Slabs of two slices: zones are merged across the cuts."""
+    return texture.glszm_matrix(_levels(spark, d), depth=2)
+
+
 @query
 def glszm_features(spark, d):
     levels = _levels(spark, d)

@@ -262,3 +262,31 @@ def test_run_from_features(feat, folder, on_train):
     out = pipelines.run_from_features(feat, config, folder)
     assert out["ranking"].count() == 4 and out["ranking"].filter("rank = 1").first()["auc"] > 0.9
     assert out["metrics"].count() == 22 and out["predictions"].count() == 320
+
+
+def test_range_chunks_are_even(spark):
+    from cohortlens.functions.ordered import range_chunks
+
+    df = spark.range(4000).select(F.lit("m").alias("k"), (F.pow("id", F.lit(4)) / 4000.0**4 * 1e-3).alias("v"))
+    sizes = [r["count"] for r in range_chunks(df, ["k"], ["v"]).groupBy("_chunk").count().collect()]
+    assert max(sizes) <= 2 * 4000 / len(sizes)
+
+
+def test_mrmr_does_not_depend_on_scale(spark):
+    rng = np.random.default_rng(0)
+    y = np.arange(60) % 2
+    columns = [(y + rng.normal(0, 0.3, 60)) * 1e-5, rng.normal(0, 1e9, 60), rng.normal(0, 1, 60), np.full(60, 3.0)]
+    rows = [(str(i), int(y[i]), f"f{j}", j, float(c[i])) for j, c in enumerate(columns) for i in range(60)]
+    feat = spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double")
+    ranked = [r["feature"] for r in selection.mrmr_ranking(feat, 4).orderBy("rank").collect()]
+    assert ranked[0] == "f0" and sorted(ranked) == ["f0", "f1", "f2"]
+
+
+def test_correlations_of_many_features(spark):
+    """More features than the former limit of the heat map; the matrix stays a table."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12, 130)) * 10.0 ** rng.integers(-6, 6, 130)
+    rows = [(str(i), i % 2, f"f{j:03d}", j, float(x[i, j])) for i in range(12) for j in range(130)]
+    feat = spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double")
+    got = selection.correlation_matrix(feat).toPandas().pivot(index="f1", columns="f2", values="r").to_numpy()
+    assert got == pytest.approx(np.corrcoef(x.T), abs=1e-9)

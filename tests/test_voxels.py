@@ -215,3 +215,20 @@ def test_number_of_features_per_modality(spark):
     case = {"c": (rng.normal(size=(5, 5, 5)), (rng.random((5, 5, 5)) < 0.8).astype(int))}
     out = extract.extract_features(voxel_frame(spark, case), volume_frame(spark, case), binwidth=0.5)
     assert out.select("feature").distinct().count() == out.count() == 15 * 95 + 14
+
+
+def test_gaps_in_a_line_keep_their_place(spark):
+    """A missing voxel must not move its neighbours together: far from the gap the Laplacian is that of the whole line."""
+    from cohortlens.operators.filters import laplacian_of_gaussian
+
+    schema = "case_id string, modality string, z int, y int, x int, value double, mask int"
+    rows = [("c", "A", 0, 0, x, float(x * x), 1) for x in range(40)]
+    volumes = spark.createDataFrame(
+        [("c", "A", 1.0, 1.0, 1.0)], "case_id string, modality string, spacing_z double, spacing_y double, spacing_x double"
+    )
+    whole, holed = (
+        {r["x"]: r["value"] for r in laplacian_of_gaussian(spark.createDataFrame(part, schema), volumes, 1.0).collect()}
+        for part in (rows, [r for r in rows if r[4] != 8])
+    )
+    assert set(holed) == set(whole) - {8}
+    assert all(abs(holed[x] - whole[x]) < 1e-9 for x in range(13, 40)) and abs(holed[7] - whole[7]) > 1e-6
