@@ -58,7 +58,8 @@ class Model:
     prior: np.ndarray
 
 
-def _content(texts: list[bytes]) -> list[np.ndarray]:
+def _content(texts: list[bytes]) -> list[bytes]:
+    """Distinct feature numbers of each text, two bytes each (``BUCKETS`` numbers)."""
     out = []
     for a, b in chunks(texts):
         raw = b" ".join([*texts[a:b], b""])
@@ -71,7 +72,8 @@ def _content(texts: list[bytes]) -> list[np.ndarray]:
         stems = span_hash(prefix_hash(lower), start, np.minimum(start + STEM, end)) ^ np.uint64(2)
         for i in range(b - a):
             s = slice(bounds[i], bounds[i + 1])
-            out.append(np.unique(mix(np.concatenate([words[s], endings[s], stems[s]])) % np.uint64(BUCKETS)).astype(np.int32))
+            found = mix(np.concatenate([words[s], endings[s], stems[s]])) % np.uint64(BUCKETS)
+            out.append(np.unique(found.astype(np.uint16)).tobytes())
     return out
 
 
@@ -79,7 +81,7 @@ def _features(batches):
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(_content(texts), pa.list_(pa.int32())), batch.column("metadata")],
+            [batch.column("doc_id"), pa.array(_content(texts), pa.binary()), batch.column("metadata")],
             ["doc_id", "content", "metadata"],
         )
 
@@ -93,7 +95,7 @@ def feature_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     meta = F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(k), v), F.lit(META_BUCKETS)).cast("int") for k, v in sets]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of(docs).alias("text"), meta.alias("metadata")).mapInArrow(
-        _features, f"doc_id {kind}, content array<int>, metadata array<int>"
+        _features, f"doc_id {kind}, content binary, metadata array<int>"
     )
     one = labels.groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string"))
@@ -102,12 +104,31 @@ def feature_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.withColumn("order", order).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int")), "cotraining")
 
 
+#: Documents whose features are looked up at once.
+SLICE = 1_000
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all rows, and where each row's begin and end."""
+    if pa.types.is_binary(column.type):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        ids = np.frombuffer(data, np.uint16, (ends[-1] - ends[0]) // 2, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint16)
+        return ids, (ends - ends[0]) // 2
+    return column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+
+
 def _raw(batch: pa.RecordBatch, model: Model) -> dict[str, np.ndarray]:
     """Log odds of each view, a row per document and a column per target."""
     out = {}
     for view in VIEWS:
-        column = batch.column(view)
-        ids, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        ids, ends = _numbers(batch.column(view))
         sums = np.concatenate((np.zeros((1, len(TARGETS))), np.cumsum(model.weights[view][ids], axis=0)))
         out[view] = sums[ends[1:]] - sums[ends[:-1]] + model.offset[view]
     return out
@@ -122,7 +143,7 @@ def _label_matrix(batch: pa.RecordBatch) -> np.ndarray:
 def _count(batches, model: Model | None):
     """Documents by view, feature, target and class; feature -1 counts documents. Summed over the task."""
     total = {v: np.zeros((n + 1, len(TARGETS), 2), np.int64) for v, n in VIEWS.items()}
-    for batch in batches:
+    for batch in _slices(batches):
         true = _label_matrix(batch)
         held = batch.column("fold").to_numpy() == 0
         teach = {v: np.where(held[:, None], -1, true) for v in VIEWS}
@@ -135,9 +156,8 @@ def _count(batches, model: Model | None):
                 pseudo = np.where(yes, 1, np.where(no, 0, -1))
                 teach[own] = np.where(true < 0, pseudo, teach[own])
         for view in VIEWS:
-            column = batch.column(view)
-            ids = column.flatten().to_numpy()
-            sizes = np.diff(column.offsets.to_numpy())
+            ids, ends = _numbers(batch.column(view))
+            sizes = np.diff(ends)
             for t in range(len(TARGETS)):
                 for c in (0, 1):
                     of = teach[view][:, t] == c
@@ -181,7 +201,7 @@ def train(rows: DataFrame, model: Model | None) -> Model:
 
 
 def _score_rows(batches, model: Model):
-    for batch in batches:
+    for batch in _slices(batches):
         raw = _raw(batch, model)
         names = [f"{v}_{t}" for v in VIEWS for t in TARGETS]
         columns = [pa.array(raw[v][:, t]) for v in VIEWS for t in range(len(TARGETS))]
@@ -231,7 +251,7 @@ def calibrate(rows: DataFrame, model: Model) -> tuple[Model, dict[str, np.ndarra
 
 
 def _final(batches, model: Model, combination: dict[str, np.ndarray]):
-    for batch in batches:
+    for batch in _slices(batches):
         raw = _raw(batch, model)
         calibrated = {v: raw[v] * model.scale[v][0] + model.scale[v][1] for v in VIEWS}
         chance = lambda z: pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))

@@ -137,7 +137,7 @@ def test_pseudo_labels_come_from_the_other_view():
 
     rows = pa.record_batch(
         [
-            pa.array([[1], [2]], pa.list_(pa.int32())), pa.array([[3], [4]], pa.list_(pa.int32())),
+            pa.array([b"\1\0", b"\2\0"], pa.binary()), pa.array([[3], [4]], pa.list_(pa.int32())),
             pa.array([None, None], pa.int32()), pa.array([None, None], pa.int32()), pa.array([1, 1], pa.int32()),
         ],
         ["content", "metadata", "quality", "toxic", "fold"],
