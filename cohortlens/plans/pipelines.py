@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable
 from ..operators import evaluation, frame, models, prepare, scoring, selection
 from ..operators.extract import FEATURE_CLASSES, STANDARD_FILTERS, extract_features
 from ..operators.first_order import first_order
@@ -186,7 +185,6 @@ def prepare_ct(
     clipped = extract_features(prepare.clip_percentile(grid), target, binwidth=10, **extract)
     windowed = extract_features(prepare.change_window(grid), target, binwidth=5, **extract)
     both = clipped.withColumn("image", F.lit("original")).unionByName(windowed.withColumn("image", F.lit("windowed")))
-    both = durable(both)  # used twice, and the dearest step of all
     misses = checks.feature_count_check(both, expected or 0, ("case_id", "image"))
     return both.join(clinical, "case_id", "left"), misses if expected is not None else misses.limit(0)
 
