@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cohortlens.llm.license_rules import rules
 from cohortlens.llm.tables import text_of
@@ -22,7 +22,7 @@ from cohortlens.llm.tables import text_of
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 BASE_CONFIDENCE = 0.9
 #: Bytes that are not part of a word become blanks.
-WORD_BYTES = bytes(b if chr(b).isdigit() or 97 <= b <= 122 or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
+WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
