@@ -14,6 +14,10 @@ in the totals.
 Defined cases: null or empty texts have no tokens, the prior as posterior, and do not matter to the totals; labels of null
 or other domains are passed over; without labels every posterior is even; repeated rows are documents of their own; an empty
 table gives an empty result.
+
+``mixed_documents`` thins out unwanted text and nothing else: one domain stays whole, the shares of the others are upper limits.
+There a domain whose labelled documents have no words, and a document without a word of the model, have posteriors of 0: what the
+labels say nothing about is kept.
 """
 
 from __future__ import annotations
@@ -62,8 +66,11 @@ def _posterior(scores: list[str], priors: list[float], temperature: float) -> li
     return [w / total for w in weights]
 
 
-def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """rid, doc_id, tokens, p0.. (one posterior per domain): one row per document, written."""
+def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], evident: bool = False) -> DataFrame:
+    """rid, doc_id, tokens, p0.. (one posterior per domain): one row per document, written.
+
+    ``evident``: posteriors are 0 for domains without fitted words and for documents without a word of the model.
+    """
     if not 2 <= len(domains) <= MAX_DOMAINS:
         raise ValueError(f"2 to {MAX_DOMAINS} domains")
     docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
@@ -86,10 +93,12 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str])
     rows = _word_rows(docs, "rid").join(F.broadcast(model), "bucket", "left")
     sums = rows.groupBy("rid").agg(
         F.count(F.lit(1)).alias("tokens"),
+        *([F.count("l0").alias("seen")] if evident else []),
         *[F.sum(F.coalesce(f"l{i}", F.lit(u))).alias(f"s{i}") for i, u in enumerate(unseen)],
     )
     scores = [f"s{i}" for i in range(len(domains))]
-    scored = docs.select("rid", "doc_id").join(sums, "rid", "left").fillna(0).select("rid", "doc_id", "tokens", *scores)
+    scored = docs.select("rid", "doc_id").join(sums, "rid", "left").fillna(0)
+    scored = scored.select("rid", "doc_id", "tokens", *(["seen"] if evident else []), *scores)
     scored = written(scored, "mix-scores")
     held = scored.join(F.broadcast(sample.filter("fold = 0")), scored["doc_id"] == F.col("of"))
     likelihood = []
@@ -99,7 +108,13 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str])
         likelihood.append(F.avg(F.log(F.greatest(own, F.lit(1e-12)))).alias(f"t{t}"))
     found = held.agg(*likelihood).first()
     best = max(TEMPERATURES, key=lambda t: (found[f"t{t}"] is not None and found[f"t{t}"], t)) if found[0] is not None else 1
-    posterior = [p.alias(f"p{i}") for i, p in enumerate(_posterior(scores, priors, best))]
+    posterior = _posterior(scores, priors, best)
+    if evident:
+        fitted = [i for i in range(len(domains)) if totals[i]]
+        among = _posterior([scores[i] for i in fitted], [priors[i] for i in fitted], best) if len(fitted) > 1 else [F.lit(1.0)]
+        of = dict(zip(fitted, among))
+        posterior = [F.when(F.col("seen") > 0, of.get(i, F.lit(0.0))).otherwise(0.0) for i in range(len(domains))]
+    posterior = [p.alias(f"p{i}") for i, p in enumerate(posterior)]
     return written(scored.select("rid", "doc_id", "tokens", *posterior), "mix-posteriors")
 
 
@@ -120,20 +135,27 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(
-    members: DataFrame, weights: list[float], total: float | None = None, max_rate: float | None = None, steps: int = STEPS
-) -> DataFrame:
+    members: DataFrame, weights: list[float], total: float | None = None, max_rate: float | None = None, steps: int = STEPS,
+    whole: int | None = None,
+) -> DataFrame:
     """``members`` (tokens, p0..) with ``rate``. ``total`` tokens are shared out by the weights; where it is None, the
-    most that every domain can give without repeating a document (for a ``max_rate`` of 1), or the tokens there are."""
+    most that every domain can give without repeating a document (for a ``max_rate`` of 1), or the tokens there are.
+
+    ``whole``: the domain of this number is to stay as it is and sets the total; the shares of the others are upper limits.
+    Every rate is 1 where that domain has no tokens.
+    """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
     p = [F.col(f"p{i}") for i in range(k)]
     tokens = F.col("tokens").cast("double")
     have = members.agg(*[F.coalesce(F.sum(tokens * p[i]), F.lit(0.0)) for i in range(k)]).first()
-    if total is None:
+    if whole is not None:
+        total = have[whole] / share[whole]
+    elif total is None:
         total = min(h / s for h, s in zip(have, share) if s > 0) if max_rate is not None else float(sum(have))
-    if not sum(have):
+    if not (sum(have) if whole is None else have[whole]):
         return members.withColumn("rate", F.lit(1.0))
-    targets = [s * total for s in share]
+    targets = [s * total if whole is None else min(h, s * total) for h, s in zip(have, share)]
 
     def moved(rate: Column, y: list[float]) -> Column:
         free = rate - _sum([F.lit(float(v)) * c for v, c in zip(y, p)])
@@ -171,22 +193,24 @@ def fit_rates(
 
 
 def mix_to_targets(
-    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None
-) -> DataFrame:
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None,
+    whole: str | None = None,
+) -> DataFrame:
     """doc_id, n_tokens, p_<domain>.., rate: one row per document. ``labelled`` is (doc_id, domain)."""
     domains = list(targets)
-    members = domain_posteriors(docs, labelled, domains)
-    rated = fit_rates(members, [float(targets[d]) for d in domains], total, max_rate)
+    members = domain_posteriors(docs, labelled, domains, evident=whole is not None)
+    kept = None if whole is None else domains.index(whole)
+    rated = fit_rates(members, [float(targets[d]) for d in domains], total, max_rate, whole=kept)
     named = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
     return rated.select("doc_id", F.col("tokens").cast("bigint").alias("n_tokens"), *named, "rate")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole: str = "high") -> DataFrame:
     """Documents drawn at their rates (at most 1, so none is repeated); columns as they came.
 
-    The draw is a hash of the id: the same document is drawn again in every run.
+    The targets are upper limits beside the text of ``whole``, however scarce the other domains are. The draw is a hash of the id: the same document is drawn again in every run.
     """
-    rates = mix_to_targets(docs, labelled, targets, max_rate=1.0)
+    rates = mix_to_targets(docs, labelled, targets, max_rate=1.0, whole=whole)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     kept = rates.filter(draw < F.col("rate")).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")

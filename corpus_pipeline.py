@@ -16,7 +16,7 @@ from cohortlens.llm.quality_rules import clean_documents
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.tables import table, written
 
-#: Shares of tokens by domain: less of the low-quality and toxic text than there is, so that good text is kept whole.
+#: Shares of tokens by domain. Good text is kept whole; the shares of low-quality and toxic text are upper limits.
 MIX = {"high": 0.92, "low": 0.05, "toxic": 0.03}
 
 
@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at rates that bring the domains to ``MIX``."""
+    """Documents are drawn at rates that bring low-quality and toxic text down to ``MIX``."""
     return mixed_documents(docs, quality_domains(table(spark, sf_dir, "labels")), MIX)
 
 

@@ -179,6 +179,22 @@ def test_posteriors_are_naive_bayes(spark):
     assert (got.sort_index().n_tokens == [len(r[1].split()) for r in rows]).all()
 
 
+@pytest.mark.parametrize("n_toxic, labelled", [(8, True), (0, True), (8, False)])
+def test_scarce_unwanted_text_leaves_good_text_whole(spark, n_toxic, labelled):
+    """One per cent or no toxic text, 15 per cent low text, or no labels at all: clean documents stay."""
+    rng = random.Random(21)
+    kinds = ["toxic"] * n_toxic + ["low"] * 120 + ["high"] * (800 - 120 - n_toxic)
+    rows = [(i, " ".join(f"{kind}{word(rng.randrange(60))}" for _ in range(40)), "en", "s0") for i, kind in enumerate(kinds)]
+    rows.append((5000, "words of no labelled document whatsoever", "en", "s0"))
+    labels = [(i, int(k == "high"), int(k == "toxic"), "x") for i, k in enumerate(kinds) if labelled and i % 2]
+    known = mixing.quality_domains(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, score string"))
+    kept = {r["doc_id"] for r in mixing.mixed_documents(frame(spark, rows), known, corpus_pipeline.MIX).select("doc_id").collect()}
+    good = {i for i, k in enumerate(kinds) if k == "high"}
+    assert len(good & kept) >= 0.99 * len(good) and 5000 in kept
+    low = sum(kinds[i] == "low" for i in kept - {5000})
+    assert low == 120 if not labelled else 15 < low < 70
+
+
 # Sharding
 
 
