@@ -1,10 +1,12 @@
 """Quality rules: repetition inside a document, and lines that many documents of one host repeat.
 
 Built-in functions only. A line is normalised (A-Z to lower case, digits to 0, white space to one space) and hashed. Per host it
-is boilerplate when at least ``max_docs`` distinct texts hold it *and* these texts are otherwise different: they are told
-apart by the hash of their longest line, and at least half of them must differ in it. So exact copies count once and near
-copies of one text do not turn their shared body into boilerplate. Boilerplate lines are removed; a document that keeps
-too little is rejected.
+is boilerplate when at least ``max_docs`` distinct texts hold it *and* these texts are otherwise different. They are told
+apart by the hash of their longest line: either at least half of them differ in it, or ``max_docs`` of them are unrelated. For the
+latter the line itself is left out, so that a notice longer than every article counts as well, and texts that share their second
+longest other line are one, unless at least half of those differ in the longest; so a group of near copies counts once, however
+large and wherever it was edited, and does not outweigh the different texts beside it. Exact copies count once. Boilerplate lines
+are removed; a document that keeps too little is rejected.
 
 Defined cases: a null text is empty (no words, fails the base rules); a null host is a host of its own; repeated rows
 each get a row with the same verdict and count as one document; an empty table gives an empty result; other columns of
@@ -105,7 +107,35 @@ def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     rows = measured.select("host", "text_key", longest.alias("body"), keys.alias("key")).distinct()
     bodies = rows.groupBy("host", "key", "body").agg(F.count(F.lit(1)).alias("n"))
     found = bodies.groupBy("host", "key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_bodies"))
-    return found.filter((F.col("n_docs") >= max_docs) & (2 * F.col("n_bodies") >= F.col("n_docs"))).drop("n_bodies")
+    found = written(found.filter(F.col("n_docs") >= max_docs), "quality-frequent")
+    differ = 2 * F.col("n_bodies") >= F.col("n_docs")
+    unrelated = _unrelated(measured, found.filter(~differ)).filter(F.col("n_unrelated") >= max_docs)
+    return found.filter(differ).drop("n_bodies").unionByName(unrelated.drop("n_unrelated"))
+
+
+def _unrelated(measured: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(host, key, n_docs, n_unrelated): texts with the line, near copies as one."""
+
+    def longest(but: list[str]) -> Column:
+        others = F.filter("lines", lambda x: ~x["key"].isin(*[F.col(k) for k in but])) if but else F.col("lines")
+        return F.array_max(F.transform(others, lambda x: F.struct(x["chars"], x["key"])))["key"]
+
+    keys = F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"])))
+    top = measured.withColumn("k1", longest([])).withColumn("k2", longest(["k1"])).withColumn("k3", longest(["k1", "k2"]))
+    rows = top.select("host", "text_key", "k1", "k2", "k3", keys.alias("key"))
+    of = doubtful.select(F.col("host").alias("of_host"), F.col("key").alias("of_key"), "n_docs")
+    rows = rows.join(of, rows["host"].eqNullSafe(of["of_host"]) & (rows["key"] == of["of_key"]))
+    first = F.when(F.col("key") == F.col("k1"), F.col("k2")).otherwise(F.col("k1"))
+    second = F.when(F.col("key").isin(F.col("k1"), F.col("k2")), F.col("k3")).otherwise(F.col("k2"))
+    line = ["host", "key", "n_docs"]
+    rows = rows.select(*line, "text_key", first.alias("first"), F.coalesce(second, first).alias("second")).distinct()
+    pairs = rows.groupBy(*line, "second", "first").agg(F.count(F.lit(1)).alias("n"))
+    groups = pairs.groupBy(*line, "second").agg(
+        F.min("first").alias("one"), F.count(F.lit(1)).alias("differ"), F.sum("n").alias("n")
+    )
+    more = F.when(2 * F.col("differ") >= F.col("n"), F.col("differ") - 1).otherwise(0)
+    ones = groups.groupBy(*line, "one").agg(F.sum(more).alias("more"))
+    return ones.groupBy(*line).agg((F.count(F.lit(1)) + F.sum("more")).alias("n_unrelated"))
 
 
 def quality_rules(

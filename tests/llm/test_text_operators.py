@@ -76,6 +76,25 @@ def test_depleted_documents_go(spark):
     assert got[9] is False and all(got[i] for i in range(6))
 
 
+def test_long_notices_and_footers_beside_near_copies(spark):
+    """A notice longer than every article, a footer that near copies hold more often than articles, and edited near copies."""
+    rng = random.Random(3)
+    notice, footer, body = sentence(rng, 90), "all rights are reserved here", sentence(rng, 60)
+    rows = [(i, f"{sentence(rng, 30)}\n{notice}", "en", "notices") for i in range(8)]
+    rows += [(100 + i, f"{sentence(rng, 40)}\n{footer}", "en", "hot") for i in range(10)]
+    rows += [(200 + i, f"{body}\n{sentence(rng, 5)}\n{footer}", "en", "hot") for i in range(15)]
+    lines = [sentence(rng, 60 - 6 * k).split() for k in range(6)]
+    for i in range(80):
+        copy = [list(x) for x in lines]
+        copy[i % 6][rng.randrange(20)] = f"edit{word(i)}"
+        rows.append((300 + i, "\n".join(" ".join(x) for x in copy), "en", "copies"))
+    got = {r["doc_id"]: r for r in quality_rules(frame(spark, rows), max_docs=5).collect()}
+    assert all(got[i]["removed_lines"] == 1 and got[i]["removed_words"] == 90 for i in range(8))
+    assert all(got[i]["removed_lines"] == 1 and got[i]["removed_words"] == 5 and got[i]["kept"] for i in range(100, 110))
+    assert all(got[i]["removed_lines"] == 1 and got[i]["kept"] for i in range(200, 215))
+    assert all(got[i]["removed_lines"] == 0 and got[i]["kept"] for i in range(300, 380))
+
+
 # Licences
 
 
