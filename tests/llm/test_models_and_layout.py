@@ -15,7 +15,7 @@ from cohortlens.llm import cotraining, mixing, registry
 from cohortlens.llm.context_tree import DEPTH, END, Lookup, context_tree_scores
 from cohortlens.llm.dom import article_blocks, read
 from cohortlens.llm.sharding import SHARDS, TIE_BITS, _codes, kd_shards, DIMENSIONS
-from cohortlens.llm.wrapper_induction import Tree, extract_pages, match
+from cohortlens.llm.wrapper_induction import Tree, extract_pages, match, skeleton
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -257,6 +257,16 @@ def test_broken_markup(html):
     assert all(t for _, t, _ in found.blocks) and article_blocks(found) is not None
 
 
+@pytest.mark.parametrize("depth", [70, 100, 3000])
+def test_deep_elements_close_themselves(depth):
+    """Text after nested elements stays in the article, boilerplate inside them stays out, trees of any depth are matched."""
+    deep = "<div>" * depth + "<nav>links</nav><div class='ad'>buy</div>deep text" + "</div>" * depth
+    found = read(f"<body><div id=top><article>{deep}<p>first after</p><p>second after</p></article></div><p>foot</p></body>")
+    assert [found.blocks[k][1] for k in article_blocks(found)] == ["deep text", "first after", "second after"]
+    labels, parents, _ = skeleton(found)
+    assert match(Tree(labels, parents), Tree(labels, parents)) == {i: i for i in range(len(labels))}
+
+
 def test_constant_slots_are_template(spark):
     rng = random.Random(3)
     rows = []
