@@ -257,6 +257,26 @@ def test_broken_markup(html):
     assert all(t for _, t, _ in found.blocks) and article_blocks(found) is not None
 
 
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ("<main><div>{0}</div><article>short teaser</article></main>", "{0}"),
+        ("<div>{0}</div><article>short teaser</article>", "{0}"),
+        ("<div><article>{0}</article><article>{1}</article><article>{2}</article></div>", "{0}|{1}|{2}"),
+        ("<div class=text>{0}</div><p>{1}</p><div class=text>{2}</div><div class='entry body'><p>{3}</p></div>", "{0}|{1}|{2}|{3}"),
+        ("<article><p>{0}</p><article>{1}</article></article><div>unmarked</div><ul><li><a href=x>link</a></ul>", "{0}|{1}"),
+        ("<article><a href=x>{0}</a></article><p>short teaser</p>", "{0}"),
+    ],
+)
+def test_all_parts_of_an_article_stay(html, wanted):
+    rng = random.Random(6)
+    parts = [sentence(rng, 30) for _ in range(4)]
+    found = read(f"<html><body><nav>top</nav>{html.format(*parts)}<footer>end</footer></body></html>")
+    got = [found.blocks[k][1] for k in article_blocks(found)]
+    wanted = wanted.format(*parts).split("|")
+    assert [x for x in got if x in parts] == wanted and set(got) <= {*wanted, "short teaser"}
+
+
 @pytest.mark.parametrize("depth", [70, 100, 3000])
 def test_deep_elements_close_themselves(depth):
     """Text after nested elements stays in the article, boilerplate inside them stays out, trees of any depth are matched."""
