@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -31,6 +35,18 @@ def test_every_text_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_part(tmp_path, pipeline):
+    repo, copy = Path(contract.__file__).parent, tmp_path / "copy"
+    shutil.copytree(repo / "cohortlens", copy / "cohortlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (pipeline and (repo / "corpus_pipeline.py").exists()):
+        shutil.copy(repo / name, copy)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) > 100
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 10
 
