@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.functions.durable import durable
 from cohortlens.llm.components import components, tasks_for
 from cohortlens.llm.hashing import mix, shingle_sets
-from cohortlens.llm.tables import text_of, written
+from cohortlens.llm.tables import discard, numbered, text_of, written
 
 WINDOW = 5
 NUM, DEN = 80, 100
@@ -70,12 +70,12 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
 
 
-def _measure(batches):
+def _measure(batches, keys: list[str]):
     for batch in batches:
         found = [(len(s), c) for c, s in _classes_of(_texts(batch))]
         n, c = (list(x) for x in zip(*found)) if found else ([], [])
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.binary())], ["doc_id", "n", "cls"]
+            [*[batch.column(k) for k in keys], pa.array(n, pa.int64()), pa.array(c, pa.binary())], [*keys, "n", "cls"]
         )
 
 
@@ -268,10 +268,11 @@ def heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFra
     return links
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size: one row per document."""
-    docs = docs.select("doc_id", text_of(docs).alias("text"))
-    measured = written(docs.mapInArrow(_measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls binary"), "jaccard-sizes")
+def _linked(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but text, with n, root (of the group of linked texts; null without words), component_id, class_size."""
+    keys = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    measured = written(docs.mapInArrow(lambda b: _measure(b, keys), f"{kinds}, n bigint, cls binary"), "jaccard-sizes")
     classes = measured.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     classes = written(classes, "jaccard-classes")
     sizes = classes.groupBy(F.least("n", F.lit(MAX_LIGHT + 1)).alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
@@ -295,11 +296,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heavy = sets.filter(F.col("n") >= lowest)
     links = heavy_links(prefix_lists(heavy), heavy, boundary, light)
     roots = components(links)
+    discard(sets)
     named = classes.select("cls", "rep", "class_size").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id", "class_size")
-    out = measured.join(named, "cls", "left")
+    return measured.join(named.join(least, "root").select("cls", "root", "component_id", "class_size"), "cls", "left")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size: one row per document."""
+    out = _linked(docs.select("doc_id", text_of(docs).alias("text")))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -309,10 +315,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Documents with one kept per group of linked texts: the row of the smallest id, once; columns as they came.
+    """Documents with one kept per group of linked texts: a row of the smallest id, once; columns as they came.
 
-    Empty texts are linked with nothing and stay.
+    Empty texts are linked with nothing and stay. Rows are told apart by a number, so that only the numbers of kept rows
+    are gathered by group; the text crosses one shuffle, the semi join on that number.
     """
-    groups = jaccard_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    docs = numbered(docs, name="_row")
+    linked = _linked(docs.select("doc_id", "_row", text_of(docs).alias("text")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = linked.filter("n > 0").groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    kept = first.union(linked.filter("n = 0").select("_row"))
+    return docs.join(kept, "_row", "left_semi").drop("_row")

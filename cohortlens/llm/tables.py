@@ -24,6 +24,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``written`` made, once nothing reads it any more. It then no longer takes up disk."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_of(df: DataFrame) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))
@@ -39,10 +48,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``df`` with rid: the key itself where it is a unique integer, else a number of the row (the table is written then)."""
+def numbered(df: DataFrame, key: str = "doc_id", name: str = "rid") -> DataFrame:
+    """``df`` with ``name``: the key itself where it is a unique integer, else a number of the row (the table is written then)."""
     if df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
         odd = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
         if odd.isEmpty():
-            return df.withColumn("rid", F.col(key).cast("bigint"))
-    return written(df.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
+            return df.withColumn(name, F.col(key).cast("bigint"))
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
