@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.llm.alignment import alignment
 from cohortlens.llm.context_tree import context_tree_scores
 from cohortlens.llm.cotraining import cotrained_scores
 from cohortlens.llm.decontamination import contaminated
+from cohortlens.llm.importance import importance_sample
 from cohortlens.llm.jaccard_join import jaccard_components
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix_to_targets, quality_domains
@@ -16,6 +18,7 @@ from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.sharding import kd_shards
 from cohortlens.llm.suffix_dedup import suffix_dedup
 from cohortlens.llm.tables import table
+from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.wrapper_induction import extract_pages
 
 
@@ -90,6 +93,29 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 2,048 tokens."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizations of every document, and how its links stand in the corpus."""
+    paths = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark texts, its noisy score and, where it is drawn, its rank."""
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
     "op2_license_rules": op2_license_rules,
@@ -101,4 +127,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_tree": op8_context_tree,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_frequency": op10_line_frequency,
+    "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_importance_sampling": op13_importance_sampling,
 }

@@ -2,7 +2,7 @@
 
 Without a text are: the learners and scores (co-training, context trees, mixing rates), tiling, DOM alignment, regular
 expression rules with suppression, the k-d tree (no CRC-32 in DuckDB) and the byte strings of the suffix dedup (too slow over
-whole tables); tests/llm compares those with brute force.
+whole tables), token counts and alignments (the tokenizers' merges) and importance weights (CRC-32 again); tests/llm compares those with brute force.
 """
 
 from __future__ import annotations
