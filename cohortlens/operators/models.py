@@ -31,6 +31,7 @@ from ..functions.durable import durable, settled
 from ..functions.gram import covariance, local_gram
 from .evaluation import auc
 from .frame import stratified_folds
+from .neighbours import nearest_neighbours
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -313,69 +314,19 @@ def mlp(train: DataFrame, hidden: Sequence[int] = (16,), max_iter: int = 100, se
 
 # ---------------------------------------------------------------------------------------------- neighbours
 
-#: Test rows whose distances to a train block are held at once.
-VISIT_ROWS = 32
-BLOCK_ROWS = 2048
-MAX_COPIES = 64
-
-
-def _blocks(df: DataFrame, rows: int, prefix: str, n_rows: int) -> DataFrame:
-    """Rows packed into even hash blocks of about ``rows``: block number, ids, labels, flat values."""
-    n_blocks = max(1, math.ceil(n_rows / rows))
-    block = F.pmod(F.xxhash64("case_id"), F.lit(n_blocks)).cast("int")
-    packed = F.collect_list(F.struct("case_id", "label", "values"))
-    return df.groupBy(block.alias(f"{prefix}_block")).agg(packed.alias("_r")).select(
-        f"{prefix}_block",
-        F.col("_r.case_id").alias(f"{prefix}_ids"),
-        F.col("_r.label").alias(f"{prefix}_labels"),
-        F.col("_r.values").alias(f"{prefix}_values"),
-    )
-
-
-def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The k nearest train rows of every test row by Euclidean distance: (case_id, label, neighbour, vote, d).
+def _votes(near: DataFrame, weights: str, keys: Sequence[str]) -> DataFrame:
+    """Running share ``prob`` of (weighted) positive votes among the first 1, 2, ... neighbours of each group of ``keys``.
 
-    Both sides are packed into bounded blocks. Every test block visits every train block, as exact neighbours require,
-    but a visit is one numpy product and passes on only its best k per row; these are merged by distance and case id.
+    With distance weights, coincident neighbours alone decide: they come first, so the first one tells whether there are any.
     """
-    n_train, n_test = train.count(), test.count()
-    right = _blocks(train, BLOCK_ROWS, "r", n_train)
-    n_blocks = max(1, math.ceil(n_train / BLOCK_ROWS))
-    left = _blocks(test, BLOCK_ROWS, "l", n_test)
-    left = left.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    # Few train blocks must not mean few tasks: visits of one train block are spread over copies of it.
-    copies = max(1, min(math.ceil(n_test / BLOCK_ROWS), MAX_COPIES))
-    left = left.withColumn("_copy", F.pmod(F.col("l_block"), F.lit(copies)))
-    right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    def visit(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                a, b = np.stack(row.l_values), np.stack(row.r_values)
-                ids, votes = np.asarray(row.r_ids, dtype=object), np.asarray(row.r_labels)
-                order = np.argsort(ids, kind="stable")
-                b, ids, votes = b[order], ids[order], votes[order]
-                for at in range(0, len(a), VISIT_ROWS):
-                    part, own = a[at : at + VISIT_ROWS], np.asarray(row.l_ids[at : at + VISIT_ROWS], dtype=object)
-                    d = np.sqrt(((part[:, None, :] - b) ** 2).sum(axis=2))
-                    if exclude_self:
-                        d = np.where(own[:, None] == ids, np.inf, d)
-                    reach = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                    i, j = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
-                    # Ties at the reach are settled by id, the order of j.
-                    order = np.lexsort((j, d[i, j], i))
-                    i, j = i[order], j[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[rank < k], j[rank < k]
-                    labels = np.asarray(row.l_labels[at : at + VISIT_ROWS])
-                    yield pd.DataFrame(
-                        {"case_id": own[i], "label": labels[i], "neighbour": ids[j], "vote": votes[j].astype(int), "d": d[i, j]}
-                    )
-
-    schema = "case_id string, label int, neighbour string, vote int, d double"
-    near = left.join(right, ["r_block", "_copy"]).mapInPandas(visit, schema)
-    closest = Window.partitionBy("case_id").orderBy("d", "neighbour")
-    return near.withColumn("_rank", F.row_number().over(closest)).filter(F.col("_rank") <= k).drop("_rank")
+    first = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    if weights == "distance":
+        exact = F.first("d").over(first) == 0
+        w = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
+    else:
+        w = F.lit(1.0)
+    voted = near.withColumn("_w", w)
+    return voted.withColumn("prob", F.sum(F.col("_w") * F.col("vote")).over(first) / F.sum("_w").over(first)).drop("_w")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
@@ -383,14 +334,43 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "u
 
     With distance weights, coincident neighbours alone decide.
     """
-    near = nearest_neighbours(train, test, k)
-    if weights == "distance":
-        exact = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy("case_id")) == 1
-        w = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
-    else:
-        w = F.lit(1.0)
-    voted = near.withColumn("_w", w)
-    return voted.groupBy("case_id", "label").agg((F.sum(F.col("_w") * F.col("vote")) / F.sum("_w")).alias("prob"))
+    voted = _votes(nearest_neighbours(train, test, k), weights, ["case_id"])
+    last = voted.groupBy("case_id", "label").agg(F.max_by("prob", "rank").alias("prob"))
+    return last.select("case_id", "label", "prob")
+
+
+def knn_search(train: DataFrame, ks: Sequence[int] = tuple(KNN_K), weights: Sequence[str] = tuple(KNN_WEIGHTS), n_splits: int = 10,
+               n_repeats: int = 3, seed: int = 42) -> DataFrame:
+    """(k, weights, score): mean accuracy over repeated stratified folds of every number of neighbours and weighting.
+
+    The longest neighbour lists of all folds and repeats are found in one pass; shorter ones are their beginnings.
+    """
+    folds = stratified_folds(train, n_splits, n_repeats, seed).groupBy("case_id").agg(
+        F.sort_array(F.collect_list(F.struct("rep", "fold"))).alias("_f")
+    )
+    rows = durable(train.join(folds.select("case_id", F.col("_f.fold").alias("folds")), "case_id"))
+    near = durable(nearest_neighbours(rows, rows, max(ks), reps=n_repeats))
+    fold = rows.select(F.col("case_id").cast("string").alias("case_id"), F.posexplode("folds").alias("rep", "fold"))
+    out = None
+    for kind in weights:
+        voted = _votes(near, kind, ["case_id", "rep"])
+        # A case with fewer than k neighbours keeps the vote of all it has.
+        wanted = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+        voted = voted.select("case_id", "rep", "label", "rank", "prob", wanted).filter("rank <= k")
+        voted = voted.groupBy("case_id", "rep", "label", "k").agg(F.max_by("prob", "rank").alias("prob"))
+        hit = ((F.col("prob") > 0.5).cast("int") == F.col("label")).cast("double")
+        part = voted.join(fold, ["case_id", "rep"]).groupBy("k", "rep", "fold").agg(F.avg(hit).alias("hit"))
+        part = part.groupBy("k").agg(F.avg("hit").alias("score")).select("k", F.lit(kind).alias("weights"), "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def knn_tuned(train: DataFrame, ks: Sequence[int] = tuple(KNN_K), weights: Sequence[str] = tuple(KNN_WEIGHTS), n_splits: int = 10,
+              n_repeats: int = 3, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """Nearest neighbours by the best setting of ``knn_search``; the smaller k, then the first weighting, wins a tie."""
+    table = knn_search(train, ks, weights, n_splits, n_repeats, seed).collect()  # one row per setting
+    best = max(table, key=lambda r: (r["score"], -r["k"], -list(weights).index(r["weights"])))
+    return lambda df: knn_predict(train, df, best["k"], best["weights"])
 
 
 def smote(df: DataFrame, k: int = 5, ratio: float = 1.0, seed: int = 42) -> DataFrame:

@@ -72,7 +72,11 @@ def classify(train: DataFrame, test: DataFrame, classifiers: Sequence[int], opti
             score = fitters[number](vectors["train"], **chosen)
             scored = {s: score(vectors[s]) for s in data}
         elif number == 4:
-            scored = {s: models.knn_predict(arrays["train"], arrays[s], **chosen) for s in data}
+            if "k" in chosen:
+                score = lambda df, chosen=chosen: models.knn_predict(arrays["train"], df, **chosen)
+            else:
+                score = models.knn_tuned(arrays["train"], **chosen)
+            scored = {s: score(arrays[s]) for s in data}
         elif number == 8:
             scored = {s: models.gaussian_nb(train, data[s], **chosen) for s in data}
         elif number == 9:

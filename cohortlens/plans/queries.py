@@ -538,6 +538,13 @@ def knn_predict(spark, d):
     return _prob(models.knn_predict(train, test, 5, "distance"))
 
 
+@query
+def knn_search(spark, d):
+    """Accuracy of every k and weighting over 3 x 10 folds of all features."""
+    train = frame.to_arrays(_split_features(spark, d)[0])
+    return rounded(models.knn_search(train), "score")
+
+
 @query
 def gaussian_nb(spark, d):
     return _prob(models.gaussian_nb(*_split_features(spark, d)))

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from cohortlens.functions.gram import covariance, local_gram
-from cohortlens.operators import evaluation, frame, models, scoring, selection
+from cohortlens.operators import evaluation, frame, models, neighbours, scoring, selection
 from cohortlens.plans import pipelines
 from cohortlens.sources import checks, tables
 
@@ -166,17 +166,75 @@ def test_quadratic_discriminant_and_bayes(feat):
     assert area(models.gaussian_nb(feat, feat)) > 0.9
 
 
-def test_neighbours_across_blocks(feat, monkeypatch):
-    monkeypatch.setattr(models, "BLOCK_ROWS", 16)
+@pytest.mark.parametrize("block,cell,exclude_self", [(16, 10_000, True), (16, 8, True), (2048, 4, False)])
+def test_neighbours_across_blocks_and_cells(feat, monkeypatch, block, cell, exclude_self):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
+    monkeypatch.setattr(neighbours, "VISITS", 2)
     rows = frame.to_arrays(feat)
-    got = {(r["case_id"], r["neighbour"]) for r in models.nearest_neighbours(rows, rows, 3, exclude_self=True).collect()}
+    found = neighbours.nearest_neighbours(rows, rows, 3, exclude_self).collect()
+    got = {(r["case_id"], r["neighbour"], r["rank"]) for r in found}
     x, _ = separable()
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    np.fill_diagonal(d, np.inf)
-    want = {(f"c{i:03d}", f"c{j:03d}") for i in range(80) for j in np.argsort(d[i])[:3]}
+    if exclude_self:
+        np.fill_diagonal(d, np.inf)
+    want = {(f"c{i:03d}", f"c{j:03d}", n + 1) for i in range(80) for n, j in enumerate(np.argsort(d[i])[:3])}
     assert got == want
 
 
+def clustered(spark, n, seed=0, copies=0):
+    """Rows around 40 far apart centres; the first ``copies`` rows are equal."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 100, (40, 5))[rng.integers(0, 40, n)] + rng.normal(0, 1, (n, 5))
+    x[:copies] = x[0]
+    rows = [(f"r{i:04d}", int(v[0] > 0), [float(e) for e in v]) for i, v in enumerate(x)]
+    return x, spark.createDataFrame(rows, "case_id string, label int, values array<double>")
+
+
+def test_most_cells_are_never_visited(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    x, rows = clustered(spark, 1200)
+    visits, cells = neighbours.routes(rows, rows, 4)
+    assert cells > 50 and visits.count() < 0.25 * len(x) * cells
+    got = {(r["case_id"], r["neighbour"]) for r in neighbours.nearest_neighbours(rows, rows, 4).collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert got == {(f"r{i:04d}", f"r{j:04d}") for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:4]}
+
+
+def test_neighbours_among_copies_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 8)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    x, rows = clustered(spark, 120, 3, copies=60)  # one cell holds half of all rows
+    got = {(r["case_id"], r["neighbour"]) for r in neighbours.nearest_neighbours(rows, rows, 3).collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert got == {(f"r{i:04d}", f"r{j:04d}") for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:3]}
+    few, none = rows.limit(2), rows.filter("label > 5")
+    assert neighbours.nearest_neighbours(few, rows, 5).count() == 2 * len(x)
+    assert neighbours.nearest_neighbours(none, rows, 5).count() == 0 == neighbours.nearest_neighbours(rows, none, 5).count()
+
+
+def test_neighbour_search_is_that_of_every_fold(feat, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    rows = frame.to_arrays(feat)
+    got = {(r["k"], r["weights"]): r["score"] for r in models.knn_search(rows, (1, 4, 9), n_splits=4, n_repeats=2).collect()}
+    folds = frame.stratified_folds(rows, 4, 2, 42).toPandas()
+    x, y = separable()
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = {key: [] for key in got}
+    for (rep, fold), held in folds.groupby(["rep", "fold"]):
+        test = sorted(int(c[1:]) for c in held.case_id)
+        train = [i for i in range(80) if i not in test]
+        for k, kind in want:
+            hits = []
+            for i in test:
+                near = sorted(train, key=lambda j: (d[i, j], j))[:k]
+                w = [1.0 if kind == "uniform" else 1 / d[i, j] for j in near]
+                hits.append((sum(a * y[j] for a, j in zip(w, near)) / sum(w) > 0.5) == y[i])
+            want[k, kind].append(np.mean(hits))
+    assert got == pytest.approx({key: np.mean(v) for key, v in want.items()})
+    assert area(models.knn_tuned(rows, (1, 9), n_splits=4, n_repeats=1)(rows)) > 0.9
+
+
 def test_smote_balances(feat):
     few = frame.to_arrays(feat).filter("label = 1 or case_id < 'c020'")
     sizes = {r["label"]: r["count"] for r in models.smote(few, 3).groupBy("label").count().collect()}
