@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import durable, settled
 from ..functions.gram import covariance, local_gram
+from . import batched
 from .evaluation import auc
 from .frame import stratified_folds
 from .neighbours import nearest_neighbours
@@ -91,33 +90,65 @@ def _searched(estimator, grid: list, train: DataFrame, n_splits: int, n_repeats:
     return estimator.fit(train, best)
 
 
+def _batch_rows(train: DataFrame, n_splits: int, n_repeats: int, seed: int) -> DataFrame:
+    """Rows for batched training: label, values, weight (1 unless given) and one fold number per repeat, held."""
+    weight = F.col("weight").cast("double") if "weight" in train.columns else F.lit(1.0)
+    rows = train.select("case_id", "label", vector_to_array("features").alias("values"), weight.alias("weight"))
+    if n_splits * n_repeats:
+        folds = stratified_folds(train, n_splits, n_repeats, seed).groupBy("case_id").agg(
+            F.sort_array(F.collect_list(F.struct("rep", "fold"))).alias("_f")
+        )
+        rows = rows.join(folds.select("case_id", F.col("_f.fold").alias("folds")), "case_id")
+    return settled(rows)
+
+
+def linear_search(train: DataFrame, settings: Sequence[dict], loss: str = "logistic", n_splits: int = 10, n_repeats: int = 3,
+                  seed: int = 42, max_iter: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """Mean accuracy of every linear setting over repeated stratified folds, and the weights of the best on all rows.
+
+    A setting holds ``c`` or ``l1`` and ``l2``, and perhaps ``intercept`` and ``tol``. All settings and folds, and the fits on all
+    rows, are trained together; the first of equal scores wins. A single setting is not scored.
+    """
+    if len(settings) == 1:
+        n_splits = n_repeats = 0
+    rows = _batch_rows(train, n_splits, n_repeats, seed)
+    try:
+        scores, weights = batched.search(rows, settings, loss, n_splits, n_repeats, max_iter)
+    finally:
+        rows.unpersist()
+    text = ["; ".join(f"{k}={v}" for k, v in sorted(s.items())) for s in settings]
+    table = [(i, t, s) for i, (t, s) in enumerate(zip(text, scores))]
+    return train.sparkSession.createDataFrame(table, "config int, params string, score double"), weights[int(np.argmax(scores))]
+
+
+def _margins(weights: np.ndarray) -> Callable[[DataFrame], DataFrame]:
+    product = batched.margin("values", weights)
+    return lambda df: product(df.select("case_id", "label", vector_to_array("features").alias("values")))
+
+
+def _logistic(weights: np.ndarray) -> Scorer:
+    margins = _margins(weights)
+    return lambda df: margins(df).select("case_id", "label", (1 / (1 + F.exp(-F.col("margin")))).alias("prob"))
+
+
 def logistic_cv(train: DataFrame, c_values: Sequence[float] = tuple(LOGISTIC_C), n_splits: int = 10, seed: int = 42) -> Scorer:
     """L2 logistic regression with the strength chosen by one round of stratified folds."""
-    n = train.count()
-    est = LogisticRegression(standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in c_values]).build()
-    return _probability(_searched(est, grid, train, n_splits, 1, seed))
+    return _logistic(linear_search(train, [{"c": c} for c in c_values], "logistic", n_splits, 1, seed)[1])
 
 
-def _platt(margin_model, train: DataFrame) -> Scorer:
+def _platt(weights: np.ndarray, train: DataFrame) -> Scorer:
     """Logistic calibration of a margin."""
-
-    def margin(df: DataFrame) -> DataFrame:
-        raw = vector_to_array("rawPrediction")[1]
-        return margin_model.transform(df).select("case_id", "label", array_to_vector(F.array(raw)).alias("margin"))
-
-    link = LogisticRegression(featuresCol="margin", standardization=False, maxIter=100).fit(margin(train))
-    calibrated = _probability(link)
-    return lambda df: calibrated(margin(df))
+    margins = _margins(weights)
+    lone = margins(train).select("case_id", "label", array_to_vector(F.array("margin")).alias("features"))
+    (shift, slope) = linear_search(lone, [{"l2": 0.0, "tol": 1e-8}])[1]
+    link = F.exp(-(F.lit(float(slope)) * F.col("margin") + F.lit(float(shift))))
+    return lambda df: margins(df).select("case_id", "label", (1 / (1 + link)).alias("prob"))
 
 
 def svm_linear(train: DataFrame, c_values: Sequence[float] = tuple(SVM_C), n_splits: int = 10, n_repeats: int = 3,
                seed: int = 42) -> Scorer:
     """Linear support vector machine with calibrated probabilities."""
-    n = train.count()
-    est = LinearSVC(standardization=False, maxIter=100, tol=1e-4)
-    grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in c_values]).build()
-    return _platt(_searched(est, grid, train, n_splits, n_repeats, seed), train)
+    return _platt(linear_search(train, [{"c": c} for c in c_values], "hinge", n_splits, n_repeats, seed)[1], train)
 
 
 def svm_poly(train: DataFrame, c_values: Sequence[float] = tuple(SVM_C), degree: int = 3, n_splits: int = 10,
@@ -158,6 +189,35 @@ def svm_rbf(train: DataFrame, gamma: float, n_components: int = 256, c_values: S
     return lambda df: score(rff_transform(df, gamma, n_components, seed))
 
 
+def svm_search(train: DataFrame, kernels: Sequence[str] = ("rbf", "linear", "poly"), c_values: Sequence[float] = tuple(SVM_C),
+               gamma: float | None = None, n_components: int = 256, degree: int = 3, n_splits: int = 10, n_repeats: int = 3,
+               seed: int = 42) -> Scorer:
+    """Support vector machine of the best kernel and strength by repeated stratified folds, with calibrated probabilities.
+
+    ``gamma`` defaults to 1 / (features * variance of all values). The first kernel, then the first strength, wins a tie.
+    """
+    if gamma is None:
+        v = F.explode(vector_to_array("features"))
+        size = train.select(F.size(vector_to_array("features")).alias("p")).first()["p"]
+        gamma = 1 / (size * (train.select(v.alias("v")).agg(F.var_pop("v").alias("s")).first()["s"] or 1.0))
+    grow = PolynomialExpansion(inputCol="features", outputCol="expanded", degree=degree)
+    lifts: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "linear": lambda df: df,
+        "rbf": lambda df: rff_transform(df, gamma, n_components, seed),
+        "poly": lambda df: grow.transform(df).select("case_id", "label", F.col("expanded").alias("features")),
+    }
+    settings, best = [{"c": c} for c in c_values], None
+    for kernel in kernels:
+        lifted = lifts[kernel](train)
+        table, weights = linear_search(lifted, settings, "hinge", n_splits, n_repeats, seed)
+        score = max(r["score"] for r in table.collect())
+        if best is None or score > best[0]:
+            best = (score, kernel, weights)
+    lift = lifts[best[1]]
+    scorer = _platt(best[2], lift(train))
+    return lambda df: scorer(lift(df))
+
+
 def gaussian_process(train: DataFrame, gamma: float = 0.5, n_components: int = 256,
                      c_values: Sequence[float] = (1.0,), seed: int = 42) -> Scorer:
     """Radial Gaussian-process classifier in its feature form: logistic regression on random Fourier features."""
@@ -165,13 +225,16 @@ def gaussian_process(train: DataFrame, gamma: float = 0.5, n_components: int = 2
     return lambda df: score(rff_transform(df, gamma, n_components, seed))
 
 
+def elasticnet_grid(alphas: Sequence[float] = tuple(LINEAR_ALPHA), l1_ratios: Sequence[float] = tuple(LINEAR_L1_RATIO)) -> list[dict]:
+    """Settings of every strength and share of the l1 part."""
+    return [{"l1": a * r, "l2": a * (1 - r)} for a in alphas for r in l1_ratios]
+
+
 def linear_elasticnet(train: DataFrame, alphas: Sequence[float] = tuple(LINEAR_ALPHA),
                       l1_ratios: Sequence[float] = tuple(LINEAR_L1_RATIO), n_splits: int = 10, n_repeats: int = 3,
                       seed: int = 42) -> Scorer:
     """Log-loss linear model with an elastic-net grid; ratios 0 and 1 are the l2 and l1 penalties."""
-    est = LogisticRegression(standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(est.regParam, list(alphas)).addGrid(est.elasticNetParam, list(l1_ratios)).build()
-    return _probability(_searched(est, grid, train, n_splits, n_repeats, seed))
+    return _logistic(linear_search(train, elasticnet_grid(alphas, l1_ratios), "logistic", n_splits, n_repeats, seed)[1])
 
 
 def decision_tree(train: DataFrame, impurities: Sequence[str] = tuple(TREE_IMPURITY), min_rows: Sequence[int] = (1,),
@@ -412,27 +475,38 @@ def _unit(seed: int, trial: int, name: str) -> float:
     return int(digest[:12], 16) / float(16**12)
 
 
-def random_search(train: DataFrame, valid: DataFrame, n_trials: int = 300, seed: int = 42):
-    """Random search of logistic settings by validation area. Returns (trial table, scorer of the best trial)."""
-    n = train.count()
-    train, valid = settled(train), settled(valid)
-    rows, best = [], None
-    for t in range(n_trials):
-        c = 10 ** (-2 + 2 * _unit(seed, t, "C"))
-        tol = 1e-6 + (1e-3 - 1e-6) * _unit(seed, t, "tol")
-        intercept = _unit(seed, t, "intercept") < 0.5
-        est = LogisticRegression(
-            standardization=False, regParam=1.0 / (c * n), tol=tol, fitIntercept=intercept, maxIter=100
-        )
-        score = _probability(est.fit(train))
-        area = auc(score(valid).withColumn("method", F.lit("logistic"))).first()["auc"]
-        rows.append((t, c, tol, intercept, area))
-        if best is None or area > best[0]:
-            best = (area, score)
-    train.unpersist()
-    valid.unpersist()
+def random_search(train: DataFrame, valid: DataFrame, n_trials: int = 300, seed: int = 42, max_iter: int = 100):
+    """Random search of logistic settings by validation area. Returns (trial table, scorer of the best trial).
+
+    All trials are trained together, and scored in one pass over the validation rows.
+    """
+    settings = [
+        {
+            "c": 10 ** (-2 + 2 * _unit(seed, t, "C")),
+            "tol": 1e-6 + (1e-3 - 1e-6) * _unit(seed, t, "tol"),
+            "intercept": _unit(seed, t, "intercept") < 0.5,
+        }
+        for t in range(n_trials)
+    ]
+    rows = _batch_rows(train, 0, 0, seed)
+    try:
+        weights = batched.search(rows, settings, "logistic", 0, 0, max_iter)[1]
+    finally:
+        rows.unpersist()
+
+    def margins(batches):
+        for batch in batches:
+            x = np.stack(batch["values"].to_numpy())
+            for t, w in enumerate(weights):
+                yield pd.DataFrame({"method": str(t), "label": batch["label"], "prob": 1 / (1 + np.exp(-(x @ w[1:] + w[0])))})
+
+    scored = valid.select("label", vector_to_array("features").alias("values"))
+    areas = auc(scored.mapInPandas(margins, "method string, label int, prob double")).select("method", "auc").collect()
+    area = {int(r["method"]): r["auc"] for r in areas}
+    table = [(t, s["c"], s["tol"], s["intercept"], area[t]) for t, s in enumerate(settings)]
+    best = max(range(n_trials), key=lambda t: (area[t], -t))
     schema = "trial int, c double, tol double, intercept boolean, auc double"
-    return train.sparkSession.createDataFrame(rows, schema), best[1]
+    return train.sparkSession.createDataFrame(table, schema), _logistic(weights[best])
 
 
 def prediction_frame(scored: dict[str, DataFrame]) -> DataFrame:

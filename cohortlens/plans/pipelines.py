@@ -59,7 +59,7 @@ def classify(train: DataFrame, test: DataFrame, classifiers: Sequence[int], opti
     fitters = {
         0: models.logistic_cv,
         1: models.gaussian_process,
-        2: models.svm_linear,
+        2: lambda rows, **o: (models.svm_search if "kernels" in o else models.svm_linear)(rows, **o),
         3: models.linear_elasticnet,
         5: models.decision_tree,
         6: models.random_forest,

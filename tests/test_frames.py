@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from helpers import feature_rows, separable
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortlens.functions.gram import covariance, local_gram
-from cohortlens.operators import evaluation, frame, models, neighbours, scoring, selection
+from cohortlens.operators import batched, evaluation, frame, models, neighbours, scoring, selection
 from cohortlens.plans import pipelines
 from cohortlens.sources import checks, tables
 
@@ -241,6 +242,112 @@ def test_smote_balances(feat):
     assert sizes == {0: 40, 1: 40}
 
 
+def batch_rows(spark, n=160, p=5, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    y = (x[:, 0] - 0.5 * x[:, 1] + 0.7 * rng.normal(size=n) > 0.2).astype(float)
+    folds = np.stack([rng.integers(0, 4, n), rng.integers(0, 4, n)], axis=1)
+    rows = [(float(b), [float(e) for e in a], 1.0, [int(e) for e in f]) for a, b, f in zip(x, y, folds)]
+    return x, y, folds, spark.createDataFrame(rows, "label double, values array<double>, weight double, folds array<int>").coalesce(3)
+
+
+def test_batched_columns_are_optimal_alone(spark):
+    x, y, folds, rows = batch_rows(spark)
+    settings = [{"c": 0.1}, {"c": 100.0}, {"c": 1.0, "intercept": False}]
+    mixed = [{"l1": 0.05, "l2": 0.02}, {"l1": 0.2}, {"l2": 0.3}]
+    for batch, of in (batched.columns(settings, 4, 2, 1e-12), batched.columns(mixed, 4, 2, 1e-12)):
+        w = batched.fit(rows, batch, max_iter=250)
+        assert len(w) == 27
+        for j in range(len(w)):
+            use = np.ones(len(y), bool) if batch.fold[j] < 0 else folds[:, batch.rep[j]] != batch.fold[j]
+            prob = 1 / (1 + np.exp(-(x[use] @ w[j, 1:] + w[j, 0])))
+            slope = x[use].T @ (prob - y[use]) / use.sum()
+            l2 = batch.l2[j] if batch.c is None else 1 / (batch.c[j] * use.sum())
+            slope = slope + l2 * w[j, 1:]
+            assert np.abs(slope[w[j, 1:] != 0] + batch.l1[j] * np.sign(w[j, 1:][w[j, 1:] != 0])).max(initial=0) < 1e-4
+            assert np.abs(slope[w[j, 1:] == 0]).max(initial=0) <= batch.l1[j] + 1e-4
+            if batch.intercept[j]:
+                assert abs((prob - y[use]).mean()) < 1e-4
+            else:
+                assert w[j, 0] == 0
+    assert (w[of == 1][:, 1:] == 0).any() and (w[of == 2][:, 1:] != 0).all()
+
+
+def test_batched_hinge_lowers_its_objective_as_far_as_a_long_descent(spark):
+    x, y, _, rows = batch_rows(spark)
+    batch, _ = batched.columns([{"l2": 0.05}], tol=1e-10)
+    w = batched.fit(rows, batch, "hinge", 200)[0]
+
+    def objective(v):
+        loss, slope = batched.hinge_loss(x @ v[1:] + v[0], y)
+        g = np.concatenate([[slope.mean()], x.T @ slope / len(y) + 0.05 * v[1:]])
+        return loss.mean() + 0.025 * (v[1:] ** 2).sum(), g
+
+    v = np.zeros(6)
+    for i in range(20_000):
+        v -= 0.05 * objective(v)[1]
+    assert objective(w)[0] <= objective(v)[0] + 1e-5
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(found)
+
+
+def test_jobs_do_not_grow_with_the_grid(spark):
+    rows = batch_rows(spark)[-1].persist()
+    batched.search(rows, [{"c": 1.0}], "logistic", 4, 2, 2)  # everything is held and compiled before jobs are counted
+    counts = [
+        jobs_of(spark, f"grid-{n}", lambda n=n: batched.search(rows, [{"c": 1.0 + i, "tol": 0.0} for i in range(n)], "logistic", 4, 2, 4))
+        for n in (1, 40)
+    ]
+    rows.unpersist()
+    assert counts[0] == counts[1] > 0
+
+
+def test_search_scores_are_those_of_single_fits(spark, vectors):
+    settings = [{"c": 0.01}, {"c": 10.0}]
+    table, weights = models.linear_search(vectors, settings, n_splits=4, n_repeats=2, seed=5)
+    found = [r["score"] for r in table.orderBy("config").collect()]
+    folds = frame.stratified_folds(vectors, 4, 2, 5).toPandas().pivot(index="case_id", columns="rep", values="fold")
+    x, y = separable()
+    order = [f"c{i:03d}" for i in range(80)]
+    for setting, score in zip(settings, found):
+        hits = []
+        for rep in range(2):
+            of = folds.loc[order, rep].to_numpy()
+            for f in range(4):
+                part = [(float(y[i]), [float(e) for e in x[i]], 1.0) for i in np.flatnonzero(of != f)]
+                rows = spark.createDataFrame(part, "label double, values array<double>, weight double").coalesce(1)
+                w = batched.fit(rows, batched.columns([setting])[0])[0]
+                hits.append(np.mean(((x[of == f] @ w[1:] + w[0]) > 0) == (y[of == f] > 0.5)))
+        assert score == pytest.approx(np.mean(hits), abs=0.02)
+    assert len(weights) == 5
+
+
+def test_kernel_search_prefers_the_kernel_that_separates(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-1, 1, (160, 2))
+    y = (np.hypot(x[:, 0], x[:, 1]) < 0.7).astype(int)
+    rows = [(f"c{i:03d}", int(b), [float(e) for e in a]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "case_id string, label int, values array<double>")
+    vectors = df.select("case_id", "label", array_to_vector("values").alias("features"))
+    score = models.svm_search(vectors, ("linear", "rbf", "poly"), (1, 100), n_components=64, n_splits=4, n_repeats=1)
+    assert area(score(vectors)) > 0.97
+
+
+def test_random_search_trains_all_trials_at_once(vectors):
+    table, score = models.random_search(vectors, vectors, 12)
+    rows = table.collect()
+    assert len(rows) == 12 and all(0.01 <= r["c"] <= 1 and r["auc"] > 0.8 for r in rows)
+    assert area(score(vectors)) == pytest.approx(max(r["auc"] for r in rows))
+
+
 def test_grid_search_and_model_reuse(vectors, folder):
     est = LogisticRegression(maxIter=5)
     grid = [{est.regParam: 0.01}, {est.regParam: 0.1}]
