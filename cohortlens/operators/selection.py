@@ -18,8 +18,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.durable import settled
-from ..functions.gram import Columns, column_stats, covariance, gram, local_gram, stacked
+from ..functions.durable import durable, settled
+from ..functions.gram import Columns, column_stats, covariance, gram, stacked
 from ..functions.keys import hash_chunk, hash_order, k_from
 from ..functions.ordered import running_totals
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
@@ -288,43 +288,104 @@ def sequential_select(
     names = feature_names(feat)
     p = len(names)
     k_keep = min(k_from(p, **k), p)
-    score = _candidate_score(feat, estimator, folds, seed)
-    current: list[int] = [] if direction == "forward" else list(range(p))
-    while len(current) != k_keep:
-        if direction == "forward":
-            options = [sorted([*current, c]) for c in range(p) if c not in current]
-        else:
-            options = [[x for x in current if x != c] for c in current]
-        current = max(options, key=score)
-    final = score(current)
+    if estimator == "lasso":
+        current, final = _lasso_sequence(feat, direction, folds, seed, k_keep)
+    else:
+        score = _candidate_score(feat, estimator, folds, seed)
+        current = [] if direction == "forward" else list(range(p))
+        while len(current) != k_keep:
+            if direction == "forward":
+                options = [sorted([*current, c]) for c in range(p) if c not in current]
+            else:
+                options = [[x for x in current if x != c] for c in current]
+            current = max(options, key=score)
+        final = score(current)
     return _support(feat, names, [final if i in current else None for i in range(p)], [i in current for i in range(p)])
 
 
+def _subset_score(products: dict[str, np.ndarray], spread: np.ndarray) -> float:
+    """Best mean explained share of variance over 10 penalties, from each fold's products of (1, columns, label)."""
+    total = sum(products.values())
+    n, _, cross = covariance(total)
+    top = float(np.max(np.abs(cross[:-1, -1]))) / n
+    alphas = [top * 10 ** (-3 * i / 9) for i in range(10)]
+    r2 = []
+    for held in products.values():
+        path, mean = _lasso_path(total - held, alphas, spread, 1e-5)
+        var = held[-1, -1] / held[0, 0] - (held[0, -1] / held[0, 0]) ** 2
+        vs = [np.concatenate([[mean[-1] - b @ mean[:-1]], b, [-1.0]]) for b in path]
+        r2.append([1 - v @ held @ v / held[0, 0] / var for v in vs])
+    return float(np.max(np.mean(r2, axis=0)))
+
+
+def _lasso_sequence(feat: DataFrame, direction: str, folds: int, seed: int, k_keep: int) -> tuple[list[int], float]:
+    """Columns that a greedy search keeps, and their score.
+
+    The cross products of every fold are one table (fold, i, row), summed in one pass over the data and kept there. A candidate is a row
+    of a table of its own: tasks score candidates, each from the products of its few columns. For that, each step fetches the product
+    rows of the columns that it holds: (columns held + 2) times (features) numbers per fold, never the whole table while searching forward.
+    """
+    assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
+    rows = to_arrays(feat).join(assigned, "case_id")
+    stats = column_stats(rows)
+    p = len(stats.mean) - 1
+    scale = np.append(1.0, np.where(stats.spread > 0, stats.spread, 1.0))
+    table = durable(gram(rows, "fold", columns=stats))
+    groups = sorted(r["grp"] for r in table.select("grp").distinct().collect())
+    # Of every column: its product with itself; of the constant and the label: their whole rows.
+    own = {g: np.zeros(p + 2) for g in groups}
+    for r in table.select("grp", "i", F.element_at("row", F.col("i") + 1).alias("v")).collect():
+        own[r["grp"]][r["i"]] = r["v"]
+    known: dict[int, dict[str, np.ndarray]] = {}
+
+    def fetch(columns: Sequence[int]) -> None:
+        new = [c for c in columns if c not in known]
+        for r in table.filter(F.col("i").isin(new)).collect() if new else []:
+            known.setdefault(r["i"], {})[r["grp"]] = np.array(r["row"])
+
+    fetch([0, p + 1])
+    spark, tasks = feat.sparkSession, int(feat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def best(current: list[int], options: list[int], drop: bool) -> tuple[int, float]:
+        fetch([c + 1 for c in current])
+        held, diagonal, spread = dict(known), own, stats.spread  # what the tasks need, nothing else
+
+        def products(columns: list[int]) -> dict[str, np.ndarray]:
+            at = np.array([0, *[c + 1 for c in columns], p + 1])
+            out = {}
+            for g in groups:
+                m = np.zeros((len(at), len(at)))
+                for a, i in enumerate(at):
+                    if i in held:
+                        m[a, :] = m[:, a] = held[i][g][at]
+                    m[a, a] = diagonal[g][i]
+                out[g] = m * scale[at][:, None] * scale[at]
+            return out
+
+        def scored(batches):
+            for batch in batches:
+                found = []
+                for c in batch["candidate"]:
+                    columns = [x for x in current if x != c] if drop else sorted([*current, int(c)])
+                    found.append(_subset_score(products(columns), spread[[*columns, -1]]))
+                yield pd.DataFrame({"candidate": batch["candidate"], "score": found})
+
+        table = spark.createDataFrame([(c,) for c in options], "candidate int").repartition(min(tasks, len(options)), "candidate")
+        top = table.mapInPandas(scored, "candidate int, score double").orderBy(F.col("score").desc(), "candidate").first()
+        return top["candidate"], top["score"]
+
+    current = [] if direction == "forward" else list(range(p))
+    score = float("nan")
+    while len(current) != k_keep:
+        drop = direction != "forward"
+        pick, score = best(current, current if drop else [c for c in range(p) if c not in current], drop)
+        current = [c for c in current if c != pick] if drop else sorted([*current, pick])
+    if current and score != score:  # nothing was left to add or drop
+        score = best(current[1:], current[:1], False)[1]
+    return current, score
+
+
 def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) -> Callable[[Sequence[int]], float]:
-    if estimator == "lasso":
-        assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
-        rows = to_arrays(feat).join(assigned, "case_id")
-        stats = column_stats(rows)
-        grams = {g: _raw_gram(m, stats) for g, m in local_gram(rows, "fold", columns=stats).items()}
-        total = sum(grams.values())
-
-        def lasso(columns: Sequence[int]) -> float:
-            at = np.array([0, *[c + 1 for c in columns], len(total) - 1])
-            spread = stats.spread[[*columns, -1]]
-            cut = np.ix_(at, at)
-            n, _, cross = covariance(total[cut])
-            top = float(np.max(np.abs(cross[:-1, -1]))) / n
-            alphas = [top * 10 ** (-3 * i / 9) for i in range(10)]
-            r2 = []
-            for test in grams.values():
-                path, mean = _lasso_path((total - test)[cut], alphas, spread, 1e-5)
-                held = test[cut]
-                var = held[-1, -1] / held[0, 0] - (held[0, -1] / held[0, 0]) ** 2
-                vs = [np.concatenate([[mean[-1] - b @ mean[:-1]], b, [-1.0]]) for b in path]
-                r2.append([1 - v @ held @ v / held[0, 0] / var for v in vs])
-            return float(np.max(np.mean(r2, axis=0)))
-
-        return lasso
     data = _folded_vectors(feat, folds, seed)
     if estimator == "knn":
 
@@ -366,27 +427,68 @@ def _binomial_tail(hits: int, n: int) -> float:
     return sum(math.comb(n, i) for i in range(hits, n + 1)) / 2**n
 
 
-def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, trees: int = 100, seed: int = 1) -> DataFrame:
-    """Keep features whose forest importance beats the best shadow more often than a fair coin allows.
+def _discoveries(tails: Sequence[float], alpha: float) -> list[bool]:
+    """Step-up false-discovery rule: the largest rank i whose tail is at most alpha * i / n, and all smaller tails."""
+    n = len(tails)
+    passed = [t for i, t in enumerate(sorted(tails), 1) if t <= alpha * i / n]
+    return [bool(passed) and t <= passed[-1] for t in tails]
 
-    The tail is corrected for the number of features; ``score`` is the hit count.
+
+#: Shadows that every round has at least.
+LEAST_SHADOWS = 5
+
+
+def boruta_decisions(hits: Sequence[int], decided: Sequence[int], rounds: int, alpha: float) -> list[int]:
+    """1 confirmed, -1 rejected, 0 open, after ``rounds`` rounds.
+
+    Two-sided test of the hits of all features that are not rejected: a tail must pass the false-discovery rule over these features,
+    and alpha divided by the number of rounds, because it is looked at in every round.
+    """
+    alive = [i for i, d in enumerate(decided) if d >= 0]
+    out = list(decided)
+    tails = {
+        1: [_binomial_tail(hits[i], rounds) for i in alive],
+        -1: [_binomial_tail(rounds - hits[i], rounds) for i in alive],
+    }
+    for verdict, own in tails.items():
+        for i, tail, found in zip(alive, own, _discoveries(own, alpha)):
+            if decided[i] == 0 and found and tail <= alpha / rounds:
+                out[i] = verdict
+    return out
+
+
+def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, trees: int = 100, seed: int = 1, max_depth: int = 5) -> DataFrame:
+    """Features whose forest importance beats the best shadow more often than chance; ``score`` is the number of such rounds.
+
+    Every round shuffles the features that are not rejected into shadows, fits one balanced forest on both, and decides
+    features by ``boruta_decisions``; rejected ones leave, so later rounds are smaller. It ends when all are decided. Features that are
+    still open after ``max_iter`` rounds are not kept.
     """
     names = feature_names(feat)
-    p = len(names)
-    feat = feat.persist()
-    hits = np.zeros(p, dtype=int)
+    held = settled(feat.select("case_id", "label", "feature", "ord", "value"))
+    hits, decided = [0] * len(names), [0] * len(names)
     for r in range(max_iter):
-        shadow = shadow_features(feat, seed + r).select(
-            "case_id", "label", F.concat(F.lit("shadow_"), "feature").alias("feature"), (F.col("ord") + 1_000_000).alias("ord"), "value"
-        )
-        both = to_vectors(feat.select("case_id", "label", "feature", "ord", "value").unionByName(shadow))
-        both = settled(with_class_weights(both))
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=5, seed=seed + r, weightCol="weight")
-        gain = forest.fit(both).featureImportances.toArray()
-        both.unpersist()
-        hits += gain[:p] > gain[p:].max()
-    keep = [_binomial_tail(int(h), max_iter) < alpha / p for h in hits]
-    return _support(feat, names, hits, keep)
+        alive = [i for i, d in enumerate(decided) if d >= 0]
+        if not any(d == 0 for d in decided):
+            break
+        places = feat.sparkSession.createDataFrame([(names[i], at) for at, i in enumerate(alive)], "feature string, _at int")
+        real = held.join(F.broadcast(places), "feature")  # one row per feature
+        both = real.select("case_id", "label", "feature", F.col("_at").alias("ord"), "value")
+        sets = -(-LEAST_SHADOWS // len(alive))
+        for copy in range(sets):  # shadows stand behind all real features in the vector
+            shadow = shadow_features(real.select("case_id", "label", "feature", F.col("_at").alias("ord"), "value"), seed + r * sets + copy)
+            name = F.concat(F.lit(f"shadow{copy}_"), "feature")
+            both = both.unionByName(shadow.withColumn("feature", name).withColumn("ord", F.col("ord") + len(alive) * (copy + 1)))
+        rows = settled(with_class_weights(to_vectors(both)))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed + r, weightCol="weight")
+        gain = forest.fit(rows).featureImportances.toArray()
+        rows.unpersist()
+        best = gain[len(alive) :].max()
+        for at, i in enumerate(alive):
+            hits[i] += bool(gain[at] > best)
+        decided = boruta_decisions(hits, decided, r + 1, alpha)
+    held.unpersist()
+    return _support(feat, names, hits, [d == 1 for d in decided])
 
 
 # ---------------------------------------------------------------------------------------------- chain

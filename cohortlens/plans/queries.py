@@ -518,7 +518,7 @@ def sequential_select_backward(spark, d):
 
 @query
 def boruta_select(spark, d):
-    return selection.boruta_select(_narrow(spark, d)[0], max_iter=8, trees=10).select("feature", "score", "keep")
+    return selection.boruta_select(_split_features(spark, d)[0], max_iter=20, trees=50).select("feature", "score", "keep")
 
 
 # ------------------------------------------------------------------------------------------- classifiers

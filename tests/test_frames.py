@@ -126,8 +126,44 @@ def test_wrappers(feat):
     assert "f00" in kept(selection.rfe_cv(feat, step=2, folds=2, max_iter=5))
 
 
-def test_boruta_confirms_only_the_signal(feat):
-    assert kept(selection.boruta_select(feat, max_iter=8, trees=10)) == ["f00"]
+def test_boruta_confirms_the_signal_and_rejects_noise(feat):
+    rows = {r["feature"]: r for r in selection.boruta_select(feat, max_iter=20, trees=15).collect()}
+    assert [f for f, r in rows.items() if r["keep"]] == ["f00"]
+    rounds = rows["f00"]["score"]
+    assert rounds >= 7 and all(r["score"] < rounds for f, r in rows.items() if f != "f00")
+
+
+def test_boruta_decisions():
+    assert selection._discoveries([0.001, 0.02, 0.2, 0.9], 0.05) == [True, True, False, False]
+    assert selection._discoveries([0.2, 0.9], 0.05) == [False, False]
+    assert selection.boruta_decisions([5, 0, 3], [0, 0, 0], 5, 0.05) == [0, 0, 0]  # 1/32 is no more than 0.05/5 in no feature
+    assert selection.boruta_decisions([10, 0, 5], [0, 0, 0], 10, 0.05) == [1, -1, 0]
+    assert selection.boruta_decisions([10, 0, 5], [0, -1, 1], 10, 0.05) == [1, -1, 1]  # what is decided stays
+
+
+@pytest.mark.parametrize("direction,n", [("forward", 3), ("backward", 6)])
+def test_lasso_sequence_is_that_of_all_subsets(spark, direction, n):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(70, 8)) * np.array([1, 10, 0.1, 1, 1, 1, 1, 1]) + np.array([0, 5, 0, 0, 0, 100, 0, 0])
+    y = (x[:, 1] / 10 + x[:, 2] * 6 + 0.5 * x[:, 6] + rng.normal(size=70) > 0.5).astype(int)
+    rows = [(f"c{i:02d}", int(y[i]), f"f{j}", j, float(x[i, j])) for i in range(70) for j in range(8)]
+    feat = spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double")
+    folds = frame.stratified_folds(feat.select("case_id", "label").distinct(), 5, 1, 42).toPandas().set_index("case_id").fold
+    of = folds.loc[[f"c{i:02d}" for i in range(70)]].to_numpy()
+    design = np.column_stack([np.ones(70), x, y])
+
+    def score(columns):
+        at = [0, *[c + 1 for c in columns], 9]
+        products = {str(f): design[of == f][:, at].T @ design[of == f][:, at] for f in range(5)}
+        return selection._subset_score(products, design.std(axis=0, ddof=1)[at[1:]])
+
+    current = [] if direction == "forward" else list(range(8))
+    while len(current) != n:
+        options = [sorted({*current} ^ {c}) for c in range(8) if (c in current) == (direction == "backward")]
+        current = max(options, key=score)
+    got = selection.sequential_select(feat, direction, "lasso", n_feature=n).filter("keep").collect()
+    assert sorted(int(r["feature"][1:]) for r in got) == current
+    assert [r["score"] for r in got] == pytest.approx([score(current)] * n, abs=1e-5)
 
 
 def test_chain_and_support_persistence(spark, feat, folder):
