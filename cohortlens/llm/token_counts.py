@@ -3,15 +3,16 @@
 A tokenizer of the ``tokenizers`` library normalises a text, cuts it into pre-tokens and splits each pre-token on its own. The
 number of pieces therefore depends on the pre-token alone:
 
-* a first pass over the texts adds up the distinct pre-tokens of the corpus, inside each task first;
-* each distinct pre-token is split once, by the library's own model, and only the number of its pieces is kept;
-* a second pass forms each document's pre-token frequencies. The ``hot`` most frequent pre-tokens are looked up in a broadcast
-  table (never more than that many rows, whatever the corpus); the others leave as rows (document, pre-token, times), are joined
-  by shuffle and summed. No id is ever formed for a document.
+* one pass over the texts writes each document's distinct pre-tokens and how often they occur in it;
+* each distinct pre-token of the corpus is split once, by the library's own model, and only the number of its pieces is kept;
+* the numbers are joined to the frequencies. The ``hot`` most frequent pre-tokens are looked up in a broadcast table (never more
+  than that many rows, whatever the corpus); the others leave as rows (document, pre-token, times), are joined by shuffle and
+  summed. No id is ever formed for a document.
 
-Where the tokenizer drops white space, blanks and line feeds bound everything that it does, so a task remembers the pre-tokens of
-each run between them; other tokenizers are given the text whole. Strings of special tokens inside a text are one token each, the
-library's default. Begin, end and other added tokens, truncation and padding take no part.
+Where the tokenizer drops white space, blanks and line feeds bound everything that it does. Runs between them are then handed to
+the library many at once, and a task remembers their pre-tokens; other tokenizers are given the text whole. Strings of special
+tokens inside a text are one token each, the library's default. Begin, end and other added tokens, truncation and padding take
+no part.
 
 Defined cases: a null text counts as empty; an empty text has no bytes and no tokens; repeated rows, and rows with a null doc_id,
 are counted each; texts are read whole, whatever their length; an empty table gives an empty result; other columns are ignored.
@@ -20,23 +21,24 @@ are counted each; texts are read whole, whatever their length; an empty table gi
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.context_tree import _hot
-from cohortlens.llm.tables import numbered, text_of, written
+from cohortlens.llm.hashing import chunks
+from cohortlens.llm.tables import discard, numbered, text_of, written
 
 #: Rows of the broadcast table at most.
 HOT = 1 << 17
-#: Distinct runs that a task remembers before it empties its tables.
-REMEMBERED = 200_000
-#: Longer runs are not remembered.
-LONGEST_RUN = 256
+#: Characters of distinct runs that a task remembers before it empties its table, and of texts that are cut together.
+REMEMBERED, CHUNK = 3 << 20, 1 << 20
 LIMIT = 2048
+KEYS = ["rid", "doc_id", "n_bytes"]
 
 
 class Cutter:
@@ -51,6 +53,8 @@ class Cutter:
             raise ValueError("added tokens that take blanks or whole words with them, or are normalised, are not supported")
         strings = sorted((t.content for t in special), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.known: dict[str, list[str]] = {}
+        self.size = 0
         self.separable = self.pre_tokens("a b\nc") == [p for x in "abc" for p in self.pre_tokens(x)]
 
     def pre_tokens(self, run: str) -> list[str]:
@@ -68,6 +72,41 @@ class Cutter:
             runs = [p for p in parts if p]
         return len(parts) - 1, runs
 
+    def many(self, runs: list[str]) -> list[list[str]]:
+        """Pre-tokens of each run, by one call of the library where the runs stand between blanks.
+
+        A run that holds white space of another kind would be cut in two; the call is then made for each run.
+        """
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        line = " ".join(runs)
+        line = normalizer.normalize_str(line) if normalizer else line
+        parts = line.split(" ")
+        if not self.separable or len(parts) != len(runs):
+            return [self.pre_tokens(r) for r in runs]
+        found = cutter.pre_tokenize_str(line)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        at = np.searchsorted(np.array([a for _, (a, _) in found], np.int64), ends).tolist()
+        own = [p for p, _ in found]
+        return [own[a:b] for a, b in zip([0, *at[:-1]], at)]
+
+    def frequencies(self, texts: list[str]) -> list[tuple[int, dict[str, int]]]:
+        """Special tokens of each text, and its pre-tokens with the times they occur."""
+        cut = [self.runs(t) for t in texts]
+        counts = [Counter(runs) for _, runs in cut]
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
+        new = [r for r in set().union(*counts) if r not in self.known]
+        self.known.update(zip(new, self.many(new)))
+        self.size += sum(map(len, new))
+        out = []
+        for (special, _), runs in zip(cut, counts):
+            own: dict[str, int] = {}
+            for run, times in runs.items():
+                for p in self.known[run]:
+                    own[p] = own.get(p, 0) + times
+            out.append((special, own))
+        return out
+
     def pieces(self, pre_token: str) -> int:
         return len(self.tokenizer.model.tokenize(pre_token))
 
@@ -78,24 +117,26 @@ def cutter(path: str) -> Cutter:
     return Cutter(path)
 
 
-def _distinct(batches, path: str):
-    """(pre_token, n): how often each occurs, added up as far as one task can remember."""
-    cut, seen = cutter(path), Counter()
-
-    def emptied():
-        found = Counter()
-        for run, n in seen.items():
-            for p in cut.pre_tokens(run):
-                found[p] += n
-        seen.clear()
-        return pa.record_batch([pa.array(list(found), pa.string()), pa.array(found.values(), pa.int64())], ["pre_token", "n"])
-
+def _frequencies(batches, path: str):
+    cut = cutter(path)
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen.update(cut.runs(text)[1])
-            if len(seen) > REMEMBERED:
-                yield emptied()
-    yield emptied()
+        texts = batch.column("text").to_pylist()
+        for a, b in chunks(texts, CHUNK):
+            found = cut.frequencies(texts[a:b])
+            ends = pa.array(np.cumsum([0, *(len(f) for _, f in found)]), pa.int32())
+            names = pa.array([p for _, f in found for p in f], pa.string())
+            times = pa.array([n for _, f in found for n in f.values()], pa.int64())
+            columns = [pa.array([s for s, _ in found], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in (names, times))]
+            keys = [batch.column(c).slice(a, b - a) for c in KEYS]
+            yield pa.record_batch([*keys, *columns], [*KEYS, "special", "pre_tokens", "times"])
+
+
+def pre_token_frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """rid, doc_id, n_bytes, special, pre_tokens, times of every row of (rid, doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("rid", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
+    kinds = f"rid bigint, doc_id {kind}, n_bytes bigint, special bigint, pre_tokens array<string>, times array<bigint>"
+    return rows.mapInArrow(lambda b: _frequencies(b, path), kinds)
 
 
 def _counted(batches, path: str):
@@ -106,74 +147,50 @@ def _counted(batches, path: str):
         yield pa.record_batch([*batch.columns, pa.array(pieces, pa.int64())], ["pre_token", "n", "pieces"])
 
 
-def pre_token_pieces(texts: DataFrame, path: str) -> DataFrame:
-    """(pre_token, n, pieces): every distinct pre-token of the texts, its frequency and the number of its pieces."""
-    found = texts.select("text").mapInArrow(lambda b: _distinct(b, path), "pre_token string, n bigint")
-    found = found.groupBy("pre_token").agg(F.sum("n").alias("n"))
-    return found.mapInArrow(lambda b: _counted(b, path), "pre_token string, n bigint, pieces bigint")
-
-
-_HOT_PIECES: dict[str, dict[str, int]] = {}
+def _rows(found: DataFrame) -> DataFrame:
+    """(rid, pre_token, times) of the listed pre-tokens."""
+    pairs = F.explode(F.arrays_zip(F.col("pre_tokens").alias("pre_token"), F.col("times").alias("times"))).alias("x")
+    return found.select("rid", pairs).select("rid", "x.pre_token", "x.times")
 
 
-def _hot_pieces(hot) -> dict[str, int]:
-    """The broadcast table of this worker as a dictionary; one at a time is kept."""
-    if hot.value[0] not in _HOT_PIECES:
-        _HOT_PIECES.clear()
-        _HOT_PIECES[hot.value[0]] = dict(zip(*(c.to_pylist() for c in hot.value[1].columns)))
-    return _HOT_PIECES[hot.value[0]]
+def pre_token_pieces(found: DataFrame, path: str) -> DataFrame:
+    """(pre_token, n, pieces): every distinct pre-token of the documents, its frequency and the number of its pieces."""
+    distinct = _rows(found).groupBy("pre_token").agg(F.sum("times").alias("n"))
+    return distinct.mapInArrow(lambda b: _counted(b, path), "pre_token string, n bigint, pieces bigint")
 
 
-def _known(batches, path: str, hot):
+def _known(batches, hot):
     """Per document: tokens by the broadcast table, and the frequencies of all other pre-tokens."""
-    cut, pieces = cutter(path), _hot_pieces(hot)
-    remembered: dict[str, tuple[int, list[str]]] = {}
-
-    def counted(run: str) -> tuple[int, list[str]]:
-        own = cut.pre_tokens(run)
-        found = sum(pieces.get(p, 0) for p in own), [p for p in own if p not in pieces]
-        if len(run) <= LONGEST_RUN:
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
-            remembered[run] = found
-        return found
-
+    pre_tokens, pieces = hot.value
     for batch in batches:
-        tokens, late = [], []
-        for text in batch.column("text").to_pylist():
-            total, runs = cut.runs(text)
-            rare = Counter()
-            for run, times in Counter(runs).items():
-                known, rest = remembered.get(run) or counted(run)
-                total += known * times
-                for p in rest:
-                    rare[p] += times
-            tokens.append(total)
-            late.append([{"pre_token": p, "times": n} for p, n in rare.items()])
-        kind = pa.list_(pa.struct([("pre_token", pa.string()), ("times", pa.int64())]))
-        keys = [batch.column(c) for c in ("rid", "doc_id", "n_bytes")]
-        yield pa.record_batch([*keys, pa.array(tokens, pa.int64()), pa.array(late, kind)], ["rid", "doc_id", "n_bytes", "known", "late"])
+        lists, special = batch.column("pre_tokens"), batch.column("special").to_numpy()
+        names, times = lists.flatten(), batch.column("times").flatten().to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        at = pc.index_in(names, value_set=pre_tokens)
+        hit = at.is_valid().to_numpy(zero_copy_only=False)
+        total = special + np.bincount(owner[hit], times[hit] * pieces[at.drop_null().to_numpy()], batch.num_rows).astype(np.int64)
+        ends = pa.array(np.cumsum([0, *np.bincount(owner[~hit], minlength=batch.num_rows)]), pa.int32())
+        late = [pa.ListArray.from_arrays(ends, x) for x in (names.filter(pa.array(~hit)), pa.array(times[~hit]))]
+        yield pa.record_batch([*[batch.column(c) for c in KEYS], pa.array(total), *late], [*KEYS, "known", "pre_tokens", "times"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document, by the tokenizer file at ``path`` (on every executor)."""
     if not path.endswith(".json"):
         raise ValueError("a tokenizer file of the tokenizers library (.json) is needed")
-    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
-    pieces = written(pre_token_pieces(docs, path), "pre-tokens")
+    found = written(pre_token_frequencies(docs, path), "pre-token-frequencies", "zstd")
+    pieces = written(pre_token_pieces(found, path), "pre-tokens")
     least = _hot(pieces, "n", hot)
     frequent = pieces.filter(F.col("n") >= least).select("pre_token", "pieces").toArrow()  # at most ``hot`` rows
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, frequent))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.select("rid", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text").mapInArrow(
-        lambda b: _known(b, path, shared),
-        f"rid bigint, doc_id {kind}, n_bytes bigint, known bigint, late array<struct<pre_token: string, times: bigint>>",
-    )
-    known = written(known, "token-counts")
+    table = frequent.column("pre_token").combine_chunks(), frequent.column("pieces").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    kinds = f"rid bigint, doc_id {kind}, n_bytes bigint, known bigint, pre_tokens array<string>, times array<bigint>"
+    known = written(found.mapInArrow(lambda b: _known(b, shared), kinds), "token-counts", "zstd")
+    discard(found)
     rare = pieces.filter(F.col("n") < least).select("pre_token", "pieces")
-    late = known.select("rid", F.explode("late").alias("x")).select("rid", "x.pre_token", "x.times")
-    late = late.join(rare, "pre_token").groupBy("rid").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    late = _rows(known).join(rare, "pre_token").groupBy("rid").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
     n = F.col("known") + F.coalesce("rest", F.lit(0))
     out = known.select("rid", "doc_id", "n_bytes", "known").join(late, "rid", "left").withColumn("n_tokens", n)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
