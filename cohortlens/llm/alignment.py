@@ -7,8 +7,9 @@ common ends slice both token sequences into groups, and the difference of the pl
 of the longer list that overlap the token between them: the links.
 
 * **Units.** Neither tokenizer has a token that goes on behind a blank that follows other text, so both always end before it. A document
-  is therefore aligned unit by unit (a word with the white space before it), and a task remembers the units that it has aligned. A
-  vocabulary of B that breaks this, and a text whose bytes do not come back, are aligned whole.
+  is therefore a row of units (a word with the white space before it). The units that are new to a task are laid end to end, their two
+  lists of ends are intersected at once, and the task remembers groups and links of each. A vocabulary of B that breaks this, and a
+  text whose bytes do not come back, are aligned whole.
 * **Counts.** A document keeps its distinct (A id, B id) pairs and their times. They are added up inside tasks, then by pair; a pair is
   a *best* one if no pair of its B id is counted higher. The ``hot`` most frequent pairs are looked up in a broadcast table (never more
   than that many rows); the others leave as rows (document, pair, times), are joined by shuffle and summed.
@@ -25,7 +26,6 @@ import os
 import re
 import uuid
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,18 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.context_tree import _hot
-from cohortlens.llm.tables import numbered, text_of, written
+from cohortlens.llm.hashing import chunks
+from cohortlens.llm.tables import discard, numbered, text_of, written
 
 #: Rows of the broadcast table at most.
 HOT = 1 << 19
-#: Distinct units that a task remembers before it empties its table, and the longest unit that is remembered.
-REMEMBERED, LONGEST_UNIT = 100_000, 64
+#: Links of distinct units that a task remembers before it empties its tables, and characters of texts that are aligned together.
+REMEMBERED, CHUNK = 1 << 21, 1 << 20
 #: Distinct pairs that a task adds up before it emits them.
 HELD_PAIRS = 1 << 20
 #: B ids are below this; a pair is packed as A id * PACK + B id.
 PACK = 1 << 31
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 #: A blank after other text and before other text: both tokenizers end a token before it.
 CUT = re.compile(r"(?<=\S)(?= \s*\S)")
+#: Texts without this, and without white space at the end, can be cut at every blank.
+MORE_SPACE = re.compile(r"\s ")
 
 
 def gallop(short: Sequence[int], long: Sequence[int]) -> list[int]:
@@ -62,24 +66,26 @@ def gallop(short: Sequence[int], long: Sequence[int]) -> list[int]:
 
 
 class Aligned(NamedTuple):
-    """Group bounds (tokens of A and of B up to each common end) and linked token numbers."""
+    """Tokens of A and of B up to each common end, and the numbers of linked tokens of A and of B."""
 
-    bounds: list[tuple[int, int]]
-    links: list[tuple[int, int]]
+    upto_a: np.ndarray
+    upto_b: np.ndarray
+    link_a: np.ndarray
+    link_b: np.ndarray
 
 
-def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> Aligned:
-    """Groups and links of two ascending lists of token ends over the same bytes."""
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
+    """Groups and links of two ascending arrays of token ends over the same bytes."""
     swap = len(ends_a) > len(ends_b)
     short, long = (ends_b, ends_a) if swap else (ends_a, ends_b)
-    bounds, links, first = [], [], 0
-    for i, rank in enumerate(gallop(short, long)):
-        links += [(j, i) if swap else (i, j) for j in range(first, rank + 1)]
-        common = long[rank] == short[i]
-        if common:
-            bounds.append((rank + 1, i + 1) if swap else (i + 1, rank + 1))
-        first = rank + common
-    return Aligned(bounds, links)
+    rank = np.array(gallop(short.tolist(), long.tolist()), np.int64)
+    common = long[rank] == short if len(rank) else np.zeros(0, bool)
+    first = np.concatenate(([0], (rank + common)[:-1]))[: len(rank)]
+    n = rank - first + 1  # tokens of the longer list that overlap each token of the shorter one
+    of_short = np.repeat(np.arange(len(n)), n)
+    of_long = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    upto_short, upto_long = np.flatnonzero(common) + 1, rank[common] + 1
+    return Aligned(upto_long, upto_short, of_long, of_short) if swap else Aligned(upto_short, upto_long, of_short, of_long)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -89,15 +95,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Unit(NamedTuple):
-    """What a unit adds to its document."""
-
-    n_a: int
-    n_b: int
-    groups: list[str]
-    pairs: list[int]
-
-
 class Aligner:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -110,7 +107,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
-        self.bytes_a: dict[int, bytes] = {}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             plain = all(c in alphabet for c in token)
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if plain else token.encode()
@@ -119,45 +116,88 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.separable = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.units: dict[str, Unit | None] = {}
+        self.lengths_a, self.lengths_b = ([len(x) for x in known] for known in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = np.array(self.lengths_a), np.array(self.lengths_b)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[str, int] = {}  # unit -> its number below, -1 if its bytes do not come back
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
+        self.first, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def cut(self, text: str) -> list[str]:
         """Units of a text with the blank before it."""
-        return CUT.split(" " + text) if self.separable else [" " + text]
-
-    def _unit(self, unit: str, a: list[int], b: list[int]) -> Unit | None:
-        """None where either tokenizer does not give the unit's bytes back."""
-        parts_a, parts_b, whole = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], unit.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        ends_a, ends_b = (np.cumsum([len(p) for p in parts]).tolist() for parts in (parts_a, parts_b))
-        found = align(ends_a, ends_b)
-        groups, i, j = [], 0, 0
-        for x, y in found.bounds:
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        return Unit(len(a), len(b), groups, [a[i] * PACK + b[j] for i, j in found.links])
-
-    def aligned(self, units: list[str]) -> list[Unit | None]:
-        """Alignments of distinct units."""
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [self._unit(u, x.ids, y) for u, x, y in zip(units, a, b)]
-
-    def documents(self, texts: list[str]) -> list[list[Unit]]:
-        """Units of each text; none where it has no tokens."""
+        if not self.separable:
+            return [" " + text]
+        if text[-1].isspace() or MORE_SPACE.search(" " + text):
+            return CUT.split(" " + text)
+        return [" " + part for part in text.split(" ")]
+
+    def _given_back(self, units: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of both tokenizers are the bytes of each unit; all units at once, one by one only if some differ."""
+        whole = [u.encode() for u in units]
+        sizes, line = [len(w) for w in whole], b"".join(whole)
+        same = all(
+            [sum([size[i] for i in x]) for x in of] == sizes and b"".join([known[i] for x in of for i in x]) == line
+            for of, known, size in ((of_a, self.bytes_a, self.lengths_a), (of_b, self.bytes_b, self.lengths_b))
+        )
+        if same:
+            return [True] * len(units)
+        return [
+            b"".join([self.bytes_a[i] for i in x]) == w == b"".join([self.bytes_b[i] for i in y]) for w, x, y in zip(whole, of_a, of_b)
+        ]
+
+    def _remember(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self.units]
+        a = self.a.encode_batch(new, add_special_tokens=False) if new else []
+        b = self.b.encode([u[1:] for u in new], num_threads=1) if new else []
+        of_a = [x.ids for x in a]
+        good = self._given_back(new, of_a, b)
+        if not all(good):
+            self.units.update((u, -1) for u, ok in zip(new, good) if not ok)
+            new, of_a, b = ([x for x, ok in zip(column, good) if ok] for column in (new, of_a, b))
+        if not new:
+            return
+        self.units.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        n_a, n_b = (np.array([len(x) for x in of]) for of in (of_a, b))
+        ids_a, ids_b = (np.array([i for x in of for i in x], np.int64) for of in (of_a, b))
+        found = align(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
+        unit_of = np.repeat(np.arange(len(new)), n_a)
+        n_links = np.bincount(unit_of[found.link_a], minlength=len(new))
+        n_groups = np.bincount(unit_of[found.upto_a - 1], minlength=len(new))
+        names_a, names_b = (list(map(str, ids.tolist())) for ids in (ids_a, ids_b))
+        to_a, to_b = found.upto_a.tolist(), found.upto_b.tolist()
+        groups = [
+            ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]) for i, x, j, y in zip([0, *to_a], to_a, [0, *to_b], to_b)
+        ]
+        cuts = [0, *np.cumsum(n_groups).tolist()]
+        self.groups += [";".join(groups[x:y]) for x, y in zip(cuts, cuts[1:])]
+        self.counts = np.concatenate((self.counts, np.column_stack((n_a, n_b, n_groups, n_links))))
+        self.first = np.concatenate((self.first, len(self.pairs) + np.cumsum(n_links) - n_links))
+        self.pairs = np.concatenate((self.pairs, ids_a[found.link_a] * PACK + ids_b[found.link_b]))
+
+    def _document(self, units: list[int]) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+        """Counts, groups_sha256, distinct pairs and their times of a row of units."""
+        at = np.array(units, np.int64)
+        digest = hashlib.sha256(";".join([self.groups[i] for i in units]).encode()).hexdigest() if units else ""
+        n = self.counts[at, 3]
+        places = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        return self.counts[at].sum(axis=0), digest, *np.unique(self.pairs[places], return_counts=True)
+
+    def documents(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+        """Counts, groups_sha256, distinct pairs and their times of each text."""
+        if len(self.pairs) > REMEMBERED:
+            self._forget()
         cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.units) > REMEMBERED:
-            self.units.clear()
-        new = [u for u in set().union(*cut) if u not in self.units]
-        own = dict(zip(new, self.aligned(new)))
-        self.units.update((u, x) for u, x in own.items() if len(u) <= LONGEST_UNIT)
+        self._remember(set().union(*cut))
         out = []
         for text, units in zip(texts, cut):
-            found = [own[u] if u in own else self.units[u] for u in units]
-            if None in found:  # the whole text decides
-                found = self.aligned([" " + text]) if len(units) > 1 else [None]
-            out.append([] if None in found else found)
+            numbers = [self.units[u] for u in units]
+            if -1 in numbers:  # the whole text decides
+                self._remember({" " + text})
+                numbers = [i for i in [self.units[" " + text]] if i >= 0]
+            out.append(self._document(numbers))
         return out
 
 
@@ -167,38 +207,17 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-#: Characters of the texts that are aligned together.
-CHUNK = 1 << 19
-
-
-def _chunks(texts: list[str]):
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > CHUNK:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _aligned(batches, path_a: str, path_b: str):
     found = aligner(path_a, path_b)
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for first, last in _chunks(texts):
-            rows = []
-            for units in found.documents(texts[first:last]):
-                groups = [g for u in units for g in u.groups]
-                pairs = Counter(p for u in units for p in u.pairs)
-                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if units else ""
-                rows.append(
-                    (sum(u.n_a for u in units), sum(u.n_b for u in units), len(groups), sum(pairs.values()), digest, list(pairs), list(pairs.values()))
-                )
-            kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-            own = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        for first, last in chunks(texts, CHUNK):
+            counts, digests, pairs, times = zip(*found.documents(texts[first:last]))
+            ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in (pairs, times)]
             keys = [batch.column(c).slice(first, last - first) for c in ("rid", "doc_id")]
-            yield pa.record_batch([*keys, *own], ["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+            own = [*map(pa.array, np.array(counts).T.copy()), pa.array(digests, pa.string())]
+            yield pa.record_batch([*keys, *own, *lists], ["rid", "doc_id", *COUNTS, "groups_sha256", "pairs", "times"])
 
 
 def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +266,7 @@ def _hot_pairs(hot) -> tuple[np.ndarray, ...]:
 def _looked_up(batches, hot):
     """Per document: links of best pairs and summed counts by the broadcast table, and all other pairs with their times."""
     pair, count, best = _hot_pairs(hot)
-    kept = ["rid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    kept = ["rid", "doc_id", *COUNTS, "groups_sha256"]
     for batch in batches:
         keys, times, owner = _lists(batch)
         at = np.minimum(np.searchsorted(pair, keys), max(len(pair) - 1, 0))
@@ -288,7 +307,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, hot: int = HOT) -> Data
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
-    found = written(aligned_documents(docs, path_a, path_b), "aligned-documents")
+    found = written(aligned_documents(docs, path_a, path_b), "aligned-documents", "zstd")
     counts = written(pair_counts(found), "pair-best")
     least = _hot(counts, "n", hot)
     frequent = counts.filter(F.col("n") >= least).select("pair", "n", "best").toArrow()  # at most ``hot`` rows
@@ -299,6 +318,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, hot: int = HOT) -> Data
         " known_best bigint, known_sum bigint, late array<bigint>, late_times array<bigint>",
     )
     known = written(known, "aligned-counts")
+    discard(found)
     rare = counts.filter(F.col("n") < least).select("pair", "n", "best")
     late = known.select("rid", F.explode(F.arrays_zip(F.col("late").alias("pair"), F.col("late_times").alias("times"))).alias("x"))
     late = late.select("rid", "x.pair", "x.times").join(rare, "pair")
