@@ -36,7 +36,7 @@ from cohortlens.llm.tables import discard, numbered, text_of, written
 #: Rows of the broadcast table at most.
 HOT = 1 << 17
 #: Characters of distinct runs that a task remembers before it empties its table, and of texts that are cut together.
-REMEMBERED, CHUNK = 3 << 20, 1 << 20
+REMEMBERED, CHUNK = 5 << 20, 1 << 20
 LIMIT = 2048
 KEYS = ["rid", "doc_id", "n_bytes"]
 
@@ -101,9 +101,10 @@ class Cutter:
         out = []
         for (special, _), runs in zip(cut, counts):
             own: dict[str, int] = {}
+            known, get = self.known, own.get
             for run, times in runs.items():
-                for p in self.known[run]:
-                    own[p] = own.get(p, 0) + times
+                for p in known[run]:
+                    own[p] = get(p, 0) + times
             out.append((special, own))
         return out
 
