@@ -184,7 +184,8 @@ def rules() -> list[Rule]:
         edge = r"(?<![a-z0-9])" if pattern[0].isalnum() or pattern[0] in "([" else ""
         # One word of the keyword: white space in a text may be of any kind.
         word = max(keyword.split(), key=len)
-        blank = pattern.replace("[ -]", r"[\s-]").replace(" ?", r"\s*").replace(" ", r"\s+")
+        # Runs give nothing back: two of them side by side would try every cut of a long run of blanks.
+        blank = pattern.replace("[ -]", r"[\s-]").replace(" ?", r"\s*+").replace(" ", r"\s++")
         out.append(Rule(label, kind, *KINDS[kind], word, edge + blank))
 
     for label, (identifiers, names, addresses) in FAMILIES.items():

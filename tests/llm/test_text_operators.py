@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -129,6 +130,15 @@ def test_rules_pass_their_own_gate():
         assert scanner.hits(text)
 
 
+@pytest.mark.parametrize("word", ["copyright", "license", "licensed under", "spdx-license-identifier:"])
+def test_long_runs_of_blanks_take_time_in_proportion(word):
+    scanner = Scanner()
+    start = time.process_time()
+    hits = scanner.hits(f"{word}{' ' * 300_000}. copyright \n (c) \t 2001")
+    assert time.process_time() - start < 20  # a second or two; tried cut by cut it would be hours
+    assert [scanner.rules[i][0].label for _, _, i in hits] == ["copyright"]
+
+
 def test_suppression_equals_the_definition():
     rng = random.Random(0)
     for _ in range(500):
