@@ -2,12 +2,12 @@
 
 A node that stands for k shards is split in floor(k/2) : ceil(k/2) of its bytes, along its widest metadata dimension
 (range of the scaled code). The split point is the weighted quantile of a 62-bit key (20-bit dimension code, then a hash
-of text and document that breaks ties, so equal texts stand side by side and one hot value can still be divided). It is
+of the text and one of the row that break ties, so equal texts stand side by side and one hot value can still be divided). It is
 found digit by digit: each pass sums bytes per (node, digit), partial sums first, and only one row per node reaches the
 driver; it ends once each node's split falls on a single row. Leaves therefore differ by about one document per level.
 
-Built-in functions only. Defined cases: null text counts as empty, null metadata has code 0, repeated rows have equal keys
-and stay together, fewer documents than shards leave shards empty, an empty table gives an empty result.
+Built-in functions only. Defined cases: null text counts as empty, null metadata has code 0, rows are told apart by doc_id
+or, where that repeats or is null, by a number of their own, so repeated rows are divided like any others, fewer documents than shards leave shards empty, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cohortlens.llm.tables import text_of, written
+from cohortlens.llm.tables import numbered, text_of, written
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -47,14 +47,22 @@ class Split:
 
 
 def _codes(docs: DataFrame, dims: tuple[str, ...]) -> list[Column]:
-    """A 20-bit code per dimension: hashed for strings, logarithm of the value for numbers (64 octaves over the range)."""
+    """A 20-bit code per dimension: hashed for strings, logarithm of the value for numbers, scaled to the table's own range.
+
+    Both kinds then fill the code's range, so their widths can be compared.
+    """
     top = (1 << CODE_BITS) - 1
+    hashed = {n for n in dims if docs.schema[n].dataType.typeName() in ("string", "boolean")}
+    logs = {n: F.log2(1 + F.greatest(F.col(n).cast("double"), F.lit(0.0))) for n in dims if n not in hashed}
+    ends = [f(c).alias(f"{at}_{n}") for n, c in logs.items() for at, f in (("lo", F.min), ("hi", F.max))]
+    span = docs.agg(*ends).first() if ends else {}
     out = []
     for name in dims:
-        if docs.schema[name].dataType.typeName() in ("string", "boolean"):
+        if name in hashed:
             code = F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(1 << CODE_BITS))
         else:
-            code = F.floor(F.least(F.log2(1 + F.greatest(F.col(name).cast("double"), F.lit(0.0))) / 64 * top, F.lit(float(top))))
+            lo, hi = (span[f"{at}_{name}"] or 0.0 for at in ("lo", "hi"))
+            code = F.floor((logs[name] - lo) / (hi - lo) * top) if hi > lo else F.lit(0)
         out.append(F.when(F.col(name).isNull(), F.lit(0)).otherwise(code).cast("bigint"))
     return out
 
@@ -146,14 +154,14 @@ def kd_shards(docs: DataFrame, dims: tuple[str, ...] = DIMENSIONS, shards: int =
     codes = [c.alias(f"code{i}") for i, c in enumerate(_codes(docs, dims))]
     text = text_of(docs)
     half = F.lit(1 << TIE_BITS)
-    tie = F.shiftleft(F.pmod(F.xxhash64(text), half), TIE_BITS) + F.pmod(F.xxhash64("doc_id", F.lit("doc")), half)
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text).cast("bigint").alias("text_crc32"),
-        tie.alias("tie"),
+        F.shiftleft(F.pmod(F.xxhash64(text), half), TIE_BITS).alias("tie"),
         *codes,
     )
-    rows = written(rows, "shard-rows")
+    rows = numbered(written(rows, "shard-rows"))
+    rows = rows.withColumn("tie", F.col("tie") + F.pmod(F.xxhash64("rid", F.lit("doc")), half)).drop("rid")
     placed = kd_leaves(rows, len(dims), shards).withColumnRenamed("node", "shard")
     return slots(placed).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -233,6 +233,20 @@ def test_shards_equal_a_recursive_split(spark):
     assert all(r["text_crc32"] == zlib.crc32(rows[i][1].encode()) and r["size"] == len(rows[i][1].encode()) + 16 for i, r in got.items())
 
 
+def test_repeated_rows_are_divided(spark):
+    rows = [(7, "one and the same text", "en", "hot")] * 4000
+    got = Counter(r["shard"] for r in kd_shards(frame(spark, rows)).collect())
+    assert len(got) == SHARDS and max(got.values()) - min(got.values()) <= 1
+
+
+def test_numbers_fill_the_range_of_codes(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "'en' AS lang", "cast(null AS string) AS source", "id + 10 AS n_chars")
+    ends = docs.select(*[c.alias(n) for c, n in zip(_codes(docs, DIMENSIONS), DIMENSIONS)]).agg(
+        F.min("n_chars"), F.max("n_chars"), F.max("source")
+    )
+    assert ends.first()[:] == (0, (1 << 20) - 1, 0)
+
+
 # Extraction
 
 
