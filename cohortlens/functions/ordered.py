@@ -58,23 +58,42 @@ def running_totals(
     return out.drop(*[f"_off_{n}" for n in totals])
 
 
+def octave_code(value: Column, parts: int = 256) -> Column:
+    """Whole number that never decreases with the value: sign and logarithm, ``parts`` steps per power of two.
+
+    The steps do not depend on the data, so an outlier cannot push all other values into one of them.
+    """
+    size = F.floor((F.log2(F.abs(value)) + 1100) * parts)
+    signed = F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(signed).cast("long")
+
+
+def _holding(sums: DataFrame, keys: Sequence[str], digit: str, ranks: Column) -> DataFrame:
+    """The rows of ``sums`` (``_within`` per digit, ``_before`` the group) that hold a wanted rank, ``_before`` moved on."""
+    earlier = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_within").over(earlier), F.lit(0))
+    held = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_within")))
+    return sums.withColumn("_before", start).filter(held)
+
+
 def group_quantiles(
-    counts: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     probs: Mapping[str, float],
     value: str = "value",
-    weight: str = "n",
+    weight: str | None = None,
     chunks: int = CHUNKS,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of a weighted value table (one row per group and distinct value).
+    """Exact linearly interpolated quantiles of every group; ``weight`` counts a row several times. Nulls are left out.
 
-    Only the chunks that hold a wanted rank are ordered; the rest is touched by partial aggregates alone.
+    Digit by digit: sums per (group, octave step), which are combined before the shuffle, show the steps that hold a wanted
+    rank; the same is done with ``chunks`` equal slices of those steps, between the least and largest value inside. Only the
+    values of the slices found are ordered. Rows are never shuffled by value, whatever the distribution.
     """
-    span = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(weight).alias("_total")
-    )
-    chunked = counts.select(*keys, value, weight).join(span, list(keys))
-    chunked = chunked.withColumn("_chunk", value_chunk(F.col(value), F.col("_lo"), F.col("_hi"), chunks))
+    keys = list(keys)
+    count = F.lit(1).cast("long") if weight is None else F.col(weight)
+    coded = rows.select(*keys, F.col(value).alias("_v"), count.alias("_w")).filter("_v is not null")
+    coded = coded.withColumn("_code", octave_code(F.col("_v")))
 
     def low(p: float) -> Column:
         return F.floor(F.lit(float(p)) * (F.col("_total") - 1))
@@ -83,23 +102,22 @@ def group_quantiles(
         return F.ceil(F.lit(float(p)) * (F.col("_total") - 1))
 
     ranks = F.array(*[f(p) for p in dict.fromkeys(probs.values()) for f in (low, high)])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(F.sum(weight).alias("_within"), F.first("_total").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_within").over(earlier), F.lit(0)))
-        .filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_within"))))
-        .select(*keys, "_chunk", "_before")
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        chunked.join(wanted, [*keys, "_chunk"])
-        .withColumn("_upto", F.col("_before") + F.sum(weight).over(inside))
-        .withColumn("_from", F.col("_upto") - F.col(weight))
+    steps = coded.groupBy(*keys, "_code").agg(
+        F.sum("_w").alias("_within"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    steps = steps.withColumn("_total", F.sum("_within").over(Window.partitionBy(*keys))).withColumn("_before", F.lit(0))
+    steps = _holding(steps, keys, "_code", ranks).drop("_within")
+    fine = coded.join(steps, [*keys, "_code"])
+    fine = fine.withColumn("_part", value_chunk(F.col("_v"), F.col("_lo"), F.col("_hi"), chunks))
+    slices = fine.groupBy(*keys, "_code", "_part", "_total", "_before").agg(F.sum("_w").alias("_within"))
+    slices = _holding(slices, [*keys, "_code"], "_part", ranks).select(*keys, "_code", "_part", F.col("_before").alias("_start"))
+    place = [*keys, "_code", "_part"]
+    left = fine.join(slices, place).groupBy(*place, "_v", "_total", "_start").agg(F.sum("_w").alias("_w"))
+    inside = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = left.withColumn("_upto", F.col("_start") + F.sum("_w").over(inside)).withColumn("_from", F.col("_upto") - F.col("_w"))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), F.col(value)))
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_upto")), F.col("_v")))
 
     picks = []
     for name, p in probs.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_order, image_keys
-from ..functions.ordered import group_quantiles, value_counts
+from ..functions.ordered import group_quantiles
 
 
 def binarize_mask(vox: DataFrame, threshold: float = 0) -> DataFrame:
@@ -27,7 +27,7 @@ def change_window(vox: DataFrame, center: float = 40, width: float = 400) -> Dat
 def clip_percentile(vox: DataFrame, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Clip every image to its own quantiles, taken over the whole volume."""
     keys = image_keys(vox)
-    bounds = group_quantiles(value_counts(vox, keys), keys, {"_p_lo": lo, "_p_hi": hi})
+    bounds = group_quantiles(vox, keys, {"_p_lo": lo, "_p_hi": hi})
     clipped = F.least(F.greatest(F.col("value"), F.col("_p_lo")), F.col("_p_hi"))
     return vox.join(bounds, keys).withColumn("value", clipped).drop("_p_lo", "_p_hi")
 
@@ -93,7 +93,7 @@ def median_spacing(volumes: DataFrame) -> DataFrame:
             F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"spacing_{a}").alias("value")) for a in ("z", "y", "x")])
         ).alias("s")
     ).select("s.axis", "s.value")
-    return group_quantiles(value_counts(axes, ["axis"]), ["axis"], {"spacing": 0.5})
+    return group_quantiles(axes, ["axis"], {"spacing": 0.5})
 
 
 def _feeds(source: Callable[[Column], Column], i: Column, n_in: Column) -> Callable[[Column], Column]:

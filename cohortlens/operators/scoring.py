@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.keys import hash_order
 from ..functions.ordered import running_totals, value_chunk
 from .frame import min_max, to_arrays
@@ -96,6 +97,8 @@ def mi_scores(feat: DataFrame, k: int = 3, chunks: int = 1024) -> DataFrame:
 
     # Distinct values with their multiplicity; equal values share their neighbours.
     points = rows.groupBy("feature", "ord", "label", "_lo", "_hi", "_chunk", "value").agg(F.count(F.lit(1)).alias("c"))
+    # Five branches read the points and three read their neighbour distances.
+    points = durable(points)
     group = ["feature", "label"]
     inside = Window.partitionBy(*group, "_chunk").orderBy("value")
     size = (
@@ -143,6 +146,7 @@ def mi_scores(feat: DataFrame, k: int = 3, chunks: int = 1024) -> DataFrame:
     queries = around.select(
         "feature", "ord", "label", "value", "c", "n_label", "_lo", "_hi", k_here.alias("k_here"), reach.alias("_hit")
     )
+    queries = durable(queries)
     # The open interval around the point; the side of the k-th neighbour ends at that neighbour itself. A zero radius
     # keeps the tied points. ``place`` puts a mark before (0) or after (1) the data at the same spot.
     r, hit = F.col("_hit.d"), F.col("_hit.at")

@@ -9,7 +9,7 @@ import pytest
 from helpers import brute_glcm, brute_runs, brute_zones, level_frame, volume, volume_frame, voxel_frame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ordered import group_quantiles, running_totals, value_counts
+from cohortlens.functions.ordered import group_quantiles, octave_code, running_totals, value_counts
 from cohortlens.functions.stencil import gather_neighbours, pack_lines
 from cohortlens.operators import extract, filters, prepare, shape, texture
 from cohortlens.operators.first_order import first_order
@@ -106,11 +106,34 @@ def test_quantiles_equal_numpy_on_skewed_values(spark):
     groups = {"heavy": np.exp(rng.normal(0, 4, 500)), "ties": rng.integers(0, 4, 300).astype(float), "one": np.array([2.5])}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, value double")
     probs = {"p0": 0.0, "p1": 0.1, "p5": 0.5, "p9": 0.995, "p10": 1.0}
-    for r in group_quantiles(value_counts(df, ["g"]), ["g"], probs, chunks=16).collect():
+    counted = group_quantiles(value_counts(df, ["g"]), ["g"], probs, weight="n", chunks=16)
+    for r in counted.collect() + group_quantiles(df, ["g"], probs, chunks=2).collect():
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.quantile(groups[r["g"]], p), rel=1e-12)
 
 
+def test_quantiles_of_signs_spikes_outliers_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "outlier": np.append(rng.normal(size=400), [1e300, -1e300]),
+        "spike": 1000 + rng.random(300) * 1e-9,
+        "signs": np.array([-2.0, -1.0, -0.0, 0.0, 5e-324, -5e-324, 1.0, 2.0]),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("spike", None), ("empty", None)]
+    got = group_quantiles(spark.createDataFrame(rows, "g string, value double"), ["g"], {"a": 0.03, "b": 0.5, "c": 0.9}).collect()
+    assert {r["g"] for r in got} == set(groups)
+    for r in got:
+        assert [r["a"], r["b"], r["c"]] == pytest.approx(list(np.quantile(groups[r["g"]], [0.03, 0.5, 0.9])), rel=1e-12)
+
+
+def test_octave_codes_follow_the_values(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, np.inf, -np.inf, 1.0, np.nextafter(1, 0)]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").withColumn("code", octave_code(F.col("v")))
+    codes = [r["code"] for r in df.orderBy("v").collect()]
+    assert codes == sorted(codes) and len(set(codes)) > 450
+
+
 def test_running_totals_cross_chunks(spark):
     df = spark.range(100).selectExpr("id % 2 g", "id", "cast(id / 10 as int) _chunk")
     down = running_totals(df, ["g"], ["id"], {"s": F.col("id")}, descending=True)
