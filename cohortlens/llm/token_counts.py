@@ -53,7 +53,7 @@ class Cutter:
             raise ValueError("added tokens that take blanks or whole words with them, or are normalised, are not supported")
         strings = sorted((t.content for t in special), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
         self.size = 0
         self.separable = self.pre_tokens("a b\nc") == [p for x in "abc" for p in self.pre_tokens(x)]
 
@@ -94,9 +94,11 @@ class Cutter:
         cut = [self.runs(t) for t in texts]
         counts = [Counter(runs) for _, runs in cut]
         if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
+            self.forget()
         new = [r for r in set().union(*counts) if r not in self.known]
-        self.known.update(zip(new, self.many(new)))
+        for run, own in zip(new, self.many(new)):
+            # Most runs are one pre-token, themselves: the string is held once.
+            self.known[run] = (run,) if len(own) == 1 and own[0] == run else tuple(own)
         self.size += sum(map(len, new))
         out = []
         for (special, _), runs in zip(cut, counts):
@@ -108,6 +110,10 @@ class Cutter:
             out.append((special, own))
         return out
 
+    def forget(self) -> None:
+        """Give the remembered runs free: the worker goes on to tasks that read none."""
+        self.known, self.size = {}, 0
+
     def pieces(self, pre_token: str) -> int:
         return len(self.tokenizer.model.tokenize(pre_token))
 
@@ -143,6 +149,7 @@ def pre_token_frequencies(docs: DataFrame, path: str) -> DataFrame:
 def _counted(batches, path: str):
     """(pre_token, n, pieces) of distinct pre-tokens."""
     cut = cutter(path)
+    cut.forget()
     for batch in batches:
         pieces = [cut.pieces(p) for p in batch.column("pre_token").to_pylist()]
         yield pa.record_batch([*batch.columns, pa.array(pieces, pa.int64())], ["pre_token", "n", "pieces"])
@@ -162,6 +169,7 @@ def pre_token_pieces(found: DataFrame, path: str) -> DataFrame:
 
 def _known(batches, hot):
     """Per document: tokens by the broadcast table, and the frequencies of all other pre-tokens."""
+    cutter.cache_clear()  # this worker may have cut texts before
     pre_tokens, pieces = hot.value
     for batch in batches:
         lists, special = batch.column("pre_tokens"), batch.column("special").to_numpy()
