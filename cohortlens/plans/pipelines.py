@@ -112,7 +112,12 @@ def run_from_features(feat: DataFrame, config: RunConfig, path: str) -> dict[str
     """Split, select, classify and report a long feature table; stages are kept under ``path`` and reused."""
     spark = feat.sparkSession
     cases = feat.select("case_id", "label").distinct()
-    split = materialize(spark, lambda: frame.stratified_split(cases, config.test_size, config.seed), f"{path}/split")
+    split = materialize(
+        spark,
+        lambda: frame.stratified_split(cases, config.test_size, config.seed),
+        f"{path}/split",
+        [cases, config.test_size, config.seed],
+    )
 
     def prepared() -> DataFrame:
         if not config.scale_on_train:
@@ -120,19 +125,23 @@ def run_from_features(feat: DataFrame, config: RunConfig, path: str) -> dict[str
         stats = frame.fit_scaler(feat.join(split.filter("split = 'train'"), "case_id", "left_semi"))
         return frame.apply_scaler(feat, stats.filter(F.col("std") * F.col("std") > config.variance_threshold), config.scaling)
 
-    clean = materialize(spark, prepared, f"{path}/preprocessed")
+    scaled_by = [config.scale_on_train, config.variance_threshold, config.scaling]
+    clean = materialize(spark, prepared, f"{path}/preprocessed", [feat, split, scaled_by])
     parts = {
         s: clean.join(split.filter(F.col("split") == s), "case_id", "left_semi") for s in ("train", "test")
     }
-    support = materialize(spark, lambda: selection.run_selection(parts["train"], config.methods), f"{path}/support")
+    support = materialize(
+        spark, lambda: selection.run_selection(parts["train"], config.methods), f"{path}/support", [parts["train"], config.methods]
+    )
     kept = {
-        s: materialize(spark, lambda df=df: selection.apply_support(df, support), f"{path}/selected_{s}")
+        s: materialize(spark, lambda df=df: selection.apply_support(df, support), f"{path}/selected_{s}", [df, support])
         for s, df in parts.items()
     }
     pred = materialize(
         spark,
         lambda: classify(kept["train"], kept["test"], config.classifiers, config.classifier_options),
         f"{path}/predictions",
+        [kept["train"], kept["test"], config.classifiers, config.classifier_options],
     )
     tables = report(pred, config.cutoff_from)
     tables["support"] = support
@@ -173,7 +182,8 @@ def run_training(
             out = part if out is None else out.unionByName(part)
         return out
 
-    features = materialize(spark, extracted, f"{path}/features")
+    settings = [config.classes, config.filters, config.binwidth, config.seed, config.modalities]
+    features = materialize(spark, extracted, f"{path}/features", [wanted, volumes, settings])
     labelled = with_ord(features).join(cohort, "case_id")
     return run_from_features(labelled, config, path)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,10 +69,44 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def materialize(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
-    """Read a finished stage, or compute and write it first. A stage counts once its success marker is there."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+def _input_files(df: DataFrame) -> list[tuple[str, str, int, int]]:
+    """(folder, name, bytes, time of change) of the files that a table reads; one listing per folder."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for entry in path.getFileSystem(conf).listStatus(path):
+            name = entry.getPath().getName()
+            if not name.startswith(("_", ".")):
+                out.append((folder, name, entry.getLen(), entry.getModificationTime()))
+    return sorted(out)
+
+
+def fingerprint(depends: Sequence[object]) -> str:
+    """Hash of settings and of input tables (schema and files). A table without files is known by its schema alone."""
+    digest = hashlib.sha256()
+    for part in depends:
+        if isinstance(part, DataFrame):
+            part = [part.schema.json(), _input_files(part)]
+        told = json.dumps(part, sort_keys=True, default=lambda x: getattr(x, "__qualname__", None) or str(x))
+        digest.update(told.encode() + b"\0")
+    return digest.hexdigest()
+
+
+def materialize(
+    spark: SparkSession, make: Callable[[], DataFrame], path: str, depends: Sequence[object] = ()
+) -> DataFrame:
+    """Read a finished stage, or compute and write it first.
+
+    ``depends`` are the settings and input tables of the stage. A marker named by their hash is left beside the files once
+    they are complete; without it (other settings, changed input, a broken run) the stage is written anew.
+    """
+    marker = f"{path}/_stage-{fingerprint(depends)}"
+    if not path_exists(spark, marker):
         make().write.mode("overwrite").parquet(path)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target).close()
     return spark.read.parquet(path)
 
 

@@ -454,6 +454,22 @@ def test_stage_reuse(spark, folder):
     assert out.count() == 3 and len(made) == 1
 
 
+def test_stale_stages_are_written_anew(spark, folder):
+    source, made = f"{folder}/source", []
+
+    def stage(factor):
+        rows = spark.read.parquet(source)
+        make = lambda: made.append(factor) or rows.selectExpr(f"id * {factor} AS x")
+        out = tables.materialize(spark, make, f"{folder}/scaled", [rows, {"factor": factor}])
+        return sorted(r["x"] for r in out.collect())
+
+    spark.range(3).write.mode("overwrite").parquet(source)
+    assert stage(2) == [0, 2, 4] and stage(2) == [0, 2, 4] and made == [2]
+    assert stage(3) == [0, 3, 6] and made == [2, 3]  # another setting
+    spark.range(4).write.mode("overwrite").parquet(source)
+    assert stage(3) == [0, 3, 6, 9] and stage(3) == [0, 3, 6, 9] and made == [2, 3, 3]  # another input
+
+
 @pytest.mark.parametrize("on_train", [False, True])
 def test_run_from_features(feat, folder, on_train):
     config = pipelines.RunConfig(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from helpers import volume_frame, voxel_frame
@@ -30,6 +32,15 @@ def test_run_training(spark, cases, folder):
     )
     out = pipelines.run_training(cohort, vox, vol, files, config, folder)
     assert out["ranking"].count() == 1 and out["support"].filter("keep").count() == 3
+
+    def extracted():
+        return sorted(spark.read.parquet(f"{folder}/features").inputFiles())
+
+    first = extracted()
+    pipelines.run_training(cohort, vox, vol, files, config, folder)
+    assert extracted() == first
+    pipelines.run_training(cohort, vox, vol, files, replace(config, binwidth=0.25), folder)
+    assert not set(extracted()) & set(first)
     with pytest.raises(ValueError, match="has no mask"):
         pipelines.run_training(cohort, vox, vol, files.filter("not (case_id = '3' and kind = 'mask')"), config, folder)
 
