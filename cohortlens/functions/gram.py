@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS_OUT = 256  # matrix rows per emitted batch
+
+
 @dataclass
 class Columns:
     """Per column of (values, label): mean, and spread (0 where all values are equal)."""
@@ -42,20 +45,34 @@ def gram(rows: DataFrame, group: str | None = None, values: str = "values", colu
     shift = columns.mean if columns is not None else 0.0
     scale = np.where(columns.spread > 0, columns.spread, 1.0) if columns is not None else 1.0
 
+    def lines(g: str, m: np.ndarray):
+        for at in range(0, len(m), ROWS_OUT):
+            part = m[at : at + ROWS_OUT]
+            yield pd.DataFrame({"grp": g, "i": np.arange(at, at + len(part)), "row": list(part)})
+
     def partial(batches):
-        held: dict = {}
+        current, held = None, None
         for batch in batches:
             for g, part in batch.groupby("grp"):
+                if g != current and held is not None:
+                    yield from lines(current, held)
+                    held = None
                 x = np.stack(part["v"].to_numpy())
                 x = (np.column_stack([x, part["label"].to_numpy(dtype=float)]) - shift) / scale
                 x = np.column_stack([np.ones(len(x)), x])
-                held[g] = held.get(g, 0) + x.T @ x
-        for g, m in held.items():
-            yield pd.DataFrame({"grp": g, "i": np.arange(len(m)), "row": list(m)})
+                if held is None:
+                    held = x.T @ x
+                else:
+                    held += x.T @ x
+                current = g
+        if held is not None:
+            yield from lines(current, held)
 
     key = F.col(group).cast("string") if group else F.lit("all")
     label = F.col("label") if "label" in rows.columns else F.lit(0)
     parts = rows.select(key.alias("grp"), label.alias("label"), F.col(values).alias("v"))
+    if group:
+        parts = parts.sortWithinPartitions("grp")
     parts = parts.mapInPandas(partial, "grp string, i int, row array<double>")
     summed = parts.groupBy("grp", "i").agg(Summarizer.sum(array_to_vector("row")).alias("row"))
     return summed.select("grp", "i", vector_to_array("row").alias("row"))

@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable, settled
-from ..functions.gram import Columns, column_stats, covariance, gram, stacked
+from ..functions.gram import column_stats, covariance, gram
 from ..functions.keys import hash_chunk, hash_order, k_from
 from ..functions.ordered import running_totals
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
+from .lasso import descend, lasso_tables
 from .models import knn_predict
 from .scoring import chi2_scores, f_scores, mi_scores, relief_weights, select_k_best
 
@@ -115,12 +115,6 @@ def mrmr_select(feat: DataFrame, **k) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- lasso
 
 
-def _raw_gram(m: np.ndarray, columns: Columns) -> np.ndarray:
-    """The matrix in the units of the columns, still centred on their means."""
-    scale = np.append(1.0, np.where(columns.spread > 0, columns.spread, 1.0))
-    return m * scale[:, None] * scale
-
-
 def _lasso_path(
     m: np.ndarray, alphas: Sequence[float], spread: np.ndarray, tol: float = 1e-7, sweeps: int = 1000
 ) -> tuple[np.ndarray, float]:
@@ -130,72 +124,15 @@ def _lasso_path(
     """
     n, mean, cross = covariance(m)
     g, c = cross[:-1, :-1] / n, cross[:-1, -1] / n
-    diag = np.diag(g).copy()
     b = np.zeros(len(c))
-    fit = np.zeros(len(c))
     path = []
-    usable = np.flatnonzero((spread[:-1] > 0) & (diag > 1e-12 * spread[:-1] ** 2))
+    usable = np.flatnonzero((spread[:-1] > 0) & (np.diag(g) > 1e-12 * spread[:-1] ** 2))
     for alpha in alphas:
-        active = usable
-        for sweep in range(sweeps):
-            moved = 0.0
-            for j in active:
-                rho = c[j] - fit[j] + diag[j] * b[j]
-                new = math.copysign(max(abs(rho) - alpha, 0.0), rho) / diag[j]
-                step = new - b[j]
-                if step:
-                    fit += step * g[:, j]
-                    b[j] = new
-                    moved = max(moved, abs(step) * math.sqrt(diag[j]))
-            full = active is usable
-            if moved < tol:
-                if full:
-                    break
-                active = usable
-            else:
-                active = np.flatnonzero(b) if full and sweep else usable
-        path.append(b.copy())
+        b = descend(g, c, b, alpha, usable, tol, sweeps)
+        path.append(b)
     return np.array(path), mean
 
 
-def lasso_tables(feat: DataFrame, folds: int = 10, n_alphas: int = 100, eps: float = 1e-3, seed: int = 42):
-    """(errors, coefficients): CV error mean/min/max per alpha, and alpha, feature, coef along the path.
-
-    One pass over the data yields a cross-product matrix per fold. Training matrices are sums of the other folds, so
-    all folds and penalties are solved from them, one task per fold, without reading the data again.
-    """
-    names = feature_names(feat)
-    assigned = stratified_folds(feat.select("case_id", "label").distinct(), folds, 1, seed).select("case_id", "fold")
-    rows = to_arrays(feat).join(assigned, "case_id")
-    columns = column_stats(rows)
-    by_fold = gram(rows, "fold", columns=columns).persist()
-    every = by_fold.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
-    total = _raw_gram(stacked(every), columns)
-    n, _, cross = covariance(total)
-    top = float(np.max(np.abs(cross[:-1, -1]))) / n
-    alphas = [top * eps ** (i / (n_alphas - 1)) for i in range(n_alphas)]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        test = _raw_gram(np.stack(part.sort_values("i")["row"].to_numpy()), columns)
-        train = total - test
-        path, mean = _lasso_path(train, alphas, columns.spread)
-        # Squared error on the held-out fold, from its own cross products: v'Mv with v = (intercept, b, -1).
-        out = []
-        for i, b in enumerate(path):
-            v = np.concatenate([[mean[-1] - b @ mean[:-1]], b, [-1.0]])
-            out.append((str(part["grp"].iloc[0]), i, alphas[i], float(v @ test @ v / test[0, 0])))
-        return pd.DataFrame(out, columns=["fold", "step", "alpha", "mse"])
-
-    scored = by_fold.groupBy("grp").applyInPandas(solve, "fold string, step int, alpha double, mse double")
-    errors = scored.groupBy("step", "alpha").agg(
-        F.avg("mse").alias("mean"), F.min("mse").alias("min"), F.max("mse").alias("max")
-    )
-    path, _ = _lasso_path(total, alphas, columns.spread)
-    cells = [(i, alphas[i], names[j], float(b)) for i, row in enumerate(path) for j, b in enumerate(row)]
-    coefs = feat.sparkSession.createDataFrame(cells, "step int, alpha double, feature string, coef double")
-    return errors, coefs
-
-
 def lasso_select(feat: DataFrame, folds: int = 10, n_alphas: int = 100, seed: int = 42) -> DataFrame:
     """Non-zero coefficients at the penalty with the smallest mean error."""
     errors, coefs = lasso_tables(feat, folds, n_alphas, seed=seed)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.gram import covariance, local_gram
 from cohortlens.operators import batched, evaluation, frame, models, neighbours, scoring, selection
+from cohortlens.operators.lasso import lasso_tables
 from cohortlens.plans import pipelines
 from cohortlens.sources import checks, tables
 
@@ -121,6 +122,46 @@ def test_lasso_path_starts_at_zero_and_ends_at_least_squares(feat):
     assert "f00" in kept(selection.lasso_select(feat, 4, 20))
 
 
+def test_lasso_by_working_sets_is_optimal_in_every_column(spark):
+    """A set of 8 of 60 columns at the start: several rounds, the same path as with all columns at once, and optimal by numpy."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 60)) * np.exp(rng.normal(size=60)) + rng.normal(size=60) * 10
+    x[:, 59] = x[:, 3] * 2  # a column repeated in another unit
+    x[:, 58] = 4.0  # a constant one
+    unit = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
+    y = (unit[:, 3] - unit[:, 17] + rng.normal(size=90) > 0).astype(int)
+    rows = [(f"c{i:02d}", int(y[i]), f"f{j:02d}", j * 3, float(x[i, j])) for i in range(90) for j in range(60)]
+    feat = spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double")
+    (errors, coefs), (errors_all, coefs_all) = (lasso_tables(feat, 3, 12, 1e-2, width=w) for w in (8, 60))
+    got, want = errors.toPandas().sort_values("step"), errors_all.toPandas().sort_values("step")
+    assert len(got) == 12 and got[["mean", "min", "max"]].to_numpy() == pytest.approx(want[["mean", "min", "max"]].to_numpy(), rel=1e-5)
+    table = coefs.toPandas()
+    assert len(table) == 12 * 60
+    centred, target = x - x.mean(0), y - y.mean()
+    for alpha, part in table.groupby("alpha"):
+        b = part.sort_values("feature").coef.to_numpy()
+        assert b[58] == 0
+        pull = centred.T @ (target - centred @ b) / 90
+        slack = 1e-5 * centred.std(axis=0) + 1e-12
+        assert (np.abs(pull) - alpha <= slack).all()
+        assert (np.abs(pull - np.sign(b) * alpha)[b != 0] <= slack[b != 0]).all()
+    folds = frame.stratified_folds(feat.select("case_id", "label").distinct(), 3, 1, 42).toPandas().set_index("case_id").fold
+    of = folds.loc[[f"c{i:02d}" for i in range(90)]].to_numpy()
+    first = got[got.step == 0]  # no coefficient: the mean of the others
+    mse = [np.mean((y[of == f] - y[of != f].mean()) ** 2) for f in range(3)]
+    assert first["max"].iloc[0] == pytest.approx(max(mse), rel=0.05)
+
+
+def test_cross_products_by_group_hold_one_matrix(spark):
+    rng = np.random.default_rng(2)
+    x, g = rng.normal(size=(50, 300)), rng.integers(0, 4, 50)
+    rows = spark.createDataFrame([(x[i].tolist(), int(i % 2), int(g[i])) for i in range(50)], "values array<double>, label int, g int")
+    found = local_gram(rows.repartition(3), "g")
+    for k in range(4):
+        design = np.column_stack([np.ones(50), x, np.arange(50) % 2])[g == k]
+        assert found[str(k)] == pytest.approx(design.T @ design)
+
+
 def test_wrappers(feat):
     assert "f00" in kept(selection.sequential_select(feat, "forward", "lasso", 3, n_feature=1))
     assert "f00" in kept(selection.rfe_cv(feat, step=2, folds=2, max_iter=5))
