@@ -62,12 +62,26 @@ def test_cooccurrence_and_runs(cases, levels):
     assert counts(runs, "dir", "level", "len") == {c: brute_runs(*v) for c, v in cases.items()}
 
 
-@pytest.mark.parametrize("depth", [1, 2, 16])
-def test_zones_merge_across_cuts(cases, levels, depth):
-    got = counts(texture.glszm_matrix(levels, depth), "level", "size")
+@pytest.mark.parametrize("block", [(1, 64, 256), (2, 64, 256), (16, 64, 256), (16, 2, 256), (3, 2, 2), (1, 1, 1)])
+def test_zones_merge_across_cuts(cases, levels, block):
+    depth, rows, columns = block
+    got = counts(texture.glszm_matrix(levels, depth, rows=rows, columns=columns), "level", "size")
     assert got == {c: brute_zones(*v) for c, v in cases.items()}
 
 
+def test_zones_touch_at_corners_of_blocks_only_where_voxels_do(spark):
+    """Two blocks of 2 x 2 x 2: corners that touch are one zone, voxels two apart are two, whatever else the table holds."""
+    rows = [("c", "A", 1, 1, 1, 5, 0), ("c", "A", 2, 2, 2, 5, 0), ("d", "A", 1, 2, 2, 5, 0), ("d", "A", 2, 1, 1, 5, 0)]
+    rows += [("e", "A", 0, 0, 0, 5, 0), ("e", "A", 2, 2, 2, 5, 0), ("f", "A", 1, 1, 1, 5, 0), ("f", "A", 2, 2, 2, 6, 0)]
+    schema = "case_id string, modality string, z int, y int, x int, level int, size int"
+    got = texture.glszm_matrix(spark.createDataFrame(rows, schema), 2, rows=2, columns=2)
+    got = {(r["case_id"], r["level"], r["size"]): r["n"] for r in got.collect()}
+    assert got == {("c", 5, 2): 1, ("d", 5, 2): 1, ("e", 5, 1): 2, ("f", 5, 1): 1, ("f", 6, 1): 1}
+    assert texture.glszm_matrix(spark.createDataFrame([], schema)).isEmpty()
+    with pytest.raises(Exception, match="outside 0"):
+        texture.glszm_matrix(spark.createDataFrame([("c", "A", -1, 0, 0, 5, 0)], schema)).collect()
+
+
 def test_flat_region_gives_defined_features(levels):
     near = texture.level_neighbours(levels.filter("case_id = 'flat'"))
     glcm = {r["feature"]: r["value"] for r in texture.glcm_features(texture.glcm_matrix(near), mcc=True).collect()}
