@@ -85,6 +85,11 @@ def grid_search(estimator, grid: list, df: DataFrame, n_splits: int = 10, n_repe
     return table, grid[int(np.argmax(total))]
 
 
+def _weighted(estimator, train: DataFrame):
+    """The estimator, with row weights where the table has them."""
+    return estimator.setWeightCol("weight") if "weight" in train.columns else estimator
+
+
 def _searched(estimator, grid: list, train: DataFrame, n_splits: int, n_repeats: int, seed: int):
     best = grid[0] if len(grid) == 1 else grid_search(estimator, grid, train, n_splits, n_repeats, seed)[1]
     return estimator.fit(train, best)
@@ -240,7 +245,7 @@ def linear_elasticnet(train: DataFrame, alphas: Sequence[float] = tuple(LINEAR_A
 def decision_tree(train: DataFrame, impurities: Sequence[str] = tuple(TREE_IMPURITY), min_rows: Sequence[int] = (1,),
                   max_depth: int = 10, n_splits: int = 10, n_repeats: int = 3, seed: int = 42) -> Scorer:
     """Decision tree; the smallest leaf stands in for the smallest split."""
-    est = DecisionTreeClassifier(seed=seed, maxDepth=min(max_depth, MAX_TREE_DEPTH))
+    est = _weighted(DecisionTreeClassifier(seed=seed, maxDepth=min(max_depth, MAX_TREE_DEPTH)), train)
     grid = (
         ParamGridBuilder().addGrid(est.impurity, list(impurities)).addGrid(est.minInstancesPerNode, list(min_rows)).build()
     )
@@ -251,7 +256,7 @@ def random_forest(train: DataFrame, trees: Sequence[int] = tuple(FOREST_TREES),
                   subsets: Sequence[str] = tuple(FOREST_FEATURES), min_rows: Sequence[int] = tuple(FOREST_MIN_ROWS),
                   bootstrap: Sequence[bool] = (True, False), n_splits: int = 10, n_repeats: int = 3, seed: int = 42) -> Scorer:
     """Random forest; depths above Spark's limit of 30 are clamped."""
-    est = RandomForestClassifier(seed=seed)
+    est = _weighted(RandomForestClassifier(seed=seed), train)
     depths = sorted({min(int(d), MAX_TREE_DEPTH) for d in depths})
     grid = (
         ParamGridBuilder()
@@ -270,7 +275,8 @@ def adaboost(train: DataFrame, rounds: int = 50, rate: float = 1.0, algorithm: s
 
     SAMME votes with ln((1 - err)/err); SAMME.R adds half log-odds of the stump probabilities.
     """
-    data = durable(train.withColumn("weight", F.lit(1.0)))
+    begin = F.col("weight").cast("double") if "weight" in train.columns else F.lit(1.0)
+    data = durable(train.withColumn("weight", begin))
     stages = []
     eps = 1e-10
     for r in range(rounds):
@@ -290,7 +296,7 @@ def adaboost(train: DataFrame, rounds: int = 50, rate: float = 1.0, algorithm: s
         stages.append((stump, alpha))
         if err <= eps:
             break
-        columns = train.columns
+        columns = [c for c in train.columns if c != "weight"]
         data = durable(out.select(*columns, (F.col("weight") * factor / sums["mean"]).alias("weight")))
 
     def score(df: DataFrame) -> DataFrame:
@@ -365,7 +371,7 @@ def qda(train: DataFrame, ridge: float = 0.0) -> Scorer:
 
 def gbt(train: DataFrame, rounds: int = 20, max_depth: int = 3, seed: int = 42) -> Scorer:
     """Gradient-boosted trees."""
-    return _probability(GBTClassifier(maxIter=rounds, maxDepth=max_depth, seed=seed).fit(train))
+    return _probability(_weighted(GBTClassifier(maxIter=rounds, maxDepth=max_depth, seed=seed), train).fit(train))
 
 
 def mlp(train: DataFrame, hidden: Sequence[int] = (16,), max_iter: int = 100, seed: int = 42) -> Scorer:

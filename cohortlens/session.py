@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive plans choose broadcasts by measured size, split skewed join partitions and merge small ones.
+# Adaptive plans choose broadcasts by measured size, split skewed join partitions and merge small ones. Every step of such a plan
+# prints it: whole, the texts of long plans fill the driver.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -12,6 +13,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.maxPlanStringLength": "100000",
 }
 
 

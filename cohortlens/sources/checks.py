@@ -63,6 +63,13 @@ def geometry_check(image: DataFrame, mask: DataFrame) -> DataFrame:
     return joined.withColumn("ok", same)
 
 
+def matching_geometry(image: DataFrame, mask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases whose images all fit their masks, the odd images of the others)."""
+    sizes = geometry_check(image, mask)
+    whole = sizes.groupBy("case_id").agg(F.every("ok").alias("_ok")).filter("_ok").select("case_id")
+    return whole, sizes.filter("not ok")
+
+
 def feature_count_check(features: DataFrame, expected: int, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """Cases whose number of distinct features differs from ``expected``."""
     counts = features.groupBy(*keys).agg(F.count_distinct("feature").alias("n_features"))

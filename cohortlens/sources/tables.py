@@ -8,18 +8,23 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    reader = spark.read
-    if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
-    return reader.format(fmt).load(path)
+def _read(spark: SparkSession, path: str, fmt: str, strings: Sequence[str] = ()) -> DataFrame:
+    """Any format with a schema of its own. Of CSV the header alone is read for the names: all but ``strings`` are doubles."""
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    names = spark.read.option("header", True).csv(path).columns
+    fields = [T.StructField(n, T.StringType() if n in strings else T.DoubleType()) for n in names]
+    # FAILFAST: a cell that is no number is an error, not a missing value; headers of all files must agree.
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+    return reader.schema(T.StructType(fields)).csv(path)
 
 
 def read_cohort(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """(case_id string, label int)."""
-    return _read(spark, path, fmt).select(F.col("case_id").cast("string"), F.col("label").cast("int"))
+    return _read(spark, path, fmt, ["case_id"]).select(F.col("case_id").cast("string"), F.col("label").cast("int"))
 
 
 def unpivot_features(wide: DataFrame, id_column: str = "case_ids") -> DataFrame:
@@ -40,7 +45,7 @@ def unpivot_features(wide: DataFrame, id_column: str = "case_ids") -> DataFrame:
 
 def read_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Long features from a ready wide table with ``case_ids`` and ``label``."""
-    return unpivot_features(_read(spark, path, fmt))
+    return unpivot_features(_read(spark, path, fmt, ["case_ids"]))
 
 
 def with_ord(feat: DataFrame) -> DataFrame:

@@ -488,6 +488,15 @@ def test_wide_table_round_trip(spark, feat, folder):
     assert back.select(*feat.columns).exceptAll(feat).isEmpty() and back.count() == feat.count()
 
 
+def test_csv_cells_that_are_no_numbers_are_errors(spark, folder):
+    spark.createDataFrame([("0012", "1", "x1"), ("b", "0", "2.5")], "case_ids string, label string, f string").write.option("header", True).csv(f"{folder}/bad")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_features(spark, f"{folder}/bad").collect()
+    spark.createDataFrame([("0012", "1"), ("b", "0")], "case_id string, label string").write.option("header", True).csv(f"{folder}/cohort")
+    cohort = tables.read_cohort(spark, f"{folder}/cohort", "csv")
+    assert {tuple(r) for r in cohort.collect()} == {("0012", 1), ("b", 0)}
+
+
 def test_stage_reuse(spark, folder):
     made = []
     for _ in range(2):
