@@ -23,7 +23,7 @@ from ..functions.keys import hash_chunk, hash_order, k_from
 from ..functions.ordered import running_totals
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
 from .lasso import descend, lasso_tables
-from .models import knn_predict
+from .models import MAX_TREE_DEPTH, knn_predict
 from .scoring import chi2_scores, f_scores, mi_scores, relief_weights, select_k_best
 
 
@@ -146,10 +146,12 @@ def lasso_select(feat: DataFrame, folds: int = 10, n_alphas: int = 100, seed: in
 # ---------------------------------------------------------------------------------------------- wrappers
 
 
-def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0) -> DataFrame:
-    """Forest importances with their deviation over the trees (feature, ord, score, std)."""
+def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
+    """Forest importances with their deviation over the trees (feature, ord, score, std); trees grow as deep as Spark lets them."""
     names = feature_names(feat)
-    model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=10).fit(to_vectors(feat))
+    rows = settled(to_vectors(feat))
+    model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth).fit(rows)
+    rows.unpersist()
     each = np.array([t.featureImportances.toArray() for t in model.trees])
     mean, std = model.featureImportances.toArray(), each.std(axis=0)
     rows = [(n, float(m), float(s)) for n, m, s in zip(names, mean, std)]
@@ -157,9 +159,9 @@ def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0) -> DataFrame
     return table.join(feat.select("feature", "ord").distinct(), "feature").select("feature", "ord", "score", "std")
 
 
-def rf_importance_select(feat: DataFrame, trees: int = 100, seed: int = 0, **k) -> DataFrame:
+def rf_importance_select(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH, **k) -> DataFrame:
     """Keep importances at or above the (k+1)-th largest, so k + 1 features without ties."""
-    scores = rf_importance(feat, trees, seed)
+    scores = rf_importance(feat, trees, seed, max_depth)
     p = len(feature_names(feat))
     at = min(k_from(p, **k), p - 1) + 1
     ranked = scores.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.col("score").desc())))

@@ -498,12 +498,12 @@ def lasso_select(spark, d):
 
 @query
 def rf_importance(spark, d):
-    return selection.rf_importance(_split_features(spark, d)[0], 20)
+    return selection.rf_importance(_split_features(spark, d)[0])
 
 
 @query
 def rf_importance_select(spark, d):
-    return selection.rf_importance_select(_split_features(spark, d)[0], 20, n_feature=10).select("feature", "keep")
+    return selection.rf_importance_select(_split_features(spark, d)[0], n_feature=10).select("feature", "keep")
 
 
 @query
