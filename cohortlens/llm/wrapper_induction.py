@@ -30,8 +30,6 @@ from cohortlens.llm.tables import numbered, written
 
 PART_PAGES = 256
 MIN_PAGES = 3
-#: Child lists whose product of lengths is above this are matched by name and order of occurrence.
-MATCH_CELLS = 40_000
 
 
 def _hash(text: str) -> int:
@@ -74,66 +72,122 @@ def skeleton(page: Page) -> tuple[list[int], list[int], list[int]]:
     return labels, parents, of
 
 
+def _kinds(tree: Tree, known: dict) -> tuple[list[int], list[int]]:
+    """(kind, nodes) of the subtree at every node: equal subtrees have one kind, in all trees that share ``known``."""
+    kinds, sizes = [0] * len(tree.labels), [1] * len(tree.labels)
+    for i in range(len(tree.labels) - 1, -1, -1):  # children stand behind their parents
+        shape = (tree.labels[i], *[kinds[c] for c in tree.children[i]])
+        kinds[i] = known.setdefault(shape, len(known))
+        sizes[i] += sum(sizes[c] for c in tree.children[i])
+    return kinds, sizes
+
+
+def _weights(left: list[int], right: list[int], sizes: dict[tuple[int, int], int]):
+    """Function: row of weights of one child on the left against all on the right."""
+    kinds, place = np.unique(right, return_inverse=True)
+    rows: dict[int, np.ndarray] = {}
+
+    def row(u: int) -> np.ndarray:
+        if u not in rows:
+            rows[u] = np.array([sizes.get((u, v), 0) for v in kinds.tolist()], np.int64)
+        return rows[u][place]
+
+    return [lambda u=u: row(u) for u in left]
+
+
+def _next_row(before: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Row of the table of the best total of every pair of beginnings."""
+    here = before.copy()
+    np.maximum(before[1:], before[:-1] + weights, out=here[1:])
+    return np.maximum.accumulate(here)
+
+
+def _total(left: list[int], right: list[int], sizes: dict[tuple[int, int], int]) -> int:
+    if not left or not right:
+        return 0
+    table = np.zeros(len(right) + 1, np.int64)
+    for weights in _weights(left, right, sizes):
+        table = _next_row(table, weights())
+    return int(table[-1])
+
+
+def _aligned(left: list[int], right: list[int], sizes: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Positions matched, last first. One row of the table in about the root of their number is held, the others are made again on the way back."""
+    weights = _weights(left, right, sizes)
+    step = max(1, int(len(left) ** 0.5))
+    marks, table = [], np.zeros(len(right) + 1, np.int64)
+    for x, row in enumerate(weights):
+        if x % step == 0:
+            marks.append(table)
+        table = _next_row(table, row())
+    pairs, x, y, at, rows = [], len(left), len(right), -1, []
+    while x and y:
+        if (x - 1) // step != at:
+            at = (x - 1) // step
+            rows = [marks[at]]
+            for row in weights[at * step : min(len(left), (at + 1) * step)]:
+                rows.append(_next_row(rows[-1], row()))
+        here, above = rows[x - at * step], rows[x - at * step - 1]
+        if here[y] == above[y]:
+            x -= 1
+        elif here[y] == here[y - 1]:
+            y -= 1
+        else:
+            x, y = x - 1, y - 1
+            pairs.append((x, y))
+    return pairs
+
+
 def match(a: Tree, b: Tree) -> dict[int, int]:
-    """Simple tree matching: the largest set of node pairs (b -> a) that keeps labels, ancestors and order of siblings."""
+    """Simple tree matching: the largest set of node pairs (b -> a) that keeps labels, ancestors and order of siblings.
+
+    A pair of subtrees is weighed once per pair of kinds, and equal subtrees match node by node, so long child lists cost a table of
+    numbers whose rows are made one at a time.
+    """
+    if a.labels[0] != b.labels[0]:
+        return {}
+    known: dict[tuple, int] = {}
+    (kinds_a, nodes_a), (kinds_b, _) = _kinds(a, known), _kinds(b, known)
+    of_a, of_b = ({k: i for i, k in enumerate(kinds)} for kinds in (kinds_a, kinds_b))  # a node of every kind
+
+    def lists(k: int, m: int) -> tuple[list[int], list[int]]:
+        return [kinds_a[c] for c in a.children[of_a[k]]], [kinds_b[c] for c in b.children[of_b[m]]]
+
     sizes: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    # A pair is reached from the pair of its parents only, so parents stand before children; no recursion, whatever the depth.
-    reached = [(0, 0)] if a.labels[0] == b.labels[0] else []
-    for i, j in reached:
-        left, right = a.children[i], b.children[j]
-        if len(left) * len(right) > MATCH_CELLS:
-            chosen[i, j] = _by_occurrence(a, b, left, right)
-            reached.extend(chosen[i, j])
-        else:
-            reached.extend((u, v) for u in left for v in right if a.labels[u] == b.labels[v])
-    for i, j in reversed(reached):
-        left, right = a.children[i], b.children[j]
-        if (i, j) in chosen:
-            total = sum(sizes[pair] for pair in chosen[i, j])
-        else:
-            table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-            for x, u in enumerate(left, 1):
-                for y, v in enumerate(right, 1):
-                    table[x][y] = max(table[x - 1][y], table[x][y - 1], table[x - 1][y - 1] + sizes.get((u, v), 0))
-            pairs, x, y = [], len(left), len(right)
-            while x and y:
-                if table[x][y] == table[x - 1][y]:
-                    x -= 1
-                elif table[x][y] == table[x][y - 1]:
-                    y -= 1
-                else:
-                    x, y = x - 1, y - 1
-                    pairs.append((left[x], right[y]))
-            chosen[i, j], total = pairs, table[len(left)][len(right)]
-        sizes[i, j] = total + 1
+    # A pair is reached from pairs of parents; no recursion, whatever the depth. Parts are of smaller kinds than the whole.
+    reached = {(kinds_a[0], kinds_b[0])}
+    todo = list(reached)
+    while todo:
+        k, m = todo.pop()
+        if k == m:
+            continue
+        left, right = lists(k, m)
+        by_label: dict[int, list[int]] = {}
+        for v in set(right):
+            by_label.setdefault(b.labels[of_b[v]], []).append(v)
+        for u in set(left):
+            new = [(u, v) for v in by_label.get(a.labels[of_a[u]], ()) if (u, v) not in reached]
+            reached.update(new)
+            todo.extend(new)
+    for k, m in sorted(reached):
+        sizes[k, m] = nodes_a[of_a[k]] if k == m else _total(*lists(k, m), sizes) + 1
 
     out: dict[int, int] = {}
-    todo = reached[:1]
-    while todo:
-        i, j = todo.pop()
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    pairs = [(0, 0)]
+    while pairs:
+        i, j = pairs.pop()
         out[j] = i
-        todo.extend(chosen[i, j])
+        key = kinds_a[i], kinds_b[j]
+        if key[0] == key[1]:
+            pairs.extend(zip(a.children[i], b.children[j]))
+            continue
+        if key not in chosen:
+            chosen[key] = _aligned(*lists(*key), sizes)
+        pairs.extend((a.children[i][x], b.children[j][y]) for x, y in chosen[key])
     return out
 
 
-def _by_occurrence(a: Tree, b: Tree, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    seen: dict[int, int] = {}
-    at = {}
-    for u in left:
-        k = seen[a.labels[u]] = seen.get(a.labels[u], 0) + 1
-        at[a.labels[u], k] = u
-    seen = {}
-    pairs, last = [], -1
-    for v in right:
-        k = seen[b.labels[v]] = seen.get(b.labels[v], 0) + 1
-        u = at.get((b.labels[v], k), -1)
-        if u > last:
-            pairs.append((u, v))
-            last = u
-    return pairs
-
-
 def _skeletons(batches):
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [], [])

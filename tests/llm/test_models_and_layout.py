@@ -339,6 +339,14 @@ def test_tree_matching_is_largest():
         assert all(j == 0 or pairs[trees[1].parents[j]] == trees[0].parents[i] for j, i in pairs.items())
 
 
+def test_long_child_lists_are_matched_in_full():
+    """A list of 260 children against 260: the optional first item shifts the rest, none may be lost for the length of the list."""
+    items = [1, 2, 1, 3] * 65
+    left = Tree([0, *items], [-1] + [0] * len(items))
+    right = Tree([0, 3, *items], [-1] + [0] * (len(items) + 1))
+    assert match(left, right) == {0: 0} | {j + 1: j for j in range(1, len(items) + 1)}
+
+
 # Registry and pipeline
 
 
