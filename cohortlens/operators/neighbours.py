@@ -5,9 +5,10 @@ lie. No row of a cell is nearer to a test row than the triangle inequality says.
 hold k rows between them, which bounds its k-th distance, and then only those other cells whose bound does not exceed that distance.
 On clustered data most cells are never visited; on data without structure all are, and the result is the same.
 
-A visit compares a bounded block of test rows with a bounded block of train rows of one cell in numpy and passes on k candidates per
-row. Blocks of a cell of any size are spread over tasks: each train block is a join key of its own, and one that many test blocks visit
-is copied once per ``VISITS`` of them.
+A visit is one group: a bounded block of test rows meets a bounded block of train rows of one cell in numpy, and at most k candidates
+per row are passed on, in the second round only those within the bound. A task holds one such group at a time. Blocks of a cell of any
+size are spread over tasks: each train block is a key of its own, and one that many test blocks visit is copied once per ``VISITS`` of
+them.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from ..functions.durable import durable
 from ..functions.keys import hash_order
 
 #: Rows of a block, train rows per cell aimed at, pivots at most (they are held by every task).
-BLOCK_ROWS = 2048
-CELL_ROWS = 1024
+BLOCK_ROWS = 8192
+CELL_ROWS = 8192
 MAX_PIVOTS = 1024
-#: Test rows whose distances to a train block are held at once, and test blocks served by one copy of a train block.
-VISIT_ROWS = 32
-VISITS = 16
+#: Test rows whose distances to a train block are held at once, pairs whose exact distance is, and test blocks per copy of a train block.
+VISIT_ROWS = 128
+PAIRS = 32_768
+VISITS = 1
+#: Test rows that are routed at once: each may go to every cell.
+ROUTE_ROWS = 256
 #: Share by which a bound must exceed a distance to count: rounding never drops a neighbour.
 SLACK = 1e-9
 
@@ -90,35 +94,35 @@ def _routed(test: DataFrame, cells: Cells, k: int, reached: bool) -> DataFrame:
     """``test`` once per cell that a row visits: first without, then with its distance ``limit``."""
 
     def route(batches):
-        for batch in batches:
-            d = _distances(batch["values"], cells.pivots)
-            take = cells.first(d, k)
-            if reached:
-                limit = batch["limit"].to_numpy(float)[:, None]
-                take = ~take & (cells.bounds(d) <= limit * (1 + SLACK) + np.finfo(float).tiny)
-            at, cell = np.nonzero(take)
-            out = batch.iloc[at].drop(columns=["limit"], errors="ignore")
-            yield out.assign(cell=cell.astype(np.int32))
+        for whole in batches:
+            for start in range(0, len(whole), ROUTE_ROWS):
+                batch = whole.iloc[start : start + ROUTE_ROWS]
+                d = _distances(batch["values"], cells.pivots)
+                take = cells.first(d, k)
+                limit = np.full(len(batch), np.inf)
+                if reached:
+                    limit = batch["limit"].to_numpy(float) * (1 + SLACK) + np.finfo(float).tiny
+                    take = ~take & (cells.bounds(d) <= limit[:, None])
+                at, cell = np.nonzero(take)
+                yield batch.iloc[at].assign(limit=limit[at], cell=cell.astype(np.int32))[[*kept, "limit", "cell"]]
 
     kept = [c for c in test.columns if c != "limit"]
     kinds = ", ".join(f"{c} {test.schema[c].dataType.simpleString()}" for c in kept)
-    return test.mapInPandas(route, f"{kinds}, cell int")
+    return test.mapInPandas(route, f"{kinds}, limit double, cell int")
 
 
-def _packed(rows: DataFrame, sizes: DataFrame, prefix: str) -> DataFrame:
-    """Rows of each cell in hash blocks of about ``BLOCK_ROWS``: cell, block, and the rows as one list of structs."""
-    columns = [c for c in rows.columns if c not in ("cell", "reach")]
-    blocks = F.ceil(F.col("_n") / F.lit(BLOCK_ROWS)).cast("int")
-    dealt = rows.join(sizes, "cell").withColumn("_block", F.pmod(F.xxhash64("case_id"), blocks).cast("int"))
-    packed = F.collect_list(F.struct(*columns)).alias(f"{prefix}_rows")
-    return dealt.groupBy("cell", F.col("_block").alias(f"{prefix}_block")).agg(packed, F.first("_n").alias(f"{prefix}_n"))
+def _dealt(rows: DataFrame, sizes: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` with the hash block of about ``BLOCK_ROWS`` rows of the cell that they are in, and the number of rows of the cell."""
+    blocks = F.ceil(F.col(f"{prefix}_n") / F.lit(BLOCK_ROWS)).cast("int")
+    placed = rows.join(sizes.withColumnRenamed("_n", f"{prefix}_n"), "cell")
+    return placed.withColumn(f"{prefix}_block", F.pmod(F.xxhash64("case_id"), blocks).cast("int"))
 
 
 def _visited(train: DataFrame, routed: DataFrame, k: int, exclude_self: bool, reps: int) -> DataFrame:
-    """(case_id, label, rep, neighbour, vote, d): the best ``k`` of each visit."""
+    """(case_id, label, rep, neighbour, vote, d): the best ``k`` of each visit, none beyond the row's ``limit``."""
     routed = durable(routed)
     sizes = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    left = _packed(routed, sizes, "l")
+    left = _dealt(routed, sizes, "l")
     # Every test block meets every train block of its cell; train blocks of one cell are keys of their own.
     r_blocks = F.ceil(F.col("r_n") / F.lit(BLOCK_ROWS)).cast("int")
     per_cell = train.groupBy("cell").agg(F.first(r_blocks).alias("_blocks"))
@@ -128,32 +132,64 @@ def _visited(train: DataFrame, routed: DataFrame, k: int, exclude_self: bool, re
     right = train.join(sizes, "cell").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     fields = ["case_id", "label", "values", *(["folds"] if reps else [])]
     key = ["cell", "r_block", "_copy"]
-    pairs = left.select(*key, *[F.col(f"l_rows.{c}").alias(f"l_{c}") for c in fields]).join(
-        right.select(*key, *[F.col(f"r_rows.{c}").alias(f"r_{c}") for c in fields]), key
-    )
-
-    def visit(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                order = np.argsort(np.asarray(row.r_case_id, dtype=object), kind="stable")  # ties go by id
-                ids, votes = np.asarray(row.r_case_id, dtype=object)[order], np.asarray(row.r_label)[order]
-                own, labels = np.asarray(row.l_case_id, dtype=object), np.asarray(row.l_label)
-                a, b = np.stack(row.l_values), np.stack(row.r_values)[order]
-                folds = (np.stack(row.l_folds), np.stack(row.r_folds)[order]) if reps else None
-                for at in range(0, len(a), VISIT_ROWS):
-                    part = slice(at, at + VISIT_ROWS)
-                    d = np.sqrt(((a[part][:, None, :] - b) ** 2).sum(axis=2))
-                    if exclude_self:
-                        d = np.where(own[part][:, None] == ids, np.inf, d)
-                    for rep in range(max(reps, 1)):
-                        seen = np.where(folds[0][part, rep][:, None] == folds[1][:, rep], np.inf, d) if reps else d
-                        i, j = _best(seen, k)
-                        yield pd.DataFrame(
-                            {"case_id": own[part][i], "label": labels[part][i], "rep": np.int32(rep), "neighbour": ids[j],
-                             "vote": votes[j].astype(np.int32), "d": d[i, j]}
-                        )
-
-    return pairs.mapInPandas(visit, "case_id string, label int, rep int, neighbour string, vote int, d double")
+    none = {"case_id": [], "label": [], "rep": [], "neighbour": [], "vote": [], "d": []}
+
+    def visit(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
+        if not len(tests) or not len(trains):
+            return pd.DataFrame(none)
+        trains = trains.iloc[np.argsort(trains["case_id"].to_numpy(object), kind="stable")]  # ties go by id
+        ids, votes = trains["case_id"].to_numpy(object), trains["label"].to_numpy()
+        own, labels, limit = tests["case_id"].to_numpy(object), tests["label"].to_numpy(), tests["limit"].to_numpy(float)
+        a, b = np.stack(tests["values"].to_numpy()), np.stack(trains["values"].to_numpy())
+        folds = (np.stack(tests["folds"].to_numpy()), np.stack(trains["folds"].to_numpy())) if reps else None
+        near = _Nearness(b)
+        found = []
+        for at in range(0, len(a), VISIT_ROWS):
+            part = slice(at, at + VISIT_ROWS)
+            hidden = np.zeros((len(a[part]), len(b)), bool)
+            if exclude_self:
+                for i, (low, high) in enumerate(zip(np.searchsorted(ids, own[part]), np.searchsorted(ids, own[part], "right"))):
+                    hidden[i, low:high] = True
+            masks = [hidden | (folds[0][part, rep][:, None] == folds[1][:, rep]) if reps else hidden for rep in range(max(reps, 1))]
+            d = near.distances(a[part], masks, k)
+            for rep, mask in enumerate(masks):
+                i, j = _best(np.where(mask, np.inf, d), k)
+                within = d[i, j] <= limit[part][i]
+                i, j = i[within], j[within]
+                found.append((own[part][i], labels[part][i], np.full(len(i), rep, np.int32), ids[j], votes[j], d[i, j]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pd.DataFrame(dict(zip(none, columns))).astype({"vote": np.int32})
+
+    rows = left.select(*key, *fields, "limit").groupBy(*key).cogroup(right.select(*key, *fields).groupBy(*key))
+    return rows.applyInPandas(visit, "case_id string, label int, rep int, neighbour string, vote int, d double")
+
+
+class _Nearness:
+    """Distances to a block of rows: products tell which pairs can be among the nearest, and only those are measured exactly."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.rows, self.centre = rows, rows.mean(axis=0)
+        self.moved = rows - self.centre
+        self.square = (self.moved**2).sum(axis=1)
+
+    def distances(self, a: np.ndarray, masks: Sequence[np.ndarray], k: int) -> np.ndarray:
+        """Distances of the rows ``a``; infinite where a pair is not among the ``k`` least of any mask (true: passed over)."""
+        moved = a - self.centre
+        square = (moved**2).sum(axis=1)
+        about = square[:, None] + self.square - 2 * moved @ self.moved.T
+        # Far above the rounding of products, squares and the move to the centre.
+        error = 1e-12 * a.shape[1] * (square[:, None] + self.square.max() + float(np.abs(self.centre).max() ** 2))
+        wanted = np.zeros(about.shape, bool)
+        at = min(k, about.shape[1]) - 1
+        for mask in masks:
+            seen = np.where(mask, np.inf, about)
+            wanted |= ~mask & ~(seen > np.partition(seen, at, axis=1)[:, at, None] + 2 * error)
+        i, j = np.nonzero(wanted)
+        d = np.full(about.shape, np.inf)
+        for start in range(0, len(i), PAIRS):
+            x, y = i[start : start + PAIRS], j[start : start + PAIRS]
+            d[x, y] = np.sqrt(((a[x] - self.rows[y]) ** 2).sum(axis=1))
+        return d
 
 
 def _best(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +209,7 @@ def _closest(near: DataFrame, k: int) -> DataFrame:
 
 
 def build_cells(train: DataFrame) -> tuple[DataFrame, Cells, int]:
-    """Train blocks (cell, r_block, r_n, r_rows), the cells' numbers, and the number of train rows."""
+    """Train rows with their blocks (cell, r_block, r_n), the cells' numbers, and the number of train rows."""
     n_train = train.count()
     pivots = choose_pivots(train, n_train)
     placed = assign_cells(train, pivots)
@@ -181,7 +217,7 @@ def build_cells(train: DataFrame) -> tuple[DataFrame, Cells, int]:
         placed = durable(placed)
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.min("reach").alias("near"), F.max("reach").alias("far"))
     cells = Cells(pivots, stats.withColumnRenamed("_n", "n").collect())
-    return _packed(placed, stats.select("cell", "_n"), "r"), cells, n_train
+    return _dealt(placed.drop("reach"), stats.select("cell", "_n"), "r"), cells, n_train
 
 
 def routes(train: DataFrame, test: DataFrame, k: int) -> tuple[DataFrame, int]:
