@@ -146,14 +146,27 @@ def lasso_select(feat: DataFrame, folds: int = 10, n_alphas: int = 100, seed: in
 # ---------------------------------------------------------------------------------------------- wrappers
 
 
+#: Trees that are grown together. The driver holds their nodes, about as many as there are rows for each, and lets them go.
+TREES_AT_ONCE = 4
+
+
 def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
-    """Forest importances with their deviation over the trees (feature, ord, score, std); trees grow as deep as Spark lets them."""
+    """Forest importances with their deviation over the trees (feature, ord, score, std); trees grow as deep as Spark lets them.
+
+    The forest grows in lots of ``TREES_AT_ONCE`` trees, each with a seed of its own, of which only the importances are kept.
+    """
     names = feature_names(feat)
     rows = settled(to_vectors(feat))
-    model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth).fit(rows)
+    each = []
+    for first in range(0, trees, TREES_AT_ONCE):
+        lot = RandomForestClassifier(
+            numTrees=min(TREES_AT_ONCE, trees - first), seed=seed + first, maxDepth=max_depth, featureSubsetStrategy="sqrt"
+        ).fit(rows)
+        each += [t.featureImportances.toArray() for t in lot.trees]
+        del lot
     rows.unpersist()
-    each = np.array([t.featureImportances.toArray() for t in model.trees])
-    mean, std = model.featureImportances.toArray(), each.std(axis=0)
+    each = np.array(each)
+    mean, std = each.sum(axis=0) / (each.sum() or 1.0), each.std(axis=0)
     rows = [(n, float(m), float(s)) for n, m, s in zip(names, mean, std)]
     table = feat.sparkSession.createDataFrame(rows, "feature string, score double, std double")
     return table.join(feat.select("feature", "ord").distinct(), "feature").select("feature", "ord", "score", "std")
