@@ -291,6 +291,45 @@ def test_neighbours_among_copies_and_few_rows(spark, monkeypatch):
     assert neighbours.nearest_neighbours(none, rows, 5).count() == 0 == neighbours.nearest_neighbours(rows, none, 5).count()
 
 
+def test_visits_hold_blocks_of_rows_and_pass_on_what_is_near_enough(feat, monkeypatch):
+    """Rows are not packed to lists (a batch of lists has no bound), and a visit passes on nothing beyond the row's limit."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 1000)
+    rows = frame.to_arrays(feat)
+    train, cells, n = neighbours.build_cells(rows)
+    assert train.count() == n == 80 and dict(train.dtypes)["values"] == "array<double>"
+    asked = neighbours._routed(rows, cells, 3, False)
+    near = neighbours._visited(train, asked, 3, False, 0)
+    everything, limit = near.count(), near.agg(F.expr("median(d)")).first()[0]
+    held = neighbours._visited(train, asked.withColumn("limit", F.lit(limit)), 3, False, 0).agg(F.count("*"), F.max("d")).first()
+    assert 0 < held[0] < everything and held[1] <= limit
+
+
+def test_products_of_far_away_rows_lose_no_neighbour():
+    rng = np.random.default_rng(0)
+    for shift in (0.0, 1e6):
+        b, a = rng.normal(size=(50, 8)) + shift, rng.normal(size=(9, 8)) + shift
+        mask = rng.random((9, 50)) < 0.3
+        whole = np.where(mask, np.inf, np.sqrt(((a[:, None, :] - b) ** 2).sum(axis=2)))
+        d = neighbours._Nearness(b).distances(a, [mask], 4)
+        got, wanted = neighbours._best(np.where(mask, np.inf, d), 4), neighbours._best(whole, 4)
+        assert all((x == y).all() for x, y in zip(got, wanted)) and (d[wanted] == whole[wanted]).all()
+
+
+def test_forest_importance_holds_few_trees_at_a_time(feat, monkeypatch):
+    grown = []
+
+    class Forest(selection.RandomForestClassifier):
+        def fit(self, *args):
+            grown.append((self.getNumTrees(), self.getSeed()))
+            return super().fit(*args)
+
+    monkeypatch.setattr(selection, "RandomForestClassifier", Forest)
+    rows = {r["feature"]: r for r in selection.rf_importance(feat, 10, seed=7).collect()}
+    assert sum(n for n, _ in grown) == 10 and max(n for n, _ in grown) <= 4 and len({s for _, s in grown}) == len(grown)
+    assert max(rows, key=lambda f: rows[f]["score"]) == "f00" and abs(sum(r["score"] for r in rows.values()) - 1) < 1e-9
+
+
 def test_neighbour_search_is_that_of_every_fold(feat, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
     rows = frame.to_arrays(feat)

@@ -13,6 +13,7 @@ from cohortlens.functions.ordered import group_quantiles, octave_code, running_t
 from cohortlens.functions.stencil import gather_neighbours, pack_lines
 from cohortlens.operators import extract, filters, prepare, shape, texture
 from cohortlens.operators.first_order import first_order
+from cohortlens.session import tune
 
 KEYS = ["case_id", "modality"]
 
@@ -269,3 +270,35 @@ def test_gaps_in_a_line_keep_their_place(spark):
     )
     assert set(holed) == set(whole) - {8}
     assert all(abs(holed[x] - whole[x]) < 1e-9 for x in range(13, 40)) and abs(holed[7] - whole[7]) > 1e-6
+
+
+def test_zones_are_labelled_in_lots_of_blocks(monkeypatch):
+    """Many blocks in one batch are labelled a few at a time, with the same zones."""
+    import pandas as pd
+
+    blocks = pd.DataFrame({"case_id": list("abcde"), "cell": [np.arange(8)] * 5, "level": [np.repeat([1, 2], 4)] * 5})
+    whole = list(texture._zones_of_blocks([blocks], ["case_id"], (2, 2, 8)))
+    monkeypatch.setattr(texture, "ZONE_VOXELS", 16)
+    parts = list(texture._zones_of_blocks([blocks], ["case_id"], (2, 2, 8)))
+    assert len(whole) == 1 and len(parts) == 3
+    assert pd.concat(parts, ignore_index=True).astype(str).equals(whole[0].astype(str))
+
+
+def test_feature_classes_are_planned_one_by_one(spark, cases):
+    """The plan of all classes reads their stored tables: it holds none of their windows and joins."""
+    case = {"a": cases["a"]}
+    vox = voxel_frame(spark, {k: (grid.astype(float), mask) for k, (grid, mask) in case.items()})
+    out = extract.extract_features(vox, volume_frame(spark, case), ["first_order", "gldm"], ["original"], 0.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and out.count() > 0
+
+
+def test_shuffles_begin_with_many_small_partitions(spark):
+    """What a task makes of a row of packed lines is bounded by the size of a shuffle partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    tune(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4m"
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 384
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    tune(spark)
