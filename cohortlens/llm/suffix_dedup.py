@@ -27,9 +27,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.hashing import mix, prefix_hash, span_hash
+from cohortlens.llm.hashing import chunks, mix, prefix_hash, span_hash
 from cohortlens.llm.tables import numbered, text_of, written
 
 LENGTH = 200
@@ -38,13 +39,23 @@ PIECE = 32
 REACH = LENGTH - PIECE
 WIDTH = REACH + LENGTH
 #: A long text is searched in blocks of this many string starts.
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
+#: Texts are taken out of a batch this many characters at a time, so that a worker holds few of them as objects.
+PORTION = 1 << 20
 PAD = 255
 BUCKET_SEGMENTS = 12_000
 GROUP_LIMIT = 50_000
 
 
+def _portions(batches) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts are together no longer than ``PORTION``, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_pylist()
+        for a, b in chunks([range(n) for n in sizes], PORTION):
+            yield batch.slice(a, b - a)
+
+
 def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place, anchor hash, segment hash) of every anchor, in order, block by block."""
     last = -1
@@ -77,7 +88,7 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _anchor_rows(batches, whole: bool):
-    for batch in batches:
+    for batch in _portions(batches):
         texts, ids = batch.column("text").to_pylist(), batch.column("rid").to_numpy(zero_copy_only=False)
         out = [], [], [], []
         for rid, text in zip(ids, texts):
@@ -156,16 +167,17 @@ def _bucket_spans(group: pa.Table) -> pa.Table:
 
 def _cut(batches):
     """One row per wanted segment: rid, at, anchor, big, bytes."""
-    for batch in batches:
-        out = [], [], [], [], []
-        for rid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "wanted"))):
+    for batch in _portions(batches):
+        wanted = batch.column("wanted")
+        counts, own = wanted.value_lengths().to_numpy(), wanted.flatten()
+        at, anchor, big = (own.field(c) for c in ("at", "anchor", "big"))
+        places, cut, k = at.to_numpy(), [], 0
+        for text, n in zip(batch.column("text").to_pylist(), counts.tolist()):
             data = text.encode()
-            for w in wanted:
-                a = w["at"]
-                for column, x in zip(out, (rid, a, w["anchor"], w["big"], data[max(0, a - REACH) : a + LENGTH])):
-                    column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "at", "anchor", "big", "bytes"])
+            cut.extend(data[max(0, a - REACH) : a + LENGTH] for a in places[k : k + n].tolist())
+            k += n
+        rid = pa.array(np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), counts), pa.int64())
+        yield pa.record_batch([rid, at, anchor, big, pa.array(cut, pa.binary())], ["rid", "at", "anchor", "big", "bytes"])
 
 
 def _strings(batches):
@@ -180,7 +192,7 @@ def _strings(batches):
 
 
 def _finish(batches):
-    for batch in batches:
+    for batch in _portions(batches):
         sizes, spans, kept = [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
             data = text.encode()

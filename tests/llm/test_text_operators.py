@@ -301,6 +301,23 @@ def test_suffix_dedup(spark, limits, odd):
     assert got == brute_dedup(rows)
 
 
+def test_a_batch_is_cut_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    from cohortlens.llm import suffix_dedup as s
+
+    texts = ["é" * 300, "", "abc" * 200, "x" * 500]
+    wanted = [[{"at": a, "anchor": a + i, "big": i == 2} for a in range(0, len(t), 50)] for i, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("anchor", pa.int64()), ("big", pa.bool_())]))
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(texts), pa.array(wanted, kind)], ["rid", "text", "wanted"])
+    want = [(i, w["at"], w["anchor"], w["big"], t.encode()[max(0, w["at"] - s.REACH) : w["at"] + LENGTH])
+            for i, (t, own) in enumerate(zip(texts, wanted)) for w in own]
+    for portion, parts in ((1 << 20, 1), (700, 3), (1, 3)):  # the empty text goes with its neighbour
+        monkeypatch.setattr(s, "PORTION", portion)
+        cut = list(s._cut([batch]))
+        assert [tuple(r.values()) for b in cut for r in b.to_pylist()] == want and len(cut) >= parts
+
+
 def test_column_hits_equal_the_definition():
     rng = np.random.default_rng(0)
     for _ in range(30):
