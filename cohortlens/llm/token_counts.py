@@ -3,7 +3,7 @@
 A tokenizer of the ``tokenizers`` library normalises a text, cuts it into pre-tokens and splits each pre-token on its own. The
 number of pieces therefore depends on the pre-token alone:
 
-* one pass over the texts writes each document's distinct pre-tokens and how often they occur in it;
+* one pass over the texts writes each document's distinct pre-tokens and how often they occur in it (as numbers, by array operations);
 * each distinct pre-token of the corpus is split once, by the library's own model, and only the number of its pieces is kept;
 * the numbers are joined to the frequencies. The ``hot`` most frequent pre-tokens are looked up in a broadcast table (never more
   than that many rows, whatever the corpus); the others leave as rows (document, pre-token, times), are joined by shuffle and
@@ -20,9 +20,10 @@ are counted each; texts are read whole, whatever their length; an empty table gi
 
 from __future__ import annotations
 
+import gc
 import re
-from collections import Counter
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from cohortlens.llm.tables import discard, numbered, text_of, written
 #: Rows of the broadcast table at most.
 HOT = 1 << 17
 #: Characters of distinct runs that a task remembers before it empties its table, and of texts that are cut together.
-REMEMBERED, CHUNK = 5 << 20, 1 << 20
+REMEMBERED, CHUNK = 5 << 20, 1 << 21
 LIMIT = 2048
 KEYS = ["rid", "doc_id", "n_bytes"]
 
@@ -53,8 +54,7 @@ class Cutter:
             raise ValueError("added tokens that take blanks or whole words with them, or are normalised, are not supported")
         strings = sorted((t.content for t in special), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.size = 0
+        self.forget()
         self.separable = self.pre_tokens("a b\nc") == [p for x in "abc" for p in self.pre_tokens(x)]
 
     def pre_tokens(self, run: str) -> list[str]:
@@ -72,8 +72,8 @@ class Cutter:
             runs = [p for p in parts if p]
         return len(parts) - 1, runs
 
-    def many(self, runs: list[str]) -> list[list[str]]:
-        """Pre-tokens of each run, by one call of the library where the runs stand between blanks.
+    def many(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of all runs, and how many each has, by one call of the library where the runs stand between blanks.
 
         A run that holds white space of another kind would be cut in two; the call is then made for each run.
         """
@@ -82,37 +82,64 @@ class Cutter:
         line = normalizer.normalize_str(line) if normalizer else line
         parts = line.split(" ")
         if not self.separable or len(parts) != len(runs):
-            return [self.pre_tokens(r) for r in runs]
+            found = [self.pre_tokens(r) for r in runs]
+            return [p for own in found for p in own], np.fromiter(map(len, found), np.int64, len(found))
         found = cutter.pre_tokenize_str(line)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        at = np.searchsorted(np.array([a for _, (a, _) in found], np.int64), ends).tolist()
-        own = [p for p, _ in found]
-        return [own[a:b] for a, b in zip([0, *at[:-1]], at)]
-
-    def frequencies(self, texts: list[str]) -> list[tuple[int, dict[str, int]]]:
-        """Special tokens of each text, and its pre-tokens with the times they occur."""
-        cut = [self.runs(t) for t in texts]
-        counts = [Counter(runs) for _, runs in cut]
+        ends = np.cumsum(np.array([len(p) for p in parts]) + 1)
+        starts = np.array([a for _, (a, _) in found])
+        return [p for p, _ in found], np.diff(np.searchsorted(starts, ends), prepend=0)
+
+    def learn(self, runs: list[str]) -> None:
+        """Remember the pre-tokens of runs, as numbers: those of the k-th run are ``held[first[k]:first[k + 1]]``."""
+        # The library returns a pair for each pre-token. They hold no cycles, and searching them for some took a third of the time.
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            own, counts = self.many(runs)
+        finally:
+            if searching:
+                gc.enable()
+        names = self.names
+        numbers = np.array([names.setdefault(p, len(names)) for p in own], np.int64)
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+        self.held = np.concatenate((self.held, numbers))
+        self.size += sum(map(len, runs))
+
+    def frequencies(self, texts: list[str]) -> tuple[list[int], np.ndarray, pa.Array, np.ndarray]:
+        """Special tokens of each text, bounds of the texts in what follows, their distinct pre-tokens and the times they occur."""
+        parts = [self.special.split(t) for t in texts] if self.special else [[t] for t in texts]
+        if self.separable:
+            lines = pc.replace_substring(pa.array([" ".join(p) for p in parts], pa.string()), "\n", " ")
+            cut = pc.split_pattern(lines, " ")
+        else:
+            cut = pa.array([self.runs(t)[1] for t in texts], pa.list_(pa.string()))
+        runs = cut.flatten().dictionary_encode()
         if self.size > REMEMBERED:
             self.forget()
-        new = [r for r in set().union(*counts) if r not in self.known]
-        for run, own in zip(new, self.many(new)):
-            # Most runs are one pre-token, themselves: the string is held once.
-            self.known[run] = (run,) if len(own) == 1 and own[0] == run else tuple(own)
-        self.size += sum(map(len, new))
-        out = []
-        for (special, _), runs in zip(cut, counts):
-            own: dict[str, int] = {}
-            known, get = self.known, own.get
-            for run, times in runs.items():
-                for p in known[run]:
-                    own[p] = get(p, 0) + times
-            out.append((special, own))
-        return out
+        distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [r for r in distinct if r not in self.known]:
+            self.learn(new)
+        run = np.array([self.known[r] for r in distinct], np.int64)[runs.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+        # Every run gives as many places as it has pre-tokens; a place is the text's number beside the pre-token's.
+        start, count = self.first[run], self.first[run + 1] - self.first[run]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        width = max(1, len(self.names))
+        places = np.sort(np.repeat(text, count) * width + self.held[np.repeat(start, count) + step])
+        at = np.flatnonzero(np.diff(places, prepend=-1))
+        text, number = np.divmod(places[at], width)
+        used = np.zeros(width, bool)
+        used[number] = True
+        names = pa.array(compress(self.names, used.tolist()), pa.string())
+        names = names.take(pa.array((np.cumsum(used) - 1)[number]))
+        return [len(p) - 1 for p in parts], np.searchsorted(text, np.arange(len(texts) + 1)), names, np.diff(at, append=len(places))
 
     def forget(self) -> None:
         """Give the remembered runs free: the worker goes on to tasks that read none."""
-        self.known, self.size = {}, 0
+        self.known: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.first, self.held, self.size = np.zeros(1, np.int64), np.zeros(0, np.int64), 0
 
     def pieces(self, pre_token: str) -> int:
         return len(self.tokenizer.model.tokenize(pre_token))
@@ -129,11 +156,9 @@ def _frequencies(batches, path: str):
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in chunks(texts, CHUNK):
-            found = cut.frequencies(texts[a:b])
-            ends = pa.array(np.cumsum([0, *(len(f) for _, f in found)]), pa.int32())
-            names = pa.array([p for _, f in found for p in f], pa.string())
-            times = pa.array([n for _, f in found for n in f.values()], pa.int64())
-            columns = [pa.array([s for s, _ in found], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in (names, times))]
+            special, bounds, names, times = cut.frequencies(texts[a:b])
+            lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (names, pa.array(times, pa.int64())))
+            columns = [pa.array(special, pa.int64()), *lists]
             keys = [batch.column(c).slice(a, b - a) for c in KEYS]
             yield pa.record_batch([*keys, *columns], [*KEYS, "special", "pre_tokens", "times"])
 

@@ -54,6 +54,33 @@ def test_runs_between_blanks_are_cut_alone():
     assert Cutter(WORDS).runs("a <|endoftext|>b\nc") == (1, ["a", "", "b", "c"])
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_a_texts_pre_tokens_are_those_of_its_runs(odd_rows, path):
+    texts = [r[1] or "" for r in odd_rows] + ["a\tb  c", "It's 12ab, it's<|endoftext|>12AB", "\u0130 \ufb01 e\u0301"]
+    cutter = Cutter(path)
+    for _ in range(2):  # unknown runs, then known ones
+        special, bounds, names, times = cutter.frequencies(texts)
+        for i, text in enumerate(texts):
+            n, runs = cutter.runs(text)
+            own = slice(bounds[i], bounds[i + 1])
+            assert special[i] == n and len(set(names[own].to_pylist())) == len(names[own])
+            assert dict(zip(names[own].to_pylist(), times[own])) == Counter(p for r in runs for p in cutter.pre_tokens(r))
+
+
+def test_no_cycle_search_while_runs_are_cut():
+    import gc
+
+    cutter, begun = Cutter(WORDS), []
+    note = lambda phase, info: begun.append(phase)
+    runs = [f"w{i}, {i}".replace(" ", "") for i in range(20_000)]
+    gc.callbacks.append(note)
+    try:
+        cutter.learn(runs)
+    finally:
+        gc.callbacks.remove(note)
+    assert gc.isenabled() and len(begun) <= 4  # a start and an end each; a search per 2,000 pairs before
+
+
 def test_a_million_blanks_and_letters(spark):
     from tokenizers import Tokenizer
 
