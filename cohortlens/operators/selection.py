@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import durable, settled
 from ..functions.gram import column_stats, covariance, gram
-from ..functions.keys import hash_chunk, hash_order, k_from
-from ..functions.ordered import running_totals
+from ..functions.keys import k_from, shuffled
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
 from .lasso import descend, lasso_tables
 from .models import MAX_TREE_DEPTH, knn_predict
@@ -361,17 +361,74 @@ def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) ->
     return lambda columns: _cv_accuracy(data, columns, models[estimator](), folds)
 
 
-def shadow_features(feat: DataFrame, seed: int) -> DataFrame:
-    """Every feature permuted over the cases: the value of one hash order goes to the case of another."""
-
-    def ranked(salt: str) -> DataFrame:
-        hashed = feat.withColumn("_h", hash_order("case_id", seed, F.lit(salt), F.col("feature")))
-        chunked = hashed.withColumn("_chunk", hash_chunk(F.col("_h")))
-        return running_totals(chunked, ["feature"], ["_h", "case_id"], {"_r": F.lit(1)})
-
-    givers = ranked("from").select("feature", "_r", "value")
-    takers = ranked("to").select("case_id", "label", "feature", "ord", "_r")
-    return takers.join(givers, ["feature", "_r"]).select("case_id", "label", "feature", "ord", "value")
+#: Values, real and shadow, that a block of cases holds at most (of at least ``LEAST_CASES`` cases).
+BLOCK_VALUES, LEAST_CASES = 1 << 19, 64
+
+
+def numbered_cases(feat: DataFrame) -> DataFrame:
+    """(case, label, weight, values) with the cases numbered from 0 without gaps; values by ``ord``, weights by class."""
+    held = durable(with_class_weights(to_arrays(feat.select("case_id", "label", "feature", "ord", "value"))))
+    sizes = dict(held.groupBy(F.spark_partition_id()).count().collect())
+    first = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))]).tolist()  # one number per partition
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    case = F.array(*map(F.lit, first))[F.spark_partition_id()].cast("bigint") + inside
+    return held.select(case.alias("case"), "label", F.col("weight").cast("double").alias("weight"), "values")
+
+
+def _matrix(values, columns: Sequence[int], width: int) -> np.ndarray:
+    """The chosen columns of a list column; every list must have ``width`` values."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    if not (np.diff(values.offsets.to_numpy()) == width).all():
+        raise ValueError("a case lacks features, or has one twice")
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[:, list(columns)]
+
+
+def _scattered(batches, n: int, block: int, columns: Sequence[int], width: int, seeds: Sequence[int]):
+    """(block, at, value): the values of the columns, once per seed, at the cases that a permutation of each column gives them to."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cases, own = batch.column("case").to_numpy(), _matrix(batch.column("values"), columns, width)
+        for copy, seed in enumerate(seeds):
+            to = np.stack([shuffled(cases, n, seed, c) for c in columns], axis=1)
+            at = (to % block) * (len(columns) * len(seeds)) + copy * len(columns) + np.arange(len(columns))
+            home = (to // block).ravel()
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+            ends = pa.array([*cuts, len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel()[order])) for x in (at, own)]
+            yield pa.record_batch([pa.array(home[order][cuts]), *lists], ["block", "at", "value"])
+
+
+def _gathered(real: pa.Table, cells: pa.Table, columns: Sequence[int], width: int, copies: int) -> pa.Table:
+    """(label, weight, values) of one block: the columns, then their shadows."""
+    real = real.sort_by("case")
+    shadows = np.empty(real.num_rows * len(columns) * copies)
+    for at, value in zip(*(cells.column(c).chunks for c in ("at", "value"))):
+        shadows[at.flatten().to_numpy()] = value.flatten().to_numpy()
+    both = np.hstack([_matrix(real.column("values"), columns, width), shadows.reshape(real.num_rows, -1)])
+    ends = pa.array(np.arange(real.num_rows + 1) * both.shape[1], pa.int32())
+    lists = pa.ListArray.from_arrays(ends, pa.array(both.ravel()))
+    return pa.table([real.column("label"), real.column("weight"), lists], ["label", "weight", "values"])
+
+
+def with_shadows(cases: DataFrame, n: int, columns: Sequence[int], width: int, seeds: Sequence[int]) -> DataFrame:
+    """(label, weight, features): the chosen columns of ``numbered_cases``, then for every seed their shadows.
+
+    A shadow is its column permuted over all cases, each by a permutation of its own. Values travel as packed lists, one per block of
+    cases they go to, and a task holds one block at a time.
+    """
+    columns, copies = list(columns), len(seeds)
+    block = max(LEAST_CASES, BLOCK_VALUES // (len(columns) * (1 + copies)))
+    label = cases.schema["label"].dataType.simpleString()
+    cells = cases.select("case", "values").mapInArrow(
+        lambda b: _scattered(b, n, block, columns, width, seeds), "block bigint, at array<bigint>, value array<double>"
+    )
+    real = cases.withColumn("block", F.floor(F.col("case") / block))
+    both = real.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(
+        lambda a, b: _gathered(a, b, columns, width, copies), f"label {label}, weight double, values array<double>"
+    )
+    return both.select("label", "weight", array_to_vector("values").alias("features")).coalesce(max(1, -(-n // block)))
 
 
 def _binomial_tail(hits: int, n: int) -> float:
@@ -417,21 +474,15 @@ def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, tre
     still open after ``max_iter`` rounds are not kept.
     """
     names = feature_names(feat)
-    held = settled(feat.select("case_id", "label", "feature", "ord", "value"))
+    held = numbered_cases(feat).persist()
+    n = held.count()
     hits, decided = [0] * len(names), [0] * len(names)
     for r in range(max_iter):
         alive = [i for i, d in enumerate(decided) if d >= 0]
         if not any(d == 0 for d in decided):
             break
-        places = feat.sparkSession.createDataFrame([(names[i], at) for at, i in enumerate(alive)], "feature string, _at int")
-        real = held.join(F.broadcast(places), "feature")  # one row per feature
-        both = real.select("case_id", "label", "feature", F.col("_at").alias("ord"), "value")
         sets = -(-LEAST_SHADOWS // len(alive))
-        for copy in range(sets):  # shadows stand behind all real features in the vector
-            shadow = shadow_features(real.select("case_id", "label", "feature", F.col("_at").alias("ord"), "value"), seed + r * sets + copy)
-            name = F.concat(F.lit(f"shadow{copy}_"), "feature")
-            both = both.unionByName(shadow.withColumn("feature", name).withColumn("ord", F.col("ord") + len(alive) * (copy + 1)))
-        rows = settled(with_class_weights(to_vectors(both)))
+        rows = with_shadows(held, n, alive, len(names), [seed + r * sets + copy for copy in range(sets)]).persist()
         forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed + r, weightCol="weight")
         gain = forest.fit(rows).featureImportances.toArray()
         rows.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import feature_rows, separable
@@ -9,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cohortlens.functions import keys
 from cohortlens.functions.gram import covariance, local_gram
 from cohortlens.operators import batched, evaluation, frame, models, neighbours, scoring, selection
 from cohortlens.operators.lasso import lasso_tables
@@ -174,6 +177,33 @@ def test_boruta_confirms_the_signal_and_rejects_noise(feat):
     assert rounds >= 7 and all(r["score"] < rounds for f, r in rows.items() if f != "f00")
 
 
+def test_shuffled_is_a_permutation_that_can_be_had_in_parts():
+    for n in (1, 2, 3, 17, 64, 1000):
+        whole = keys.shuffled(np.arange(n), n, 7, 1)
+        assert sorted(whole) == list(range(n))
+        assert list(whole[n // 2 :]) == list(keys.shuffled(np.arange(n // 2, n), n, 7, 1))
+    places = np.stack([keys.shuffled(np.arange(40), 40, 7, k) for k in range(2000)])
+    assert abs(places.mean(0) - 19.5).max() < 1.5 and abs(np.corrcoef(places.T) - np.eye(40) + 1 / 39 * (1 - np.eye(40))).max() < 0.1
+
+
+def test_shadows_hold_each_column_permuted(feat, monkeypatch):
+    monkeypatch.setattr(selection, "BLOCK_VALUES", 1)
+    monkeypatch.setattr(selection, "LEAST_CASES", 7)
+    names = selection.feature_names(feat)
+    cases = selection.numbered_cases(feat).persist()
+    real = {r["case"]: r for r in cases.collect()}
+    n, columns = len(real), [0, 2, 3]
+    assert sorted(real) == list(range(n))
+    rows = [(r["label"], r["weight"], r["features"].toArray()) for r in selection.with_shadows(cases, n, columns, len(names), [5, 6]).collect()]
+    own = np.array([[real[i]["values"][c] for c in columns] for i in range(n)])
+    got = np.array([r[2] for r in rows])
+    assert Counter((a, b, *x[:3]) for a, b, x in rows) == Counter((real[i]["label"], real[i]["weight"], *own[i]) for i in range(n))
+    for k in range(3, 9):
+        assert sorted(got[:, k]) == sorted(own[:, k % 3]) and list(got[:, k]) != list(got[:, k % 3])
+    order = [np.argsort(got[:, k], kind="stable").tolist() for k in range(3, 9)]
+    assert all(a != b for i, a in enumerate(order) for b in order[:i])  # no two shadows share a permutation
+
+
 def test_boruta_decisions():
     assert selection._discoveries([0.001, 0.02, 0.2, 0.9], 0.05) == [True, True, False, False]
     assert selection._discoveries([0.2, 0.9], 0.05) == [False, False]
