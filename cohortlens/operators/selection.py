@@ -365,9 +365,17 @@ def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) ->
 BLOCK_VALUES, LEAST_CASES = 1 << 19, 64
 
 
-def numbered_cases(feat: DataFrame) -> DataFrame:
-    """(case, label, weight, values) with the cases numbered from 0 without gaps; values by ``ord``, weights by class."""
-    held = durable(with_class_weights(to_arrays(feat.select("case_id", "label", "feature", "ord", "value"))))
+def numbered_cases(feat: DataFrame, width: int) -> DataFrame:
+    """(case, label, weight, values) with the cases numbered from 0 without gaps; ``width`` values by ``ord``, weights by class.
+
+    Where the rows of a case come more than once, each copy is a case of its own.
+    """
+    arrays = to_arrays(feat.select("case_id", "label", "feature", "ord", "value"))
+    own = arrays.withColumn("copies", F.greatest(F.lit(1), F.floor(F.size("values") / width)).cast("int"))
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    values = F.filter("values", lambda _, i: i % F.col("copies") == F.col("copy"))
+    own = own.withColumn("values", F.when(F.col("copies") == 1, F.col("values")).otherwise(values)).drop("copies", "copy")
+    held = durable(with_class_weights(own))
     sizes = dict(held.groupBy(F.spark_partition_id()).count().collect())
     first = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))]).tolist()  # one number per partition
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -474,7 +482,7 @@ def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, tre
     still open after ``max_iter`` rounds are not kept.
     """
     names = feature_names(feat)
-    held = numbered_cases(feat).persist()
+    held = numbered_cases(feat, len(names)).persist()
     n = held.count()
     hits, decided = [0] * len(names), [0] * len(names)
     for r in range(max_iter):

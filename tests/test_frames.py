@@ -190,7 +190,7 @@ def test_shadows_hold_each_column_permuted(feat, monkeypatch):
     monkeypatch.setattr(selection, "BLOCK_VALUES", 1)
     monkeypatch.setattr(selection, "LEAST_CASES", 7)
     names = selection.feature_names(feat)
-    cases = selection.numbered_cases(feat).persist()
+    cases = selection.numbered_cases(feat, len(names)).persist()
     real = {r["case"]: r for r in cases.collect()}
     n, columns = len(real), [0, 2, 3]
     assert sorted(real) == list(range(n))
@@ -204,6 +204,14 @@ def test_shadows_hold_each_column_permuted(feat, monkeypatch):
     assert all(a != b for i, a in enumerate(order) for b in order[:i])  # no two shadows share a permutation
 
 
+def test_repeated_cases_are_cases_of_their_own(feat):
+    names = selection.feature_names(feat)
+    once = Counter((r["label"], *r["values"]) for r in selection.numbered_cases(feat, len(names)).collect())
+    some = feat.filter(F.col("case_id") == feat.agg(F.min("case_id")).first()[0])
+    twice = Counter((r["label"], *r["values"]) for r in selection.numbered_cases(feat.unionByName(some), len(names)).collect())
+    assert sum((twice - once).values()) == 1 and not once - twice
+
+
 def test_boruta_decisions():
     assert selection._discoveries([0.001, 0.02, 0.2, 0.9], 0.05) == [True, True, False, False]
     assert selection._discoveries([0.2, 0.9], 0.05) == [False, False]
