@@ -62,6 +62,7 @@ def _item_seeds(batches):
 
 def _document_seeds(batches, filters: dict[int, np.ndarray]):
     """rid, places and hashes of the words inside passing windows, and the distinct passing seeds."""
+    filters = {size: np.unpackbits(bits, bitorder="little").view(bool) for size, bits in filters.items()}
     mask = np.uint64(FILTER_BITS - 1)
     for batch in batches:
         texts, rids = batch.column("text").to_pylist(), batch.column("rid").to_pylist()
@@ -155,7 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     bits = posted.select("size", F.expr(f"seed & {FILTER_BITS - 1}").alias("bit")).distinct()
     filters: dict[int, np.ndarray] = {}
     for r in bits.collect():  # at most FILTER_BITS rows for each of MIN_MATCH sizes
-        filters.setdefault(r["size"], np.zeros(FILTER_BITS, bool))[r["bit"]] = True
+        # Packed, eight bits to a byte: the driver keeps and ships them with every task.
+        filters.setdefault(r["size"], np.zeros(FILTER_BITS >> 3, np.uint8))[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
     docs = numbered(docs.select("doc_id", text_of(docs).alias("text")))
     found = docs.select("rid", "text").mapInArrow(
         lambda b: _document_seeds(b, filters), "rid bigint, at array<bigint>, words array<bigint>, seeds array<bigint>"

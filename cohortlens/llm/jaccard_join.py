@@ -238,9 +238,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(DEN * common >= NUM * union).select("a", "b")
 
 
-def heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
-    """Links among the sets of each list that, with ``known``, connect all that belong together."""
+def linked_roots(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
+    """(node, root) of the components that ``known`` and the links among the sets of each list make."""
     links = durable(known.select("a", "b"))
+    found = None
     lists = durable(lists.withColumn("comp", F.col("cls")))
     salts = FIRST_SALTS
     while rows := lists.count():
@@ -258,18 +259,19 @@ def heavy_links(lists: DataFrame, sets: DataFrame, boundary: int, known: DataFra
         pairs = met.select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"))
         pairs = pairs.coalesce(tasks).distinct().coalesce(tasks)
         links = durable(links.union(_verified(pairs, sets).coalesce(tasks)))
-        roots = components(links).withColumnRenamed("node", "cls")
+        found = components(links)
+        roots = found.withColumnRenamed("node", "cls")
         rest = lists.join(pivots.select("token", "cls"), ["token", "cls"], "left_anti").drop("comp").coalesce(tasks)
         rest = rest.join(roots, "cls", "left").select("token", "cls", "n", "left", F.coalesce("root", "cls").alias("comp"))
         rest = durable(rest.coalesce(tasks))
         apart = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
         lists = durable(rest.join(apart.select("token"), "token", "left_semi").coalesce(tasks))
         salts *= FIRST_SALTS
-    return links
+    return components(links) if found is None else found
 
 
-def _linked(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but text, with n, root (of the group of linked texts; null without words), component_id, class_size."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``docs`` but text, with n and cls; and cls, rep, class_size, root (of the group of linked texts) of the classes."""
     keys = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
     measured = written(docs.mapInArrow(lambda b: _measure(b, keys), f"{kinds}, n bigint, cls binary"), "jaccard-sizes")
@@ -294,18 +296,17 @@ def _linked(docs: DataFrame) -> DataFrame:
     sets = written(sets.join(alive.select("cls"), "cls", "left_semi"), "jaccard-sets")
     light = light_links(sets, boundary)
     heavy = sets.filter(F.col("n") >= lowest)
-    links = heavy_links(prefix_lists(heavy), heavy, boundary, light)
-    roots = components(links)
+    roots = linked_roots(prefix_lists(heavy), heavy, boundary, light)
     discard(sets)
     named = classes.select("cls", "rep", "class_size").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return measured.join(named.join(least, "root").select("cls", "root", "component_id", "class_size"), "cls", "left")
+    return measured, named.withColumn("root", F.coalesce("root", "cls"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size: one row per document."""
-    out = _linked(docs.select("doc_id", text_of(docs).alias("text")))
+    measured, named = _linked(docs.select("doc_id", text_of(docs).alias("text")))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    out = measured.join(named.join(least, "root").select("cls", "component_id", "class_size"), "cls", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -321,8 +322,9 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     are gathered by group; the text crosses one shuffle, the semi join on that number.
     """
     docs = numbered(docs, name="_row")
-    linked = _linked(docs.select("doc_id", "_row", text_of(docs).alias("text")))
+    measured, named = _linked(docs.select("doc_id", "_row", text_of(docs).alias("text")))
+    linked = measured.join(named.select("cls", "root"), "cls", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = linked.filter("n > 0").groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row")
-    kept = first.union(linked.filter("n = 0").select("_row"))
+    alone = F.when(F.col("n") == 0, F.col("_row")).alias("_alone")
+    kept = linked.groupBy("root", alone).agg(F.min_by("_row", order).alias("_row")).select("_row")
     return docs.join(kept, "_row", "left_semi").drop("_row")

@@ -26,7 +26,7 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.llm.tables import BLANK, ascii_lower, numbered, text_of, written
+from cohortlens.llm.tables import BLANK, ascii_lower, discard, numbered, text_of, written
 
 BUCKETS = 1 << 16
 MAX_DOMAINS = 16
@@ -34,6 +34,9 @@ MAX_DOMAINS = 16
 FIT_ROWS = 20_000
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64)
 STEPS = 25
+#: After so many accepted steps the rates are written: each step otherwise nests in the expression of the next one, which the
+#: driver analyses, optimises and compiles anew for every look.
+STEPS_NESTED = 5
 TOLERANCE = 1e-6
 FOLDS = 5
 
@@ -178,7 +181,7 @@ def fit_rates(
 
     rate = F.lit(1.0 if max_rate is None else min(1.0, max_rate))
     gap, matrix = look(rate)
-    scale = 1.0
+    scale, nested, held = 1.0, 0, None
     for _ in range(steps):
         if sum(g * g for g in gap) <= (TOLERANCE * total) ** 2:
             break
@@ -187,8 +190,14 @@ def fit_rates(
         new_gap, new_matrix = look(trial)
         if sum(g * g for g in new_gap) < sum(g * g for g in gap):
             rate, gap, matrix, scale = trial, new_gap, new_matrix, min(1.0, 2 * scale)
+            nested += 1
         else:
             scale /= 2
+        if nested == STEPS_NESTED:
+            members = written(members.withColumn("rate", rate), "mix-rates")
+            if held is not None:
+                discard(held)
+            rate, nested, held = F.col("rate"), 0, members
     return members.withColumn("rate", rate)
 
 

@@ -167,6 +167,27 @@ def test_rates_match_targets(spark, max_rate):
     assert totals.sum() == pytest.approx(20_000 if max_rate else tokens.sum(), rel=1e-3)
 
 
+def test_steps_of_the_rates_do_not_nest_without_end(spark, monkeypatch):
+    """The driver analyses and compiles the plan of every look; it must not grow with the steps, and the rates stay the same."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
+    tokens = rng.integers(5, 400, 400)
+    rows = [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))]
+    members = spark.createDataFrame(rows, "rid bigint, tokens bigint, p0 double, p1 double, p2 double").coalesce(1)
+
+    def rates():
+        got = mixing.fit_rates(members, [0.92, 0.05, 0.03], max_rate=1.0, whole=0)
+        assert got.columns == [*members.columns, "rate"]
+        return got._jdf.queryExecution().optimizedPlan().toString().count("greatest("), got.orderBy("rid").toPandas().rate
+
+    monkeypatch.setattr(mixing, "STEPS_NESTED", 2, raising=False)
+    nested, found = rates()
+    monkeypatch.setattr(mixing, "STEPS_NESTED", 1000, raising=False)
+    deep, want = rates()
+    assert nested < 2 < deep
+    assert found.to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9, abs=1e-12)
+
+
 def test_posteriors_are_naive_bayes(spark):
     rows, labels = quality_corpus()
     known = mixing.quality_domains(spark.createDataFrame(labels[:300], "doc_id bigint, quality int, toxic int, score string"))

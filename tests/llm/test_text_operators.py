@@ -197,6 +197,36 @@ def test_jaccard_components(spark, seed):
     assert sorted(r["doc_id"] for r in one_per_group(docs).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_per_group_reads_and_contracts_each_table_once(spark, monkeypatch):
+    """The same links are not contracted twice, and the measured rows stand once in the plan that keeps one per group."""
+    from cohortlens.llm import jaccard_join
+
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, 60, 3000)) for i in range(6)]
+    rows += [(10 + i, rows[i][1] + " tail") for i in range(3)] + [(20, rows[0][1]), (21, ""), (22, None), (22, "")]
+    links = []
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: links.append(edges) or components(edges))
+    kept = one_per_group(frame(spark, rows))
+    assert len(links) == len({id(x) for x in links}) > 0
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[doc_id#\d+L?,_row#\d+L?,n#\d+L?,cls#", plan)) == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 21, 22, 22]
+
+
+def test_seed_filters_are_packed(spark, monkeypatch):
+    """The bit tables of all seed sizes are shipped with every task: one bit for a number, not one byte."""
+    from cohortlens.llm import decontamination
+
+    kinds = []
+    monkeypatch.setattr(decontamination.np, "zeros", lambda n, *a, f=np.zeros: kinds.append(f(n, *a).nbytes) or f(n, *a))
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x y"), (3, "z")], "item_id bigint, text string")
+    docs = [(1, "q a b c d e f g h q"), (2, "nothing of it"), (3, "there is x y in it"), (4, "z"), (5, None)]
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(frame(spark, docs), items).collect()}
+    assert found == {(1, 1), (3, 2), (4, 3)}
+    assert kinds and max(kinds) <= decontamination.FILTER_BITS // 8
+
+
+
 def test_sizes_and_boundary():
     for a in range(1, 60):
         assert a - spare(a) == -(-80 * a // 100)
