@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import RandomForestClassifier as ShallowForest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.durable import durable, settled
 from ..functions.gram import column_stats, covariance, gram
 from ..functions.keys import k_from, shuffled
+from .forest import RandomForestClassifier, binned
 from .frame import stratified_folds, to_arrays, to_vectors, with_class_weights
 from .lasso import descend, lasso_tables
 from .models import MAX_TREE_DEPTH, knn_predict
@@ -146,30 +149,31 @@ def lasso_select(feat: DataFrame, folds: int = 10, n_alphas: int = 100, seed: in
 # ---------------------------------------------------------------------------------------------- wrappers
 
 
-#: Trees that are grown together. The driver holds their nodes, about as many as there are rows for each, and lets them go.
-TREES_AT_ONCE = 4
+#: Trees that are grown together, and lots of them that are under way at a time. Only their upper nodes come to the driver.
+TREES_AT_ONCE, LOTS_AT_ONCE = 4, 4
 
 
 def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH) -> DataFrame:
     """Forest importances with their deviation over the trees (feature, ord, score, std); trees grow as deep as Spark lets them.
 
     The forest grows in lots of ``TREES_AT_ONCE`` trees, each with a seed of its own, of which only the importances are kept.
+    Where the rows of a case come more than once, each copy is a case of its own.
     """
-    names = feature_names(feat)
-    rows = settled(to_vectors(feat))
-    each = []
-    for first in range(0, trees, TREES_AT_ONCE):
-        lot = RandomForestClassifier(
-            numTrees=min(TREES_AT_ONCE, trees - first), seed=seed + first, maxDepth=max_depth, featureSubsetStrategy="sqrt"
-        ).fit(rows)
-        each += [t.featureImportances.toArray() for t in lot.trees]
-        del lot
-    rows.unpersist()
-    each = np.array(each)
+    known = feat.select("feature", "ord").distinct().orderBy("ord").collect()
+    held = numbered_cases(feat, len(known))
+    blocks = binned(held, len(known))
+    counts = np.array([r["count"] for r in held.groupBy("label").count().collect()])
+
+    def grown(first: int) -> np.ndarray:
+        lot = RandomForestClassifier(numTrees=min(TREES_AT_ONCE, trees - first), seed=seed + first, maxDepth=max_depth)
+        return lot.fit(blocks, len(known), counts)
+
+    with ThreadPool(LOTS_AT_ONCE) as pool:
+        each = np.concatenate(pool.map(grown, range(0, trees, TREES_AT_ONCE), chunksize=1))
     mean, std = each.sum(axis=0) / (each.sum() or 1.0), each.std(axis=0)
-    rows = [(n, float(m), float(s)) for n, m, s in zip(names, mean, std)]
-    table = feat.sparkSession.createDataFrame(rows, "feature string, score double, std double")
-    return table.join(feat.select("feature", "ord").distinct(), "feature").select("feature", "ord", "score", "std")
+    rows = [(r["feature"], r["ord"], float(m), float(s)) for r, m, s in zip(known, mean, std)]
+    kind = f"feature string, ord {feat.schema['ord'].dataType.simpleString()}, score double, std double"
+    return feat.sparkSession.createDataFrame(rows, kind)
 
 
 def rf_importance_select(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH, **k) -> DataFrame:
@@ -354,7 +358,7 @@ def _candidate_score(feat: DataFrame, estimator: str, folds: int, seed: int) ->
         return knn
     models = {
         "svm": lambda: LinearSVC(maxIter=20, tol=1e-4, regParam=0.01, standardization=False),
-        "random_forest": lambda: RandomForestClassifier(numTrees=20, seed=0),
+        "random_forest": lambda: ShallowForest(numTrees=20, seed=0),
     }
     if estimator not in models:
         raise ValueError(f"unknown estimator {estimator!r}")
@@ -491,7 +495,7 @@ def boruta_select(feat: DataFrame, max_iter: int = 100, alpha: float = 0.05, tre
             break
         sets = -(-LEAST_SHADOWS // len(alive))
         rows = with_shadows(held, n, alive, len(names), [seed + r * sets + copy for copy in range(sets)]).persist()
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed + r, weightCol="weight")
+        forest = ShallowForest(numTrees=trees, maxDepth=max_depth, seed=seed + r, weightCol="weight")
         gain = forest.fit(rows).featureImportances.toArray()
         rows.unpersist()
         best = gain[len(alive) :].max()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import keys
 from cohortlens.functions.gram import covariance, local_gram
-from cohortlens.operators import batched, evaluation, frame, models, neighbours, scoring, selection
+from cohortlens.operators import batched, evaluation, forest, frame, models, neighbours, scoring, selection
 from cohortlens.operators.lasso import lasso_tables
 from cohortlens.plans import pipelines
 from cohortlens.sources import checks, tables
@@ -634,3 +634,63 @@ def test_correlations_of_many_features(spark):
     feat = spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double")
     got = selection.correlation_matrix(feat).toPandas().pivot(index="f1", columns="f2", values="r").to_numpy()
     assert got == pytest.approx(np.corrcoef(x.T), abs=1e-9)
+
+
+def brute_tree_gains(codes, y, w, depth):
+    """Gains of a tree that tries every column, node by node."""
+    gini = lambda at: sum(w[at][y[at] == c].sum() ** 2 for c in set(y)) / max(w[at].sum(), 1)
+    gains = np.zeros(codes.shape[1])
+    at = np.arange(len(y))
+    if depth == 0 or len(set(y)) < 2:
+        return gains
+    splits = [(gini(at[codes[:, c] <= b]) + gini(at[codes[:, c] > b]) - gini(at), c, b) for c in range(codes.shape[1]) for b in set(codes[:, c])]
+    gain, c, b = max(splits, key=lambda s: s[0])
+    if gain < 1e-9:
+        return gains
+    gains[c] = gain
+    left = codes[:, c] <= b
+    return gains + sum(brute_tree_gains(codes[s], y[s], w[s], depth - 1) for s in (left, ~left))
+
+
+def test_subtrees_are_those_of_node_by_node_growth():
+    rng = np.random.default_rng(6)
+    for classes in (2, 3):
+        codes, y = rng.integers(0, 32, (150, 4)).astype(np.uint8), rng.integers(0, classes, 150).astype(np.uint8)
+        w = rng.integers(1, 4, 150)
+        for depth in (1, 2, 30):
+            got = forest.grow(codes, y, w, classes, 4, depth, rng)
+            # Equal gains may be resolved otherwise deep down, so a whole tree is compared by its sum: the impurity of the root.
+            want = brute_tree_gains(codes, y, w, depth)
+            assert got.sum() == pytest.approx(want.sum()) and (depth > 2 or got == pytest.approx(want))
+
+
+def test_forest_grows_the_same_trees_by_levels_and_in_one_task(spark, monkeypatch):
+    """Of two columns every node tries both, so a tree depends on its bag alone, not on where its nodes are grown."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 2))
+    rows = [(i, int(x[i].sum() + rng.normal() > 0), x[i].tolist()) for i in range(900)]
+    monkeypatch.setattr(forest, "BLOCK_VALUES", 200)
+    blocks = forest.binned(spark.createDataFrame(rows, "case long, label int, values array<double>"), 2)
+    assert blocks.count() >= 9
+    counts = np.bincount([r[1] for r in rows])
+    gains = []
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(forest, "LOCAL_VALUES", most)
+        gains.append(forest.RandomForestClassifier(3, 5, 3).fit(blocks, 2, counts))
+    assert gains[0] == pytest.approx(gains[1]) and len(set(gains[0][:, 0])) == 3 and gains[0].sum(axis=1) == pytest.approx(np.ones(3))
+
+
+def test_bin_edges_of_few_and_of_many_values(spark):
+    rows = [([float(i % 3), float(i), 7.0, 0.0 if i else 1.0],) for i in range(1000)]
+    few, many, one, rare = forest.bin_edges(spark.createDataFrame(rows, "values array<double>"), 4)
+    assert few.tolist() == [0, 1] and one.tolist() == [] and rare.tolist() == [0] and len(many) == 31
+    sizes = np.diff(np.concatenate([[0], np.searchsorted(np.arange(1000.0), many, "right"), [1000]]))
+    assert sizes.min() > 25 and sizes.max() < 40
+
+
+def test_forest_importance_counts_copies_as_cases(spark):
+    """Rows that come twice made vectors of twice the length."""
+    rows = [(f"c{i}", i % 2, f"f{j}", j, float(i % 2) if j == 1 else float(i * 7 % 5)) for i in range(40) for j in range(3)]
+    rows += [r for r in rows if r[0] in ("c3", "c8")]
+    scores = selection.rf_importance(spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double"), 12)
+    assert {r["feature"] for r in scores.collect() if r["score"] > 0.5} == {"f1"}
