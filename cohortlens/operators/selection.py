@@ -179,7 +179,7 @@ def rf_importance(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: i
 def rf_importance_select(feat: DataFrame, trees: int = 100, seed: int = 0, max_depth: int = MAX_TREE_DEPTH, **k) -> DataFrame:
     """Keep importances at or above the (k+1)-th largest, so k + 1 features without ties."""
     scores = rf_importance(feat, trees, seed, max_depth)
-    p = len(feature_names(feat))
+    p = scores.count()
     at = min(k_from(p, **k), p - 1) + 1
     ranked = scores.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.col("score").desc())))
     limit = ranked.filter(F.col("_r") == at).select(F.col("score").alias("_limit"), F.lit(1).alias("_one"))

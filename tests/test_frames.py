@@ -694,3 +694,9 @@ def test_forest_importance_counts_copies_as_cases(spark):
     rows += [r for r in rows if r[0] in ("c3", "c8")]
     scores = selection.rf_importance(spark.createDataFrame(rows, "case_id string, label int, feature string, ord int, value double"), 12)
     assert {r["feature"] for r in scores.collect() if r["score"] > 0.5} == {"f1"}
+
+
+def test_forest_selection_reads_the_features_no_more_often_than_the_scores(feat, monkeypatch):
+    """The number of features is that of the scores: the feature table, costly where it is large, is not evaluated for it."""
+    monkeypatch.setattr(selection, "feature_names", None)
+    assert len(kept(selection.rf_importance_select(feat, 4, n_feature=2))) == 3
