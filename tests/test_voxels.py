@@ -9,6 +9,7 @@ import pytest
 from helpers import brute_glcm, brute_runs, brute_zones, level_frame, volume, volume_frame, voxel_frame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.durable import checkpoint_dir, durable, passing, stored
 from cohortlens.functions.ordered import group_quantiles, octave_code, running_totals, value_counts
 from cohortlens.functions.stencil import gather_neighbours, pack_lines
 from cohortlens.operators import extract, filters, prepare, shape, texture
@@ -302,3 +303,40 @@ def test_shuffles_begin_with_many_small_partitions(spark):
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 384
     spark.conf.set("spark.sql.shuffle.partitions", before)
     tune(spark)
+
+
+def test_extraction_lot_by_lot_keeps_features_alone(spark, cases, monkeypatch):
+    """Lots of whole cases give the features of one lot; what is stored on the way, and the shuffle files, go with the lot."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(7)
+    case = {f"c{i}": (rng.normal(size=(3, 3, 3)), (rng.random((3, 3, 3)) < 0.8).astype(int)) for i in range(4)}
+    vox, volumes = voxel_frame(spark, case), volume_frame(spark, case)
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+
+    def run():
+        before = set(root.iterdir())
+        out = extract.extract_features(vox, volumes, ["shape3d", "first_order", "glszm", "gldm"], ["original", "square"], 0.5)
+        rows = sorted(tuple(r) for r in out.collect())
+        return rows, sorted(p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before)
+
+    whole, tables = run()
+    assert tables == ["features-first-order", "features-gldm", "features-glszm", "features-shape"]
+    monkeypatch.setattr(extract, "LOT_VOXELS", 60)
+    lots = extract.case_lots(vox, 2)
+    assert len(lots) > 1 and sorted(r["case_id"] for lot in lots for r in vox.filter(lot).select("case_id").distinct().collect()) == sorted(case)
+    parts, tables = run()
+    assert [r[:2] for r in parts] == [r[:2] for r in whole] and [r[2] for r in parts] == pytest.approx([r[2] for r in whole])
+    assert len(tables) == 4 * len(lots) and all(t.startswith("features-") for t in tables)
+
+
+def test_passing_restores_the_setting_and_removes_its_tables_when_it_fails(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), passing(spark):
+        gone, kept = (stored(spark.range(3), "t", keep=keep) for keep in (False, True))
+        assert spark.conf.get(key) == "true" and durable(gone).count() == 3
+        raise ValueError
+    assert spark.conf.get(key) == before and kept.count() == 3
+    with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+        gone.count()
