@@ -9,7 +9,7 @@ import pytest
 from helpers import brute_glcm, brute_runs, brute_zones, level_frame, volume, volume_frame, voxel_frame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.durable import checkpoint_dir, durable, passing, stored
+from cohortlens.functions.durable import durable, passing, stored
 from cohortlens.functions.ordered import group_quantiles, octave_code, running_totals, value_counts
 from cohortlens.functions.stencil import gather_neighbours, pack_lines
 from cohortlens.operators import extract, filters, prepare, shape, texture
@@ -305,14 +305,15 @@ def test_shuffles_begin_with_many_small_partitions(spark):
     tune(spark)
 
 
-def test_extraction_lot_by_lot_keeps_features_alone(spark, cases, monkeypatch):
+def test_extraction_lot_by_lot_keeps_features_alone(spark, folder, monkeypatch):
     """Lots of whole cases give the features of one lot; what is stored on the way, and the shuffle files, go with the lot."""
     from pathlib import Path
 
     rng = np.random.default_rng(7)
     case = {f"c{i}": (rng.normal(size=(3, 3, 3)), (rng.random((3, 3, 3)) < 0.8).astype(int)) for i in range(4)}
     vox, volumes = voxel_frame(spark, case), volume_frame(spark, case)
-    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    root = Path(folder)
+    monkeypatch.setattr("cohortlens.functions.durable.checkpoint_dir", lambda _: folder)  # no other run writes there
 
     def run():
         before = set(root.iterdir())
